@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from halyard.llm import exact_dedup, licenses, line_dedup
+from halyard.llm import exact_dedup, langid, licenses, line_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_packing": packing.op7_packing,
     "op8_license_scan": licenses.op8_license_scan,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES = {
