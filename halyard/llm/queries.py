@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from halyard.llm import exact_dedup, langid, licenses, line_dedup, packing
+from halyard.llm import exact_dedup, jaccard_join, langid, licenses, line_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_packing": packing.op7_packing,
     "op8_license_scan": licenses.op8_license_scan,
