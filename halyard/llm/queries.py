@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halyard.llm import exact_dedup, jaccard_join, langid, licenses, line_dedup, packing
+from halyard.llm import ann, exact_dedup, jaccard_join, langid, licenses, line_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_packing": packing.op7_packing,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_language_id": langid.op10_language_id,
 }
 
@@ -17,4 +18,5 @@ ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op8_license_scan": licenses.oracle(),
+    "op9_nearest_neighbours": ann.ORACLE,
 }
