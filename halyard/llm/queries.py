@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from halyard.llm import ann, exact_dedup, jaccard_join, langid, licenses, line_dedup, packing
+from halyard.llm import ann, chat, exact_dedup, jaccard_join, langid, licenses, line_dedup, packing, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_warc_revisits": warc.op5_warc_revisits,
     "op7_packing": packing.op7_packing,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
@@ -16,7 +18,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op3_chat_formatting": chat.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_warc_revisits": warc.ORACLE,
     "op8_license_scan": licenses.oracle(),
     "op9_nearest_neighbours": ann.ORACLE,
 }
