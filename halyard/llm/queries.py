@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halyard.llm import ann, chat, exact_dedup, jaccard_join, langid, licenses, line_dedup, packing, warc
+from halyard.llm import ann, chat, exact_dedup, jaccard_join, langid, licenses, line_dedup, packing, spm, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_warc_revisits": warc.op5_warc_revisits,
+    "op6_sentencepiece": spm.op6_sentencepiece,
     "op7_packing": packing.op7_packing,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
