@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 SHORT, K_SHORT, K_LONG = 8, 2, 4
+MARK = -1  # stands in for a hash; it only ever meets the row of k = 0
 
 
 @dataclass(frozen=True)
@@ -63,21 +64,23 @@ def _template_grams(spark, templates: tuple[Template, ...]) -> DataFrame:
         for at in range(len(words) - k + 1):
             gram = ", ".join(f"'{w}'" for w in words[at : at + k])
             rows.append(f"(xxhash64({gram}), array({gram}), {t}, '{x.label}', {str(x.base).lower()}, {at}, {len(words) - k + 1}, {k})")
-    rows.append("(cast(null as bigint), array(''), -1, '', false, 0, 1, 0)")  # the row that each text meets once
-    return spark.sql(f"SELECT coalesce(h, -1) AS h, h IS NULL AS whole, gram, t, label, base, at, grams, k FROM VALUES {', '.join(rows)} AS v(h, gram, t, label, base, at, grams, k)")
+    rows.append(f"({MARK}L, array(''), -1, '', false, 0, 1, 0)")  # the row that each text meets once
+    return spark.sql(f"SELECT h, gram, t, label, base, at, grams, k FROM VALUES {', '.join(rows)} AS v(h, gram, t, label, base, at, grams, k)")
 
 
 def _grams(words: Column) -> Column:
-    """(whole, h, i) of each k-gram, led by the mark that every text has."""
+    """Hashes of all k-grams, the short ones first, led by the mark that every text has."""
 
     def of(k: int) -> Column:
-        return F.when(
-            F.size(words) >= k,
-            F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.struct(F.lit(False).alias("whole"), F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("h"), i.alias("i"))),
-        ).otherwise(F.array().cast("array<struct<whole:boolean,h:bigint,i:int>>"))
+        gram = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])
+        return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), gram)).otherwise(F.array().cast("array<bigint>"))
 
-    mark = F.array(F.struct(F.lit(True).alias("whole"), F.lit(-1).cast("long").alias("h"), F.lit(0).alias("i")))
-    return F.concat(mark, of(K_SHORT), of(K_LONG))
+    return F.concat(F.array(F.lit(MARK).cast("long")), of(K_SHORT), of(K_LONG))
+
+
+def _lowered(text: Column) -> Column:
+    """A-Z in lower case. Other letters may change too, but never into ASCII: the Kelvin sign, which would, is another letter first."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0137")))
 
 
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, slack: int = 2, cover: float = 0.6) -> DataFrame:
@@ -89,15 +92,17 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of their k-grams. Null text counts as empty.
     """
     grams = _template_grams(docs.sparkSession, templates)
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.regexp_extract_all(lowered, F.lit(WORD), 0).alias("words"))
+    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.regexp_extract_all(_lowered(F.col(text_col)), F.lit(WORD), 0).alias("words"))
+    n = F.size("words")
+    shorts = F.greatest(n - (K_SHORT - 1), F.lit(0))  # their number
+    i = F.when(F.col("k") == K_SHORT, F.col("at_gram") - 1).when(F.col("k") == K_LONG, F.col("at_gram") - 1 - shorts).otherwise(0)
+    in_part = F.when(F.col("at_gram") == 0, 0).when(F.col("at_gram") <= shorts, K_SHORT).otherwise(K_LONG) - F.col("k") == 0  # a condition, so that the hash alone is the key
     votes = (
-        words.select("doc_id", "text_hash", "words", F.explode(_grams(F.col("words"))).alias("g"))
-        .select("doc_id", "text_hash", "words", "g.whole", "g.h", "g.i")
-        .join(F.broadcast(grams), ["whole", "h"])
+        words.select("doc_id", "text_hash", "words", F.posexplode(_grams(F.col("words"))).alias("at_gram", "h"))
+        .join(F.broadcast(grams), "h")
         # equal hashes are not yet equal words
-        .filter(F.col("whole") | (F.slice("words", F.col("i") + 1, F.greatest("k", F.lit(1))) == F.col("gram")))
-        .select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "t", "label", "base", "grams", "k", "at", "i", (F.col("i") - F.col("at")).alias("diagonal"))
+        .filter(in_part & ((F.col("k") == 0) | (F.slice("words", i + 1, F.greatest("k", F.lit(1))) == F.col("gram"))))
+        .select("doc_id", "text_hash", n.cast("long").alias("n_words"), "t", "label", "base", "grams", "k", "at", (i - F.col("at")).alias("diagonal"))
     )
     diagonals = votes.groupBy("doc_id", "text_hash", "t", "diagonal").agg(
         F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"), F.first("k").alias("k"), F.collect_set("at").alias("ats"), F.count("*").alias("rows")
