@@ -100,7 +100,7 @@ class Model:
 class Codec:
     """encode(texts) to ids as little-endian unsigned 32-bit integers, with whether each text's ids are verified; decode(ids)."""
 
-    def __init__(self, path: str, threads: int = 1, verify: bool = True, cached: int = 300_000):
+    def __init__(self, path: str, threads: int = 1, verify: bool = True, cached: int = 600_000):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         from tokenizers import AddedToken, Tokenizer, models, normalizers
@@ -151,7 +151,7 @@ class Codec:
         texts = [self.normalised(t) for t in texts]
         by_word = self.model.splits_at_words
         parts = [t.split(" ") if t and by_word and t[0] != " " and t[-1] != " " and "  " not in t else None for t in texts]
-        new = list(set().union(*(p for p in parts if p)) - self.known.keys())
+        new = [w for w in set().union(*(p for p in parts if p)) if w not in self.known]
         ids, same = self._ids([MARK + w for w in new], new)
         self.known.update(zip(new, ids, strict=True))
         self.wrong.update(w for w, good in zip(new, same, strict=True) if not good)

@@ -17,7 +17,7 @@ _ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
 class UnitEncoder:
     """encode(texts) gives, for each text, its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -35,7 +35,7 @@ class UnitEncoder:
             self.known = {}
         known = self.known
         parts = [None if _ODD_BLANK.search(t) else t.split(" ") for t in texts]
-        new = list(set().union(*(p[1:] for p in parts if p)) - known.keys())
+        new = [u for u in set().union(*(p[1:] for p in parts if p)) if u not in known]
         known.update(zip(new, self._ids([" " + u for u in new]), strict=True))
         heads = iter(self._ids([t if p is None else p[0] for t, p in zip(texts, parts, strict=True)]))
         return [next(heads) if p is None else next(heads) + b"".join([known[u] for u in p[1:]]) for p in parts]
