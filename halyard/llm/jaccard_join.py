@@ -1,11 +1,12 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is its set of word shingles, and texts with the same set are one node. Each node has a minhash
-signature. A run starts from one bucket with all nodes. A bucket samples signature positions, each
-with probability 1 / (threshold * positions), and sends a node on to the child that its value at that
-position names: sets that share many tokens keep meeting. Buckets of at most LIMIT nodes, or at the
-greatest depth, are compared by brute force. Runs are repeated until a pair that is just similar
-enough is met with the target recall.
+signature: for each position the shingle of the set that a random order puts first, a token sampled
+from the set. A run starts from one bucket with all nodes. Each bucket samples a position and sends its
+nodes on to the child that their token at that position names, so similar sets, which share most
+tokens, keep to one path. Buckets of at most LIMIT nodes, or at the greatest depth, are compared by
+brute force; larger ones are split again. Runs are repeated until a pair at the threshold is met with
+the target recall.
 
 Work in a bucket is cut into pairs of blocks of nodes, so a task never holds more than two blocks, and
 pairs are never written: a pair counts in the first of the buckets that its ends share, and each node
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.components import connected_components
@@ -38,12 +39,9 @@ _A = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(101, POSITIONS + 101, dtype=np.uint64))
 
 
-def met(depth: int, threshold: float = 0.8, positions: int = POSITIONS) -> float:
+def met(depth: int, threshold: float = 0.8) -> float:
     """Probability that one run takes a pair at the threshold to a common bucket at this depth."""
-    q = 1.0
-    for _ in range(depth):
-        q = 1 - (1 - q / positions) ** positions
-    return q
+    return threshold**depth
 
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH, threshold: float = 0.8) -> int:
@@ -97,31 +95,10 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _children(paths: np.ndarray, sigs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child path) of all children that buckets `paths` send their rows to."""
-    chance = np.uint64(2**64 / (threshold * POSITIONS))
-    rows, out = [], []
-    for i in range(POSITIONS):
-        hit = np.flatnonzero(mix(paths ^ _B[i]) < chance)
-        rows.append(hit)
-        out.append(mix(mix(paths[hit] + _A[i]) ^ sigs[hit, i].astype(np.uint64)))
-    return np.concatenate(rows), np.concatenate(out)
-
-
-def _split(threshold: float, runs: int):
-    """Rows (path, node, sig) to (path, node) of the next level; with runs > 0 rows (node, sig) to the first level of all runs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes, sigs = batch.column("node"), _matrix(batch.column("sig"), np.uint32, POSITIONS)
-            starts = [np.full(len(sigs), mix(np.array([r + 1], np.uint64))[0]) for r in range(runs)] if runs else [batch.column("path").to_numpy().view(np.uint64)]
-            for paths in starts:
-                rows, out = _children(paths, sigs, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), nodes.take(pa.array(rows))], ["path", "node"])
-
-    return run
+def _child(path: Column, sig: Column) -> Column:
+    """Where bucket `path` sends a node with this signature: the bucket samples one position."""
+    position = F.pmod(F.xxhash64(path, F.lit(POSITIONS)), F.lit(POSITIONS)).cast("int")
+    return F.xxhash64(path, F.substring(sig, position * 4 + 1, F.lit(4)))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,17 +230,19 @@ def _verify(threshold: float):
 
 def _sized(members: DataFrame) -> DataFrame:
     """(path, node, n) of the buckets that hold n > 1 nodes. Sizes are counted before they are shuffled, and the join can be split."""
-    sizes = members.groupBy("path").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
-    return members.join(sizes, "path").select("path", "node", "n")
+    sizes = written(members.groupBy("path").agg(F.count("*").cast("int").alias("n")).filter("n > 1"), "sizes")
+    return written(members.join(sizes, "path").select("path", "node", "n"), "level")
 
 
 def _leaves(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(path, node, n): all buckets to compare, each of one run."""
-    level = written(_sized(nodes.select("node", "sig").mapInArrow(_split(threshold, runs_needed(recall, DEPTH, threshold)), "path long, node binary")), "level")
+    """(path, node, n): all buckets to compare, of all runs."""
+    runs = F.array(*[F.xxhash64(F.lit(r)) for r in range(runs_needed(recall, DEPTH, threshold))])
+    first = nodes.select("node", F.explode(F.transform(runs, lambda run: _child(run, F.col("sig")))).alias("path"))
+    level = _sized(first)
     out = level.filter(F.col("n") <= LIMIT)
     for depth in range(2, DEPTH + 1):
-        large = level.filter(F.col("n") > LIMIT).select("path", "node").join(nodes.select("node", "sig"), "node").select("path", "node", "sig")
-        level = written(_sized(large.mapInArrow(_split(threshold, 0), "path long, node binary")), "level")
+        large = level.filter(F.col("n") > LIMIT).select("path", "node").join(nodes.select("node", "sig"), "node")
+        level = _sized(large.select(_child(F.col("path"), F.col("sig")).alias("path"), "node"))
         out = out.union(level if depth == DEPTH else level.filter(F.col("n") <= LIMIT))
     return out
 
@@ -295,7 +274,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = blocks.join(own.select("node", "leaves", "sketch"), "node").select(*by, "mine", "node", "leaves", "sketch").repartition(*by).sortWithinPartitions(*by)
     near = written(near.mapInArrow(_sketch, MEMBER_SCHEMA), "near")
     reps = near.select("node").distinct().join(own.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
-    sets = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")), "left_semi").select("text")
+    # without the hint a small table of representatives would be broadcast, and a larger one not
+    sets = rows.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")), "left_semi").select("text")
     sets = sets.mapInArrow(_sets(k), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     full = near.join(sets, "node").join(own.select("node", "weight", "leaves"), "node").select(*by, "mine", "node", "weight", "leaves", "shingles")
     found = written(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(_verify(threshold), "node binary, links long, root binary"), "links")
