@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from halyard.functions.text import strip_html, visible
 
@@ -128,7 +129,7 @@ _GUARDED = [re.compile(p, re.IGNORECASE) for p in DECLARATIONS[GUARDED_FROM:]]
 _PROSE = re.compile(PROSE_BEFORE, re.IGNORECASE)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _guarded_phrase(texts: pd.Series) -> pd.Series:
     """The first guarded declaration that prose does not precede; its left context cannot be told by one pattern."""
 

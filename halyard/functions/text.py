@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Entities in the order in which they are decoded, so that `&amp;lt;` becomes `<`.
 ENTITIES = (
@@ -126,7 +127,7 @@ def site(url: Column) -> Column:
     return F.concat_ws("://", F.try_parse_url(url, F.lit("PROTOCOL")), F.try_parse_url(url, F.lit("HOST")))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _joined(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b, h) if isinstance(h, str) and isinstance(b, str) else None for h, b in zip(href, base, strict=True)], dtype=object)
 
@@ -137,7 +138,7 @@ def absolute_url(href: Column, base: Column) -> Column:
     return F.coalesce(plain, _joined(F.when(plain.isNull(), href), base))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_header(value: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """RFC 2047 header text; null is empty, what cannot be decoded stays."""
     from email.header import decode_header as parts
