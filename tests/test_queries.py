@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import DATA
+from places import DATA
 from halyard.plans.queries import ORACLES, QUERIES
 
 
