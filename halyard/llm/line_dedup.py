@@ -15,7 +15,7 @@ WINDOW = 3
 
 def _entries(text: Column) -> Column:
     """The lines that are not blank, trimmed."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def _windows(entries: Column) -> Column:
