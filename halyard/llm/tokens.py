@@ -11,34 +11,52 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
+BLANK = "\u0120"  # how a byte-level vocabulary writes a blank
 _ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
 class UnitEncoder:
     """encode(texts) gives, for each text, its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text here
         self.cached, self.known = cached, {}
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a blank
+        self.opens[[i for t, i in vocab.items() if t[0] == BLANK]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _unit_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of " " + unit for each unit, none of which begins with white space: all in one text, cut before each blank."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        at = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.cached:
             self.known = {}
         known = self.known
         parts = [None if _ODD_BLANK.search(t) else t.split(" ") for t in texts]
-        new = [u for u in set().union(*(p[1:] for p in parts if p)) if u not in known]
-        known.update(zip(new, self._ids([" " + u for u in new]), strict=True))
-        heads = iter(self._ids([t if p is None else p[0] for t, p in zip(texts, parts, strict=True)]))
-        return [next(heads) if p is None else next(heads) + b"".join([known[u] for u in p[1:]]) for p in parts]
+        found = [p and list(map(known.get, p[1:])) for p in parts]
+        open_ = [i for i, f in enumerate(found) if f and None in f]
+        new = {u for i in open_ for u, x in zip(parts[i][1:], found[i], strict=True) if x is None}
+        odd, plain = [u for u in new if not u or u[0].isspace()], [u for u in new if u and not u[0].isspace()]
+        known.update(zip(odd, self._ids([" " + u for u in odd]), strict=True))
+        for a in range(0, len(plain), 4096):
+            known.update(zip(plain[a : a + 4096], self._unit_ids(plain[a : a + 4096]), strict=True))
+        for i in open_:
+            found[i] = [known[u] for u in parts[i][1:]]
+        heads = self._ids([t if p is None else p[0] for t, p in zip(texts, parts, strict=True)])
+        return [head if p is None else head + b"".join(f) for head, p, f in zip(heads, parts, found, strict=True)]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
