@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from halyard.functions.text import strip_html, visible
+from halyard.functions.text import bind, strip_html, visible
 
 # Months, and the date patterns in their order of priority with the format of year, month and day.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -31,51 +31,51 @@ LAST_MODIFIED = (
 YEARLESS = rf"(?iU)\b({MONTH})\.?\s+([0-9]{{1,2}})\b(?!\s*,?\s*20[0-9][0-9])"
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    """month as a number or a name of which the first three letters count."""
-    name = F.initcap(F.left(month, F.lit(3)))
-    numeric = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d")
-    named = F.try_to_date(F.concat_ws("-", year, name, day), "yyyy-MMM-d")
-    return F.when(month.rlike("^[0-9]+$"), numeric).otherwise(named)
+def _date(year: Column, month: Column, day: Column, named: bool) -> Column:
+    """named: the first three letters of month count, else it is a number."""
+    if named:
+        return F.try_to_date(F.concat_ws("-", year, F.initcap(F.left(month, F.lit(3))), day), "yyyy-MMM-d")
+    return F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d")
 
 
 def _first(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
-    y, m, d = (F.regexp_extract(text, pattern, g) for g in order)
-    return F.when(y != "", _date(y, m, d))
+    named = MONTH in pattern or "A-Za-z" in pattern
+    return F.when(text.rlike(pattern), _date(*[F.regexp_extract(text, pattern, g) for g in order], named))
 
 
 def parse_any_date(text: Column) -> Column:
     """The date of the first pattern, by priority, whose first match is a real date."""
-    return F.coalesce(*[_first(text, p, order) for p, order in DATE_PATTERNS])
+    return bind(text, lambda t: F.coalesce(*[_first(t, p, order) for p, order in DATE_PATTERNS]))
 
 
 def date_range(text: Column) -> Column:
     """struct(start_date, end_date): a from-through phrase, an until phrase, or a single date."""
-    t = visible(text)
-    s, e = (parse_any_date(F.regexp_extract(t, RANGE, g)) for g in (1, 2))
-    until = parse_any_date(F.regexp_extract(t, UNTIL, 1))
-    ranged = s.isNotNull() | e.isNotNull()
-    return F.struct(F.when(ranged, s).otherwise(parse_any_date(t)).alias("start_date"), F.when(ranged, e).otherwise(until).alias("end_date"))
+
+    def of(t: Column) -> Column:
+        s, e = (parse_any_date(F.regexp_extract(t, RANGE, g)) for g in (1, 2))
+        single = F.struct(parse_any_date(t).alias("start_date"), parse_any_date(F.regexp_extract(t, UNTIL, 1)).alias("end_date"))
+        return bind(F.struct(s.alias("start_date"), e.alias("end_date")), lambda r: F.when(r["start_date"].isNotNull() | r["end_date"].isNotNull(), r).otherwise(single))
+
+    return bind(visible(text), of)
 
 
 def advertised_window(html: Column) -> Column:
     """struct(start_date, end_date) that a current-status page states as From and Until."""
-    t = visible(html)
-    return F.struct(parse_any_date(F.regexp_extract(t, ADVERTISED_FROM, 1)).alias("start_date"), parse_any_date(F.regexp_extract(t, ADVERTISED_UNTIL, 1)).alias("end_date"))
+    spans = (("start_date", ADVERTISED_FROM), ("end_date", ADVERTISED_UNTIL))
+    return bind(visible(html), lambda t: F.struct(*[parse_any_date(F.regexp_extract(t, p, 1)).alias(n) for n, p in spans]))
 
 
 def newest_date(text: Column) -> Column:
     """The latest date of all matches of all patterns."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), parse_any_date) for p, _ in DATE_PATTERNS[:4]]
-    return F.array_max(F.concat(*found))
+    return bind(text, lambda t: F.array_max(F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), 0), parse_any_date) for p, _ in DATE_PATTERNS[:4]])))
 
 
 def newest_yearless_date(text: Column, as_of: Column) -> Column:
     """The latest date of all that lack a year: of this year, or of the last one if that is over a month ahead."""
 
     def of_year(match: Column, year: Column) -> Column:
-        d = _date(year.cast("string"), F.regexp_extract(match, YEARLESS, 1), F.regexp_extract(match, YEARLESS, 2))
-        return F.when(F.datediff(d, as_of) <= 31, d)
+        d = _date(year.cast("string"), F.regexp_extract(match, YEARLESS, 1), F.regexp_extract(match, YEARLESS, 2), True)
+        return bind(d, lambda x: F.when(F.datediff(x, as_of) <= 31, x))
 
     year = F.year(as_of)
     return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(YEARLESS), 0), lambda m: F.coalesce(of_year(m, year), of_year(m, year - 1))))
@@ -83,14 +83,13 @@ def newest_yearless_date(text: Column, as_of: Column) -> Column:
 
 def page_last_modified(html: Column, as_of: Column, header: Column | None = None) -> Column:
     """The best sign of a page's freshness: header, metadata, newest date in its text, newest date without year."""
-    text = strip_html(html)
     signs = [parse_any_date(header)] if header is not None else []
     signs += [parse_any_date(F.regexp_extract(html, p, 1)) for p in LAST_MODIFIED]
-    return F.coalesce(*signs, newest_date(text), newest_yearless_date(text, as_of))
+    return F.coalesce(*signs, bind(strip_html(html), lambda t: F.coalesce(newest_date(t), newest_yearless_date(t, as_of))))
 
 
 def mail_date(value: Column) -> Column:
     """The calendar date of an RFC 822 date in the sender's own offset; null if it is none."""
     day = F.regexp_extract(value, r"([0-9]{1,2})\s+([A-Za-z]{3})[a-z]*\s+([0-9]{4})\s+[0-9]{1,2}:[0-9]{2}", 0)
     y, m, d = (F.regexp_extract(day, r"([0-9]{1,2})\s+([A-Za-z]{3})[a-z]*\s+([0-9]{4})", g) for g in (3, 2, 1))
-    return F.when(day != "", _date(y, m, d))
+    return F.when(day != "", _date(y, m, d, True))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from halyard.functions.text import strip_html, visible
+from halyard.functions.text import bind, strip_html, visible
 
 HALF, FULL, UNKNOWN = "half", "full", "unknown"
 GOVERNOR, PRESIDENT = "governor", "president"
@@ -98,8 +98,12 @@ def first_match(text: Column, patterns: Sequence[str]) -> Column:
 
 def quoted(text: Column) -> Column:
     """In single quotes, or in double ones where only single ones occur."""
-    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
-    return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit("'"), text, F.lit("'")))
+
+    def of(t: Column) -> Column:
+        mark = F.when(F.contains(t, F.lit("'")) & ~F.contains(t, F.lit('"')), '"').otherwise("'")
+        return F.concat(mark, t, mark)
+
+    return bind(text, of)
 
 
 def _verdict(value: Column, evidence: Column) -> Column:
@@ -108,21 +112,29 @@ def _verdict(value: Column, evidence: Column) -> Column:
 
 def classify_status(text: Column) -> Column:
     """struct(value, evidence): a negated half is full; half beside full is unknown."""
-    t = visible(text)
-    neg, half, full = first_match(t, NEGATED_HALF), first_match(t, HALF_SIGNALS), first_match(t, FULL_SIGNALS)
-    both = half.isNotNull() & full.isNotNull()
-    value = F.when(neg.isNotNull(), FULL).when(both, UNKNOWN).when(half.isNotNull(), HALF).when(full.isNotNull(), FULL).otherwise(UNKNOWN)
-    told = F.concat(F.lit("ambiguous: "), quoted(half), F.lit(" and "), quoted(full), F.lit(" both present"))
-    return _verdict(value, F.when(neg.isNotNull(), F.concat(F.lit("negation: "), quoted(neg))).when(both, told).otherwise(F.coalesce(half, full)))
+
+    def of(v: Column) -> Column:
+        neg, half, full = v["neg"], v["half"], v["full"]
+        both = half.isNotNull() & full.isNotNull()
+        value = F.when(neg.isNotNull(), FULL).when(both, UNKNOWN).when(half.isNotNull(), HALF).when(full.isNotNull(), FULL).otherwise(UNKNOWN)
+        told = F.concat(F.lit("ambiguous: "), quoted(half), F.lit(" and "), quoted(full), F.lit(" both present"))
+        return _verdict(value, F.when(neg.isNotNull(), F.concat(F.lit("negation: "), quoted(neg))).when(both, told).otherwise(F.coalesce(half, full)))
+
+    signals = (("neg", NEGATED_HALF), ("half", HALF_SIGNALS), ("full", FULL_SIGNALS))
+    return bind(bind(visible(text), lambda t: F.struct(*[first_match(t, p).alias(n) for n, p in signals])), of)
 
 
 def classify_authority(text: Column) -> Column:
     """struct(value, evidence): a governor who acts on a president's word is still the governor."""
-    t = visible(text)
-    pres, gov = first_match(t, PRESIDENT_SIGNALS), first_match(t, GOVERNOR_SIGNALS)
-    value = F.when(gov.isNotNull(), GOVERNOR).when(pres.isNotNull(), PRESIDENT).otherwise(UNKNOWN)
-    both = F.concat(F.lit("governor acted, referencing federal: "), quoted(gov))
-    return _verdict(value, F.when(pres.isNotNull() & gov.isNotNull(), both).otherwise(F.coalesce(gov, pres)))
+
+    def of(v: Column) -> Column:
+        pres, gov = v["pres"], v["gov"]
+        value = F.when(gov.isNotNull(), GOVERNOR).when(pres.isNotNull(), PRESIDENT).otherwise(UNKNOWN)
+        both = F.concat(F.lit("governor acted, referencing federal: "), quoted(gov))
+        return _verdict(value, F.when(pres.isNotNull() & gov.isNotNull(), both).otherwise(F.coalesce(gov, pres)))
+
+    signals = (("pres", PRESIDENT_SIGNALS), ("gov", GOVERNOR_SIGNALS))
+    return bind(bind(visible(text), lambda t: F.struct(*[first_match(t, p).alias(n) for n, p in signals])), of)
 
 
 _GUARDED = [re.compile(p, re.IGNORECASE) for p in DECLARATIONS[GUARDED_FROM:]]
@@ -146,14 +158,17 @@ def _guarded_phrase(texts: pd.Series) -> pd.Series:
 def current_status(html: Column) -> Column:
     """struct(value, evidence) of a current-status page: only an explicit declaration counts, county lines do not."""
     t = F.regexp_replace(visible(html), COUNTY_LINE, " ")
-    plain = first_match(t, DECLARATIONS[:GUARDED_FROM])
-    guarded = F.lit(False)
-    for p in DECLARATIONS[GUARDED_FROM:]:
-        guarded = guarded | t.rlike("(?iU)" + p)
-    phrase = F.trim(F.coalesce(plain, _guarded_phrase(F.when(plain.isNull() & guarded, t))))
-    word = F.lower(F.regexp_extract(phrase, "(?is).*(half|full)", 1))
-    missing = F.when(t != "", "no explicit status declaration in page text")
-    return _verdict(F.when(phrase.isNotNull(), word).otherwise(UNKNOWN), F.when(phrase.isNotNull(), F.concat(F.lit("declaration: "), quoted(phrase))).otherwise(missing))
+    may_be = "(?iU)" + "|".join(DECLARATIONS[GUARDED_FROM:])
+    seen = bind(t, lambda x: F.struct(x.alias("text"), first_match(x, DECLARATIONS[:GUARDED_FROM]).alias("plain")))
+    asked = bind(seen, lambda v: F.when(v["plain"].isNull() & v["text"].rlike(may_be), v["text"]))
+
+    def of(v: Column) -> Column:
+        phrase = v["phrase"]
+        word = F.lower(F.regexp_extract(phrase, "(?is).*(half|full)", 1))
+        missing = F.when(v["any"], "no explicit status declaration in page text")
+        return _verdict(F.when(phrase.isNotNull(), word).otherwise(UNKNOWN), F.when(phrase.isNotNull(), F.concat(F.lit("declaration: "), quoted(phrase))).otherwise(missing))
+
+    return bind(F.struct(F.trim(F.coalesce(seen["plain"], _guarded_phrase(asked))).alias("phrase"), (t != "").alias("any")), of)
 
 
 def county_exceptions(html: Column) -> Column:
@@ -175,31 +190,32 @@ def _votes(fragment: Column) -> Column:
 
 def toggle_status(html: Column) -> Column:
     """struct(value, evidence) of a page whose badge points at one of two static pages."""
-    t = F.coalesce(html, F.lit(""))
-    both = t.rlike("(?i)flag[-_]?status[-_]half") & t.rlike("(?i)flag[-_]?status[-_]full")
-    voting = F.filter(F.transform(F.regexp_extract_all(t, F.lit(WIDGET), 0), _votes), lambda v: F.size(v) > 0)
-    votes = F.get(voting, 0)
-    values = F.array_distinct(F.transform(votes, lambda v: v["value"]))
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(votes, lambda v: v["kind"]))), "+")
-    links = F.regexp_extract_all(t, F.lit(STATUS_HREF), 1)
-    half, full = F.get(F.filter(links, lambda h: h.rlike("(?i)[-_]half")), 0), F.get(F.filter(links, lambda h: h.rlike("(?i)[-_]full")), 0)
-    agree = F.size(values) == 1
-    value = (
-        F.when(both, UNKNOWN)
-        .when(votes.isNotNull(), F.when(agree, F.get(values, 0)).otherwise(UNKNOWN))
-        .when(half.isNotNull() & full.isNull(), HALF)
-        .when(full.isNotNull() & half.isNull(), FULL)
-        .otherwise(UNKNOWN)
-    )
-    said = F.when(agree, F.concat(F.lit("flag-status widget ("), kinds, F.lit(" all say "), F.get(values, 0), F.lit(")"))).otherwise(
-        F.concat(F.lit("flag-status widget disagrees with itself: "), F.array_join(F.transform(votes, lambda v: F.concat(v["kind"], F.lit("="), v["value"])), ", "))
-    )
-    evidence = (
-        F.when(both, "both half and full variants present in the source")
-        .when(votes.isNotNull(), said)
-        .when(half.isNotNull() & full.isNull(), F.concat(F.lit("only half page linked: "), half))
-        .when(full.isNotNull() & half.isNull(), F.concat(F.lit("only full page linked: "), full))
-        .when(half.isNotNull() & full.isNotNull(), "both half and full pages linked, and no flag-status widget")
-        .otherwise("no flag-status link found on this page")
-    )
-    return _verdict(value, evidence)
+
+    def facts(t: Column) -> Column:
+        voting = F.filter(F.transform(F.regexp_extract_all(t, F.lit(WIDGET), 0), lambda w: _votes(w)), lambda v: F.size(v) > 0)
+        links = F.regexp_extract_all(t, F.lit(STATUS_HREF), 1)
+        both = t.rlike("(?i)flag[-_]?status[-_]half") & t.rlike("(?i)flag[-_]?status[-_]full")
+        half, full = F.get(F.filter(links, lambda h: h.rlike("(?i)[-_]half")), 0), F.get(F.filter(links, lambda h: h.rlike("(?i)[-_]full")), 0)
+        return F.struct(both.alias("both"), F.get(voting, 0).alias("votes"), half.alias("half"), full.alias("full"))
+
+    def of(v: Column) -> Column:
+        votes, half, full = v["votes"], v["half"], v["full"]
+        values = F.array_distinct(F.transform(votes, lambda x: x["value"]))
+        kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(votes, lambda x: x["kind"]))), "+")
+        agree = F.size(values) == 1
+        only_half, only_full = half.isNotNull() & full.isNull(), full.isNotNull() & half.isNull()
+        value = F.when(v["both"], UNKNOWN).when(votes.isNotNull(), F.when(agree, F.get(values, 0)).otherwise(UNKNOWN)).when(only_half, HALF).when(only_full, FULL).otherwise(UNKNOWN)
+        said = F.when(agree, F.concat(F.lit("flag-status widget ("), kinds, F.lit(" all say "), F.get(values, 0), F.lit(")"))).otherwise(
+            F.concat(F.lit("flag-status widget disagrees with itself: "), F.array_join(F.transform(votes, lambda x: F.concat(x["kind"], F.lit("="), x["value"])), ", "))
+        )
+        evidence = (
+            F.when(v["both"], "both half and full variants present in the source")
+            .when(votes.isNotNull(), said)
+            .when(only_half, F.concat(F.lit("only half page linked: "), half))
+            .when(only_full, F.concat(F.lit("only full page linked: "), full))
+            .when(half.isNotNull() & full.isNotNull(), "both half and full pages linked, and no flag-status widget")
+            .otherwise("no flag-status link found on this page")
+        )
+        return _verdict(value, evidence)
+
+    return bind(bind(F.coalesce(html, F.lit("")), facts), of)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -54,6 +54,11 @@ BOILERPLATE = (
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it; keeps plans small."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
 def strip_html(html: Column) -> Column:
     """Visible text: no scripts, styles or tags, CDATA unwrapped, entities decoded, white space collapsed."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?isU)<(script|style)\b.*?</\1>", " ")
@@ -66,7 +71,7 @@ def strip_html(html: Column) -> Column:
 
 def visible(text: Column) -> Column:
     """strip_html where there is a `<`, else the text as it is."""
-    return F.when(F.contains(text, F.lit("<")), strip_html(text)).otherwise(F.coalesce(text, F.lit("")))
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("<")), strip_html(t)).otherwise(F.coalesce(t, F.lit(""))))
 
 
 def content_hash(html: Column) -> Column:
@@ -96,7 +101,7 @@ def until_noon(text: Column) -> Column:
 def order_scope(text: Column) -> Column:
     """struct(scope, evidence): limited with the phrase that limits it, else statewide."""
     phrase = F.regexp_substr(visible(text), F.lit(LIMITED_SCOPE))
-    return F.struct(F.when(phrase.isNotNull(), "limited").otherwise("statewide").alias("scope"), F.trim(phrase).alias("evidence"))
+    return bind(phrase, lambda p: F.struct(F.when(p.isNotNull(), "limited").otherwise("statewide").alias("scope"), F.trim(p).alias("evidence")))
 
 
 def is_translation(title: Column) -> Column:

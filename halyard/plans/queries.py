@@ -538,3 +538,70 @@ def status_rollup(spark, sf_dir):
     status = F.when(F.col("event_type") == "error", "unknown").when(F.col("event_type").isin("click", "purchase") & live, "half").otherwise("full")
     states = latest.select("user_id", status.alias("status"), F.lit(None).cast("string").alias("order_title"), F.lit(False).alias("until_noon"))
     return resolve.overlay(states, resolve.statutory_observance(_calendar(spark), day("2026-01-30"))).groupBy("effective_status").agg(F.count("*").alias("n"))
+
+
+_ORDER_TEXT = (
+    ("Governor Cox orders flags lowered to half-staff until noon", "half", "governor", True, True),
+    ("there is no current half-staff order", "full", "unknown", False, False),
+    ("By order of the President flags at half-staff", "half", "president", False, False),
+)
+
+
+@query(
+    f"SELECT o_orderkey, {case_sql('o_orderkey', tuple(x[1] for x in _ORDER_TEXT))} AS status, {case_sql('o_orderkey', tuple(x[2] for x in _ORDER_TEXT))} AS authority, o_orderkey % 3 = 0 AS until_noon, o_orderkey % 3 = 0 AS usable, "
+    "CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start_date, o_orderpriority AS title FROM orders"
+)
+def extract_order(spark, sf_dir):
+    from halyard.functions.orders import extract_order as extract
+
+    t = F.concat(choose(F.col("o_orderkey"), tuple(x[0] for x in _ORDER_TEXT)), F.lit(", issued "), long_date(F.col("day")))
+    out = orders(spark, sf_dir).select("o_orderkey", extract(t, F.lit("u"), F.col("o_orderpriority")).alias("r"))
+    return out.select("o_orderkey", "r.status", "r.authority", "r.until_noon", F.col("r.usable_as_state_order").alias("usable"), F.col("r.start_date").cast("string").alias("start_date"), "r.title")
+
+
+_RUN_MODES = ("email", "diff", "toggle", "feed", "archive", "index", "diff")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 7 AS m, c_custkey % 5 AS v FROM customer)
+SELECT CAST(k AS VARCHAR) AS state_code,
+  CASE m WHEN 0 THEN CASE WHEN v IN (0, 1) THEN 'half' WHEN v = 2 THEN 'full' ELSE 'unknown' END WHEN 6 THEN 'unknown'
+    ELSE CASE WHEN v = 4 THEN CASE WHEN k % 2 = 0 THEN 'half' ELSE 'unknown' END WHEN v < 2 THEN 'half' ELSE 'full' END END AS status,
+  CASE m WHEN 0 THEN CASE WHEN v < 3 THEN 'covered' ELSE 'not_covered' END WHEN 6 THEN 'not_covered' ELSE CASE WHEN v = 4 THEN CASE WHEN k % 2 = 0 THEN 'stale' ELSE 'not_covered' END ELSE 'covered' END END AS coverage,
+  CASE m WHEN 0 THEN CASE WHEN v >= 3 THEN 'email channel never heard' END WHEN 6 THEN 'no verified source' ELSE CASE WHEN v = 4 THEN 'HTTP 404' END END AS error FROM c"""
+)
+def status_run(spark, sf_dir):
+    """A registry of all customers over seven ways to be told, resolved in one plan for 2026-08-22."""
+    from halyard.plans.status_run import resolve_states
+
+    k = F.col("c_custkey")
+    v, key = k % 5, k.cast("string")
+    none = F.lit(None).cast("string")
+    url = F.concat(F.lit("http://h/"), key)
+    cust = table(spark, sf_dir, "customer")
+    registry = cust.select(
+        key.alias("state_code"), choose(k, _RUN_MODES).alias("ingest_mode"), (k % 7 != 6).alias("buildable"), url.alias("press_url"), url.alias("flag_page_url"), url.alias("rss_url"), none.alias("toggle_hub_url"), none.alias("blocked_reason"),
+        F.array(F.lit("http://none/")).alias("url_candidates"), F.lit(False).alias("signature_check_required"), F.lit(True).alias("dedupe_translations"),
+    )
+    half = v < 2
+    word = F.when(half, "half").otherwise("full")
+    day_text = F.when(half, "August 22, 2026").otherwise("July 1, 2026")
+    head = F.concat(F.lit("Governor Lee orders flags lowered to half-staff "), day_text)
+    page = choose(
+        k,
+        (
+            F.lit(""),
+            F.concat(F.lit("<p>Flag status: "), word, F.lit("-staff. Updated on August 20, 2026</p>")),
+            F.concat(F.lit('<div class="flag-status"><a href="/flag-status-'), word, F.lit('.html">x</a></div>')),
+            F.concat(F.lit("<item><title>"), head, F.lit("</title><link>http://art/1</link><pubDate>1 Aug 2026</pubDate></item>")),
+            F.concat(F.lit('<li><a href="/o/1">'), head, F.lit("</a></li>")),
+            F.concat(F.lit('<h2><a href="/o/1">'), head, F.lit("</a></h2>")),
+            F.lit(""),
+        ),
+    )
+    docs = landed_documents(cust.select(url.alias("url"), F.when(v == 4, 404).otherwise(200).alias("status"), page.alias("body"), none.alias("error")))
+    articles = spark.range(0).select(F.lit("").alias("url"), F.lit("").alias("html"))
+    mailed = cust.filter(half).select(key.alias("state_code"), F.lit("order").alias("title"), F.lit("2026-08-21").cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit(True).alias("until_noon"))
+    seen = cust.filter(v == 2).select(key.alias("state_code"), F.lit("2026-08-01").alias("seen_on"))
+    prior = cust.filter(k % 2 == 0).select(key.alias("state_code"), F.lit("half").alias("status"))
+    return resolve_states(registry, docs, articles, mailed, seen, prior, day("2026-08-22")).select("state_code", "status", "coverage", "error")
