@@ -63,3 +63,8 @@ def channels_seen(parsed: DataFrame, prior: DataFrame) -> DataFrame:
     """state_code, seen_on: the date of the last accepted message by seq that has one, else what was known."""
     now = parsed.filter("reason IS NULL AND sent_date IS NOT NULL").groupBy("state_code").agg(F.max_by("sent_date", "seq").alias("now"))
     return now.join(prior, "state_code", "full_outer").select("state_code", F.coalesce("now", "seen_on").alias("seen_on"))
+
+
+def reject_reasons(parsed: DataFrame) -> DataFrame:
+    """reason, n of the messages that became no order."""
+    return parsed.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")

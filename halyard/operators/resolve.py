@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions.dates import advertised_window, page_last_modified
 from halyard.functions.rules import FULL, GOVERNOR, HALF, UNKNOWN, classify_authority, county_exceptions, current_status, toggle_status
-from halyard.functions.text import or_else
+from halyard.functions.text import or_else, status_fingerprint
 from halyard.operators.coverage import covers, freshness, recent
 
 
@@ -85,6 +85,20 @@ def status_pages(pages: DataFrame, as_of: Column, signature_required: str = "sig
     return out.withColumns({"status": value, "evidence": F.col("declared.evidence"), "coverage": F.when(F.col("fresh.frozen"), "stale").otherwise("covered"), "county_exceptions": county_exceptions(html)}).drop("declared")
 
 
+def observed_pages(pages: DataFrame, previous: DataFrame | None, key: str, hint: str | None = None) -> DataFrame:
+    """pages (key, html) with fingerprint, changed and first_seen against the fingerprints (key, fingerprint) of the last run."""
+    out = pages.withColumn("fingerprint", status_fingerprint(F.col("html"), hint))
+    if previous is None:
+        return out.withColumns({"changed": F.lit(False), "first_seen": F.lit(True)})
+    out = out.join(previous.select(key, F.col("fingerprint").alias("__before")), key, "left")
+    return out.withColumns({"changed": F.coalesce(F.col("__before") != F.col("fingerprint"), F.lit(False)), "first_seen": F.col("__before").isNull()}).drop("__before")
+
+
+def failing_sources(rows: DataFrame) -> DataFrame:
+    """Rows to warn of: an error on a source that should be covered, or a stale one."""
+    return rows.filter(((F.coalesce("error", F.lit("")) != "") & (F.col("coverage") != "not_covered")) | (F.col("coverage") == "stale"))
+
+
 def toggle_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("t", toggle_status(F.col("html"))).withColumns({"status": F.col("t.value"), "evidence": F.col("t.evidence"), "coverage": F.lit("covered")}).drop("t")
 

@@ -67,7 +67,7 @@ def order_scope(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t.alias("t")).select("o_orderkey", text.order_scope(F.col("t")).alias("s"), text.until_noon(F.col("t")).alias("noon")).select("o_orderkey", "s.scope", "s.evidence", "noon")
 
 
-@query()
+@query("SELECT doc_id, array_to_string(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' ')[1:700] AS opening FROM documents")
 def first_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.first_sentences(F.col("text")).alias("opening"))
 
@@ -605,3 +605,33 @@ def status_run(spark, sf_dir):
     seen = cust.filter(v == 2).select(key.alias("state_code"), F.lit("2026-08-01").alias("seen_on"))
     prior = cust.filter(k % 2 == 0).select(key.alias("state_code"), F.lit("half").alias("status"))
     return resolve_states(registry, docs, articles, mailed, seen, prior, day("2026-08-22")).select("state_code", "status", "coverage", "error")
+
+
+@query(
+    """WITH h AS (SELECT event_id, user_id, ts, sha256('Status ' || event_type || ' at ')[1:16] AS f FROM events), l AS (SELECT user_id, f, lag(f) OVER (PARTITION BY user_id ORDER BY event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM h)
+SELECT user_id, f AS fingerprint, p IS NOT NULL AND p <> f AS changed, p IS NULL AS first_seen FROM l WHERE i = CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END"""
+)
+def observed_pages(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    page = F.concat(F.lit("<p>Status "), F.col("event_type"), F.lit(" at 10:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit(" AM</p>"))
+    pages = e.select("user_id", "i", page.alias("html"))
+    before = resolve.observed_pages(pages.filter("i = 1 AND user_id % 2 = 0"), None, "user_id").select("user_id", "fingerprint")
+    now = pages.filter("i = CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END")
+    return resolve.observed_pages(now, before, "user_id").select("user_id", "fingerprint", "changed", "first_seen")
+
+
+@query(f"SELECT event_id, {case_sql('event_id', _ERRORS)} AS error FROM events WHERE event_id % 7 BETWEEN 1 AND 5 AND event_id % 4 <> 2 OR event_id % 4 = 3")
+def failing_sources(spark, sf_dir):
+    k = F.col("event_id")
+    return resolve.failing_sources(table(spark, sf_dir, "events").select("event_id", choose(k, _COVERAGE).alias("coverage"), choose(k, _ERRORS).alias("error"))).select("event_id", "error")
+
+
+@query(
+    """WITH r AS (SELECT CASE WHEN c_custkey % 4 = 3 OR c_custkey % 8 = 0 THEN 'not flag-related' WHEN c_custkey % 4 = 2 AND n > 1 THEN 'subject names ' || n || ' states - ambiguous' END AS reason
+FROM customer JOIN (SELECT a.n_nationkey, count(*) AS n FROM nation a JOIN nation b ON contains(lower(a.n_name), lower(b.n_name)) GROUP BY 1) ON c_nationkey = n_nationkey)
+SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason"""
+)
+def reject_reasons(spark, sf_dir):
+    return messages.reject_reasons(messages.parse_messages(_mail(spark, sf_dir), *_dimensions(spark, sf_dir)))

@@ -62,3 +62,26 @@ def test_stream_matches_table_and_survives_restart(spark, tmp_path):
     publish(changes_stream(spark.readStream.schema(schema).parquet(src)), log, ck).awaitTermination()
     got = sorted((r.key, r.seq, r.content) for r in spark.read.schema("key string, seq long, content string").json(f"{log}/batch=*").collect())
     assert got == [("a", 2, "y"), ("b", 2, "z")]
+
+
+def test_mail_folder(spark, tmp_path):
+    from halyard.operators.messages import choose_body
+    from halyard.sources.mail import read_messages
+
+    (tmp_path / "a.eml").write_bytes(b"From: =?utf-8?q?Caf=C3=A9?= <x@mi.gov>\r\nSubject: Flags\r\nDate: Tue, 18 Aug 2026 10:00:00 -0400\r\nMIME-Version: 1.0\r\nContent-Type: multipart/alternative; boundary=b\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\nshort\r\n--b\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>a longer body</p>\r\n--b--\r\n")
+    (tmp_path / "b.eml").write_bytes(b"From: y@z\r\nDate: Tue, 4 Aug 2026 10:00:00 +0000\r\nList-Id: KSOG.list\r\n\r\nplain & simple")
+    (tmp_path / "c.eml").write_bytes(b"not a message")
+    rows = {r.msg_id[-5:]: r for r in read_messages(spark, str(tmp_path)).withColumn("body", choose_body(F.col("parts"))).collect()}
+    assert rows["a.eml"].sender == "Café <x@mi.gov>" and rows["a.eml"].body == "a longer body"
+    assert rows["b.eml"].body == "plain & simple" and "KSOG.list" in rows["b.eml"].headers and rows["b.eml"].subject == ""
+    assert read_messages(spark, str(tmp_path), F.lit("2026-08-10").cast("date")).count() == 2
+
+
+def test_federal(spark):
+    from halyard.plans.status_run import federal
+
+    day = F.lit("2026-08-22").cast("date")
+    cal = spark.createDataFrame([(0, "x", "2026-01-01", True, "full-day", "r")], "ordinal int, id string, date string, active boolean, scope string, reason string").withColumn("date", F.to_date("date"))
+    items = spark.createDataFrame([(0, "Flags at half-staff through July 1, 2026", True), (1, "Flags at half-staff from August 20, 2026 through August 23, 2026", True), (2, "Flags at full staff", True)], "ordinal int, title string, is_flag boolean").withColumn("date", F.lit("2026-06-30").cast("date"))
+    assert federal(cal, items, day).first().reason == "Flags at half-staff from August 20, 2026 through August 23, 2026"
+    assert federal(cal, None, day).count() == 0
