@@ -95,9 +95,13 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _child(path: Column, sig: Column) -> Column:
-    """Where bucket `path` sends a node with this signature: the bucket samples one position."""
-    position = F.pmod(F.xxhash64(path, F.lit(POSITIONS)), F.lit(POSITIONS)).cast("int")
+def _sampled(path: Column) -> Column:
+    """The position that bucket `path` samples."""
+    return F.pmod(F.xxhash64(path, F.lit(POSITIONS)), F.lit(POSITIONS)).cast("int")
+
+
+def _child(path: Column, sig: Column, position: Column) -> Column:
+    """Where bucket `path` sends a node with this signature."""
     return F.xxhash64(path, F.substring(sig, position * 4 + 1, F.lit(4)))
 
 
@@ -236,13 +240,14 @@ def _sized(members: DataFrame) -> DataFrame:
 
 def _leaves(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(path, node, n): all buckets to compare, of all runs."""
-    runs = F.array(*[F.xxhash64(F.lit(r)) for r in range(runs_needed(recall, DEPTH, threshold))])
-    first = nodes.select("node", F.explode(F.transform(runs, lambda run: _child(run, F.col("sig")))).alias("path"))
+    # the runs' first positions are all different, as far as there are enough
+    starts = [_child(F.lit(r), F.col("sig"), F.lit(r * 7 % POSITIONS)) for r in range(runs_needed(recall, DEPTH, threshold))]
+    first = nodes.select("node", F.explode(F.array(*starts)).alias("path"))
     level = _sized(first)
     out = level.filter(F.col("n") <= LIMIT)
     for depth in range(2, DEPTH + 1):
         large = level.filter(F.col("n") > LIMIT).select("path", "node").join(nodes.select("node", "sig"), "node")
-        level = _sized(large.select(_child(F.col("path"), F.col("sig")).alias("path"), "node"))
+        level = _sized(large.select(_child(F.col("path"), F.col("sig"), _sampled(F.col("path"))).alias("path"), "node"))
         out = out.union(level if depth == DEPTH else level.filter(F.col("n") <= LIMIT))
     return out
 
