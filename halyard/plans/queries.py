@@ -635,3 +635,14 @@ SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason"""
 )
 def reject_reasons(spark, sf_dir):
     return messages.reject_reasons(messages.parse_messages(_mail(spark, sf_dir), *_dimensions(spark, sf_dir)))
+
+
+@query("SELECT 'https://s' || (c_custkey % 4) || '.org/' || CASE WHEN c_custkey % 3 = 0 THEN 'private/' ELSE 'open/' END || c_custkey AS url, NOT (c_custkey % 4 = 0 AND c_custkey % 3 = 0) AS allowed FROM customer")
+def access_policy(spark, sf_dir):
+    from halyard.sources.tables import access_policy as policy
+
+    k = F.col("c_custkey")
+    urls = table(spark, sf_dir, "customer").select(F.concat(F.lit("https://s"), (k % 4).cast("string"), F.lit(".org/"), F.when(k % 3 == 0, "private/").otherwise("open/"), k.cast("string")).alias("url"))
+    n = F.col("id")
+    robots = spark.range(3).select(F.concat(F.lit("https://s"), n.cast("string"), F.lit(".org")).alias("site"), F.when(n == 1, 403).otherwise(200).alias("status"), F.when(n == 2, "text/html").otherwise("text/plain").alias("content_type"), F.lit("User-agent: *\nDisallow: /private/").alias("body"))
+    return policy(urls, robots)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StructType
 
 BODY_CHARS = 400_000
 REGISTRY = """state string, state_code string, ingest_mode string, confidence string, buildable boolean, rss_url string, flag_page_url string,
@@ -44,17 +46,42 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("date", F.try_to_date("date", "yyyy-MM-dd"))
 
 
+@pandas_udf(BooleanType())
+def _may_fetch(url: pd.Series, rules: pd.Series) -> pd.Series:
+    from functools import cache
+    from urllib.robotparser import RobotFileParser
+
+    @cache
+    def parsed(text: str) -> RobotFileParser:
+        out = RobotFileParser()
+        out.parse(text.splitlines())
+        return out
+
+    return pd.Series([not isinstance(r, str) or parsed(r).can_fetch("*", u) for u, r in zip(url, rules, strict=True)])
+
+
+def access_policy(urls: DataFrame, robots: DataFrame) -> DataFrame:
+    """url, allowed. Only a rule of a robots.txt (site, status, content_type, body) that was read well, and is no HTML, forbids a URL."""
+    from halyard.functions.text import site
+
+    readable = (F.col("status") == 200) & ~F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("html"))
+    rules = robots.filter(readable).select(F.col("site").alias("__site"), F.col("body").alias("__rules"))
+    rows = urls.select("url").withColumn("__site", site(F.col("url"))).join(rules, "__site", "left")
+    return rows.select("url", F.coalesce(_may_fetch(F.col("url"), F.col("__rules")), F.lit(True)).alias("allowed"))
+
+
 def documents(landed: DataFrame, policy: DataFrame | None = None) -> DataFrame:
     """url, html, error of landed fetches (url, status, body, error), cut to BODY_CHARS.
 
-    policy (site, allowed) blocks a site only where it says so; no row, or null, allows.
+    policy, by site or by url (and allowed), blocks only where it says so; no row, or null, allows.
     """
     from halyard.functions.text import site
 
     rows = landed.withColumn("__site", site(F.col("url")))
     allowed = F.lit(True)
     if policy is not None:
-        rows = rows.join(F.broadcast(policy.select(F.col("site").alias("__site"), "allowed")), "__site", "left")
+        on = "url" if "url" in policy.columns else "__site"
+        rows = rows.join(policy.select(F.col(on.strip("_")).alias(on), "allowed"), on, "left")
         allowed = F.coalesce("allowed", F.lit(True))
     error = (
         F.when(F.coalesce("url", F.lit("")) == "", "no url").when(~allowed, "blocked by robots.txt").when(F.col("error").isNotNull(), F.col("error")).when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
