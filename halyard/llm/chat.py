@@ -41,8 +41,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, msg, role, text): the final messages of a log (conv_id, seq, kind, msg, role, text).
 
     kind is message (opens message number msg), delta (adds to its text), edit or regenerate (sets its
-    text anew and withdraws every later message that was opened before). The last role that a message
-    was given holds. Ties in seq go by kind and text. Null texts and roles count as empty; a message
+    text anew and withdraws every later message that was last opened before). The last role that a
+    message was given holds. Ties in seq go by kind and text. Null texts and roles count as empty; a message
     that only has deltas begins empty; other kinds are ignored. Null conv_id is a conversation too.
     """
     kind = F.col("kind")
@@ -52,7 +52,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         events.filter(kind.isin("message", "delta", "edit", "regenerate"))
         .groupBy("conv_id", "msg")
         .agg(
-            F.min("seq").alias("opened"),
+            F.coalesce(F.max(F.when(kind == "message", F.col("seq"))), F.min("seq")).alias("opened"),
             F.max(F.when(redone, F.col("seq"))).alias("redone"),
             F.max(F.when(sets, F.col("seq"))).alias("set_at"),
             F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).getField("role").alias("role"),

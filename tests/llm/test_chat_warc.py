@@ -14,10 +14,11 @@ def test_fold(spark):
     log = [
         (1, 1, "message", 1, "user", "hel"), (1, 2, "delta", 1, None, "lo"), (1, 3, "message", 2, "assistant", ""), (1, 4, "delta", 2, None, "bad"), (1, 5, "regenerate", 2, None, ""), (1, 6, "delta", 2, None, "good"),
         (2, 1, "message", 1, "user", "old"), (2, 2, "message", 2, "assistant", "answer"), (2, 3, "edit", 1, None, "new"), (2, 4, "message", 3, "assistant", "later"),
+        (4, 1, "message", 1, "user", "q"), (4, 2, "message", 2, "assistant", "old"), (4, 3, "edit", 1, None, "q2"), (4, 4, "message", 2, "assistant", "again"),
         (3, 1, "delta", 1, None, "orphan"), (3, 2, "ping", 1, None, "x"), (None, 1, "message", 1, None, None),
     ]
     got = chat.fold_events(spark.createDataFrame(log, EVENTS).repartition(3)).collect()
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 1, "user", "hello"), (1, 2, "assistant", "good"), (2, 1, "user", "new"), (2, 3, "assistant", "later"), (3, 1, "", "orphan"), (None, 1, "", "")]))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 1, "user", "hello"), (1, 2, "assistant", "good"), (2, 1, "user", "new"), (2, 3, "assistant", "later"), (4, 1, "user", "q2"), (4, 2, "assistant", "again"), (3, 1, "", "orphan"), (None, 1, "", "")]))
 
 
 def test_format_reads_back(spark):
