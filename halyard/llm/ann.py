@@ -41,9 +41,29 @@ def projection(width: int, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 def unit(vectors: list) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products of the rows of x with y (one row, or as many), summed component by component as SQL engines do."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * y[..., d]
+    return out
+
+
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of x with q; vectors whose squares leave the range of doubles are scaled first."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        square = in_order(x, x) * in_order(q[None, :], q)[0]
+        plain = in_order(x, q) / np.sqrt(square)
+    odd = ~((square > 1e-290) & (square < 1e290))
+    if odd.any():
+        plain[odd] = in_order(unit(list(x[odd])), unit([q])[0])
+    return np.clip(plain, -1, 1)
+
+
 class KdTree:
     """Leaves of at most LEAF points with their bounding boxes."""
 
@@ -202,17 +222,15 @@ def _searcher(k: int, quantile: float):
         if data.empty or asks.empty:
             return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
         raw = np.array(data["vec"].tolist(), np.float64)
-        length = np.sqrt((raw * raw).sum(1))
-        points, ids, low = raw / length[:, None], data["id"].to_numpy(), np.array(data["low"].tolist())
+        points, ids, low = unit(list(raw)), data["id"].to_numpy(), np.array(data["low"].tolist())
         tree = KdTree(low)
         out: list[tuple[int, int, float]] = []
         vectors, spots = np.array(asks["vec"].tolist(), np.float64), np.array(asks["low"].tolist())
         for a in range(0, len(asks), 256):
             bounds = tree.lower_bounds(spots[a : a + 256])
             for own, q, b, worst in zip(asks["id"].tolist()[a : a + 256], vectors[a : a + 256], bounds, asks["worst"].tolist()[a : a + 256], strict=True):
-                size = np.sqrt((q * q).sum())
-                rows = search(points, ids, tree, q / size, own, b, k, worst, quantile)
-                scores = (raw[rows] * q).sum(1) / (length[rows] * size)
+                rows = search(points, ids, tree, unit([q])[0], own, b, k, worst, quantile)
+                scores = cosines(raw[rows], q)
                 top = np.lexsort((ids[rows], -scores))[:k]
                 out += [(own, int(ids[rows[i]]), float(scores[i])) for i in top.tolist()]
         return pd.DataFrame(out, columns=["qid", "vec_id", "score"])

@@ -75,6 +75,13 @@ def test_vectors_that_take_no_part(spark):
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e300, 0.0]), (1, [1e-300, 0.0]), (2, [3e200, 4e200]), (3, [0.0, -1e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, df.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in got] == [(1, 1.0), (2, 0.6), (3, 0.0)]
+
+
 def test_fixed_quantiles():
     """The stated quantiles against the regularised gamma function by its series."""
     for n, q in ann.CHI_SQUARE_99.items():
