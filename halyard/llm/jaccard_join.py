@@ -143,12 +143,11 @@ def _own_pairs(group: pa.RecordBatch) -> np.ndarray:
     flat = leaves.flatten().to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(n), np.diff(leaves.offsets.to_numpy()))
     earlier = flat < path
-    names, at, count = np.unique(flat[earlier], return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count > 1)
-    if len(shared):
-        has = np.zeros((n, len(names)), np.float32)
-        has[owner[earlier], at] = 1
-        has = has[:, shared]
+    _, at, count = np.unique(flat[earlier], return_inverse=True, return_counts=True)
+    again = count[at] > 1
+    if again.any():
+        has = np.zeros((n, int((count > 1).sum())), np.float32)
+        has[owner[earlier][again], (np.cumsum(count > 1) - 1)[at[again]]] = 1
         allowed &= (has @ has.T) < 0.5
     return allowed
 
