@@ -20,8 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.words import chunks
+
 TIERS = (1024, 512, 256, 128)
 GROUP_TOKENS = 1 << 21
+CHUNK_CHARS = 1 << 22  # encoded in one call
 STEP = 8
 END_ID = 0
 
@@ -111,14 +114,14 @@ def _packer(path: str, tiers: tuple[int, ...], with_ids: bool):
         docs, ids, held = [], [], 0
         for batch in batches:
             own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 64):
-                for doc, x in zip(own[a : a + 64], encode(texts[a : a + 64]), strict=True):
+            for a, b in chunks(texts, CHUNK_CHARS):
+                for doc, x in zip(own[a:b], encode(texts[a:b]), strict=True):
                     docs.append(doc)
                     ids.append(x + end)
                     held += len(x) // 4 + 1
-                if held >= GROUP_TOKENS:
-                    yield from group(docs, ids)
-                    docs, ids, held = [], [], 0
+                    if held >= GROUP_TOKENS:
+                        yield from group(docs, ids)
+                        docs, ids, held = [], [], 0
         yield from group(docs, ids)
 
     return pack

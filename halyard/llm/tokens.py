@@ -12,6 +12,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANK = "\u0120"  # how a byte-level vocabulary writes a blank
 _ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
@@ -20,13 +22,13 @@ _ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
 class UnitEncoder:
     """encode(texts) gives, for each text, its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text here
-        self.cached, self.known = cached, {}
+        self.cached, self.known, self.before = cached, {}, {}
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a blank
         self.opens[[i for t, i in vocab.items() if t[0] == BLANK]] = True
@@ -41,22 +43,47 @@ class UnitEncoder:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _look_up(self, units: list[str]) -> list[bytes]:
+        """Ids of " " + unit for each of these distinct units; units used lately stay known, in two generations."""
         if len(self.known) > self.cached:
-            self.known = {}
-        known = self.known
-        parts = [None if _ODD_BLANK.search(t) else t.split(" ") for t in texts]
-        found = [p and list(map(known.get, p[1:])) for p in parts]
-        open_ = [i for i, f in enumerate(found) if f and None in f]
-        new = {u for i in open_ for u, x in zip(parts[i][1:], found[i], strict=True) if x is None}
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        missing = [u for u in units if u not in known]
+        again = [u for u in missing if u in before]
+        known.update(zip(again, map(before.__getitem__, again), strict=True))
+        new = [u for u in missing if u not in known]
         odd, plain = [u for u in new if not u or u[0].isspace()], [u for u in new if u and not u[0].isspace()]
         known.update(zip(odd, self._ids([" " + u for u in odd]), strict=True))
         for a in range(0, len(plain), 4096):
             known.update(zip(plain[a : a + 4096], self._unit_ids(plain[a : a + 4096]), strict=True))
-        for i in open_:
-            found[i] = [known[u] for u in parts[i][1:]]
-        heads = self._ids([t if p is None else p[0] for t, p in zip(texts, parts, strict=True)])
-        return [head if p is None else head + b"".join(f) for head, p, f in zip(heads, parts, found, strict=True)]
+        return list(map(known.__getitem__, units))
+
+    def _tails(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text from its first blank on. Distinct units are found by Arrow, so each is looked up once a call."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        begins = lists.offsets.to_numpy()
+        tail = np.ones(begins[-1], bool)
+        tail[begins[:-1]] = False
+        units = lists.flatten().filter(pa.array(tail)).dictionary_encode()
+        ids = self._look_up(units.dictionary.to_pylist())
+        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        codes = units.indices.to_numpy()
+        own = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], own) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        cuts = (4 * ends[begins - np.arange(len(begins))]).tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [i for i, t in enumerate(texts) if not _ODD_BLANK.search(t)]
+        heads = list(texts)
+        for i in plain:
+            heads[i] = texts[i].split(" ", 1)[0]
+        out = self._ids(heads)
+        for i, tail in zip(plain, self._tails([texts[i] for i in plain]), strict=True):
+            out[i] += tail
+        return out
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

@@ -29,12 +29,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts of about CHUNK_BYTES each (more only where one text is larger)."""
+def chunks(texts: list[str | None], chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about this many characters each (more only where one text is larger)."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= CHUNK_BYTES:
+        if size >= chunk:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
