@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from halyard.llm.components import connected_components
 from halyard.llm.scratch import written
 from halyard.llm.words import chunks, mix, shingle_sets
+from halyard.llm.workers import tidy
 
 POSITIONS = 64
 LIMIT = 256
@@ -263,7 +264,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    features = written(rows.mapInArrow(_features(k), "doc_id long, text_hash long, node binary, sig binary"), "features")
+    features = written(rows.mapInArrow(tidy(_features(k)), "doc_id long, text_hash long, node binary, sig binary"), "features")
     nodes = written(
         features.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("rep"), F.first("sig").alias("sig")),
         "nodes",
@@ -276,13 +277,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = leaves.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", block).select("path", "node", "mine", F.explode(pairs).alias("b")).select("path", "b.bi", "b.bj", "mine", "node")
     by = ["path", "bi", "bj"]
     near = blocks.join(own.select("node", "leaves", "sketch"), "node").select(*by, "mine", "node", "leaves", "sketch").repartition(*by).sortWithinPartitions(*by)
-    near = written(near.mapInArrow(_sketch, MEMBER_SCHEMA), "near")
+    near = written(near.mapInArrow(tidy(_sketch), MEMBER_SCHEMA), "near")
     reps = near.select("node").distinct().join(own.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
     # without the hint a small table of representatives would be broadcast, and a larger one not
     sets = rows.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")), "left_semi").select("text")
-    sets = sets.mapInArrow(_sets(k), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = sets.mapInArrow(tidy(_sets(k)), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     full = near.join(sets, "node").join(own.select("node", "weight", "leaves"), "node").select(*by, "mine", "node", "weight", "leaves", "shingles")
-    found = written(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(_verify(threshold), "node binary, links long, root binary"), "links")
+    found = written(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(_verify(threshold)), "node binary, links long, root binary"), "links")
     labels = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "weight", F.col("rep.doc_id").alias("rep_id")).join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halyard.llm.workers import tidy
+
 UNDETERMINED = "und"
 BLOCK = 512
 MOST_SYMBOLS = 250
@@ -201,7 +203,7 @@ def predict(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), held_out(F.col(id_col)).alias("__held"), F.col(text_col).alias("__text"), *keep)
     schema = ", ".join([SCHEMA, *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

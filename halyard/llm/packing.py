@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.words import chunks
+from halyard.llm.workers import tidy
 
 TIERS = (1024, 512, 256, 128)
 GROUP_TOKENS = 1 << 21
@@ -136,7 +137,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     identifier, or have none, are packed like any other. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_packer(tokenizer_path, tuple(sorted(tiers, reverse=True)), with_ids), SCHEMA)
+    return rows.mapInArrow(tidy(_packer(tokenizer_path, tuple(sorted(tiers, reverse=True)), with_ids), keeps=True), SCHEMA)
 
 
 def default_tokenizer() -> str:

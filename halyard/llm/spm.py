@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.workers import kept
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -166,15 +168,9 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-_CODECS: dict[tuple, Codec] = {}
-
-
 def codec(path: str, threads: int = 1, verify: bool = True) -> Codec:
     """One per Python worker, model and setting."""
-    key = (path, threads, verify)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(path, threads, verify)
-    return _CODECS[key]
+    return kept(("pieces", path, threads, verify), lambda: Codec(path, threads, verify))
 
 
 SCHEMA = "doc_id long, ids binary, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean"

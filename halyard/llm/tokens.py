@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from halyard.llm.workers import kept
+
 BLANK = "\u0120"  # how a byte-level vocabulary writes a blank
 _ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
 
@@ -22,7 +24,7 @@ _ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
 class UnitEncoder:
     """encode(texts) gives, for each text, its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -86,11 +88,6 @@ class UnitEncoder:
         return out
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """One per Python worker and vocabulary: its units stay known from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return kept(("tokens", path), lambda: UnitEncoder(path))
