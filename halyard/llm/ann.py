@@ -31,6 +31,7 @@ SAMPLE = 4096
 SHARD_ROWS = 8192
 LEAF = 64
 QUERY_BLOCK = 4096
+EXACT_BLOCK = 1024
 TIE = 1e-9
 
 
@@ -94,11 +95,24 @@ class KdTree:
         return out
 
 
-def search(points: np.ndarray, ids: np.ndarray, tree: KdTree, query: np.ndarray, own: int, bounds: np.ndarray, k: int, worst: float, quantile: float) -> np.ndarray:
+def exact_best(raw: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """The k of rows with the largest exact cosines, smaller identifiers first among equals; in blocks, so that memory stays bounded."""
+    top, scores = np.empty(0, np.int64), np.empty(0)
+    for a in range(0, len(rows), EXACT_BLOCK):
+        block = rows[a : a + EXACT_BLOCK]
+        top, scores = np.concatenate([top, block]), np.concatenate([scores, cosines(raw[block], q)])
+        order = np.lexsort((ids[top], -scores))[:k]
+        top, scores = top[order], scores[order]
+    return top
+
+
+def search(points: np.ndarray, raw: np.ndarray, ids: np.ndarray, tree: KdTree, q: np.ndarray, own: int, bounds: np.ndarray, k: int, worst: float, quantile: float) -> np.ndarray:
     """Rows of the k nearest points and those level with the last: leaves are verified by growing bound, in doubling steps, until the test holds.
 
-    worst is a cosine that k candidates elsewhere reach; the test may use it from the start.
+    raw and q are the vectors as given, points those of length one. worst is a cosine that k candidates
+    elsewhere reach; the test may use it from the start.
     """
+    query = unit([q])[0]
     nearest = np.argsort(bounds, kind="stable")
     sorted_bounds = bounds[nearest]
     rows, best = np.empty(0, np.int64), np.empty(0)
@@ -114,11 +128,11 @@ def search(points: np.ndarray, ids: np.ndarray, tree: KdTree, query: np.ndarray,
         if len(best) > k:  # what is level by rounding is told apart later, on the original vectors
             keep = best >= np.partition(best, len(best) - k)[len(best) - k] - TIE
             rows, best = rows[keep], best[keep]
+        if len(best) > 8 * k:  # many are level: what is not among the k best by exact score can't come back
+            rows = exact_best(raw, ids, rows, q, k)
+            best = points[rows] @ query
         top = np.lexsort((ids[rows], -best))
         rows, best = rows[top], best[top]
-        if len(best) > 8 * k and best[0] - best[-1] <= TIE:  # as good as identical: smaller identifiers win
-            top = np.sort(np.argsort(ids[rows], kind="stable")[: 8 * k])
-            rows, best = rows[top], best[top]
         at, step = at + len(leaves), step * 2
     return rows
 
@@ -229,7 +243,7 @@ def _searcher(k: int, quantile: float):
         for a in range(0, len(asks), 256):
             bounds = tree.lower_bounds(spots[a : a + 256])
             for own, q, b, worst in zip(asks["id"].tolist()[a : a + 256], vectors[a : a + 256], bounds, asks["worst"].tolist()[a : a + 256], strict=True):
-                rows = search(points, ids, tree, unit([q])[0], own, b, k, worst, quantile)
+                rows = search(points, raw, ids, tree, q, own, b, k, worst, quantile)
                 scores = cosines(raw[rows], q)
                 top = np.lexsort((ids[rows], -scores))[:k]
                 out += [(own, int(ids[rows[i]]), float(scores[i])) for i in top.tolist()]

@@ -66,6 +66,19 @@ def test_recall_over_many_shards(spark):
     assert found[3000] == [i for i in range(3001, 3006)]  # identical vectors: smaller identifiers
 
 
+def test_jittered_copies_are_told_apart_by_exact_score(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(16) + 1e-5 * rng.standard_normal((600, 16))
+    ids = rng.permutation(600)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0"), shard_rows=4000).collect()
+    for at in np.flatnonzero(ids % 50 == 0):
+        s = ann.cosines(x, x[at])
+        want = [j for j in np.lexsort((ids, -s)) if j != at][:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == ids[at])
+        assert s.min() > 1 - 1e-9 and mine == [(i + 1, ids[j], s[j]) for i, j in enumerate(want)]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (8, []), (9, [-1.0, 0.0]), (9, [-1.0, 0.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
