@@ -21,10 +21,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without a letter, or that no language explains better than another, go."""
+    """Documents in some language; those without a letter go. Where languages tie, the one that sorts first counts."""
     docs = docs.select(*COLUMNS)
     found = langid.predict(docs, langid.fit(docs), keep=COLUMNS[1:])
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline as p
 from helpers import awkward, empty
 from test_dedup import brute_lines
@@ -5,6 +7,7 @@ from test_jaccard import brute
 from test_tokens import check_pieces
 
 from places import DATA
+from halyard.llm import langid
 
 
 def test_stages_against_plain_versions(spark):
@@ -34,5 +37,16 @@ def test_awkward_and_empty_tables(spark):
         docs.collect()
 
 
+def test_texts_on_which_languages_tie_stay(spark):
+    shared = "la casa es de madera y el sol brilla en la plaza"
+    learned = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2][:16]
+    rows = [(i, shared, ("en", "es")[n % 2], "s", len(shared)) for n, i in enumerate(learned)]
+    rows += [(100, "casa", None, "s", 4), (101, "123 !?", None, "s", 6), (102, None, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = langid.predict(docs, langid.fit(docs)).filter("lang_pred <> 'und'").collect()
+    assert {(r.lang_pred, r.score) for r in found} == {("en", 0.0)}
+    assert sorted(r.doc_id for r in p.language_id(spark, docs, "").collect()) == [*learned, 100]
+
+
 def test_run(spark):
     assert p.run(spark, f"{DATA}/sf0.001").count() > 0 and p.ORACLE_SQL is None
