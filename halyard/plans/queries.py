@@ -267,10 +267,23 @@ SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n FROM d JOIN w ON d BETWEEN
 )
 def covered_days(spark, sf_dir):
     o = orders(spark, sf_dir)
-    w = o.filter("o_orderkey % 10 = 0").select(F.col("day").alias("s"), F.date_add("day", (F.col("o_orderkey") % 40).cast("int")).alias("e"))
+    return _covered(o, o.filter("o_orderkey % 10 = 0"))
+
+
+def _covered(o, given):
+    w = given.select(F.col("day").alias("s"), F.date_add("day", (F.col("o_orderkey") % 40).cast("int")).alias("e"))
     return coverage.covered_days(w, o.select(F.col("day").alias("d")).distinct(), "s", "e", "d").groupBy("d").agg(F.count("*").alias("n")).select(F.col("d").cast("string").alias("day"), "n")
 
 
+@query(
+    """WITH w AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS e FROM orders), d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n FROM d JOIN w ON d BETWEEN s AND e GROUP BY d"""
+)
+def covered_days_of_all_orders(spark, sf_dir):
+    o = orders(spark, sf_dir)
+    return _covered(o, o)
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR CAST(o_orderdate AS DATE) >= DATE '2001-07-11'")
 def recent_rows(spark, sf_dir):
     d = F.when(F.col("o_orderkey") % 5 != 0, F.col("day"))

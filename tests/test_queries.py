@@ -1,5 +1,8 @@
 """Every query of the status engine against its SQL on the smallest tables."""
 
+from collections import Counter
+from datetime import timedelta
+
 import pytest
 
 from places import DATA
@@ -15,6 +18,13 @@ def test_query(spark, duck, same_rows, name):
         assert df.count() > 0
 
 
+def test_covered_days_of_all_orders(spark, duck):
+    rows = duck.sql("SELECT o_orderkey, CAST(o_orderdate AS DATE) FROM orders").fetchall()
+    days = {d for _, d in rows}
+    want = Counter(str(d + timedelta(i)) for k, d in rows for i in range(k % 40 + 1) if d + timedelta(i) in days)
+    assert {r.day: r.n for r in QUERIES["covered_days_of_all_orders"](spark, f"{DATA}/sf0.001").collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
