@@ -500,7 +500,20 @@ def parse_messages(spark, sf_dir):
 SELECT state_code, min(c_custkey) AS msg_id, '2026-08-18' AS sent_date FROM m GROUP BY state_code"""
 )
 def latest_orders(spark, sf_dir):
-    mail = _mail(spark, sf_dir).filter("msg_id % 4 = 1")
+    return _latest(spark, sf_dir, _mail(spark, sf_dir).filter("msg_id % 4 = 1"))
+
+
+@query(
+    _MAIL_SQL
+    + """, a AS (SELECT m.c_custkey, CASE WHEN k = 0 AND m.c_custkey % 8 = 4 THEN CAST(dom.h AS VARCHAR) WHEN k = 1 THEN CAST(m.n_nationkey AS VARCHAR) WHEN k = 2 AND sub.n = 1 THEN sub.h END AS code
+FROM m LEFT JOIN dom ON m.c_custkey = dom.c_custkey LEFT JOIN sub ON m.c_custkey = sub.c_custkey)
+SELECT code AS state_code, min(c_custkey) AS msg_id, '2026-08-18' AS sent_date FROM a WHERE code IS NOT NULL GROUP BY code"""
+)
+def latest_orders_of_all_mail(spark, sf_dir):
+    return _latest(spark, sf_dir, _mail(spark, sf_dir))
+
+
+def _latest(spark, sf_dir, mail):
     return messages.latest_orders(messages.parse_messages(mail, *_dimensions(spark, sf_dir))).select("state_code", "msg_id", F.col("sent_date").cast("string").alias("sent_date"))
 
 

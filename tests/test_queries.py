@@ -25,6 +25,13 @@ def test_covered_days_of_all_orders(spark, duck):
     assert {r.day: r.n for r in QUERIES["covered_days_of_all_orders"](spark, f"{DATA}/sf0.001").collect()} == want
 
 
+def test_latest_orders_of_all_mail_choose_between_paths(spark, duck):
+    got = {r.state_code: r.msg_id for r in QUERIES["latest_orders_of_all_mail"](spark, f"{DATA}/sf0.001").collect()}
+    assert {0, 1, 2} == {i % 4 for i in got.values()} and all(i % 8 != 0 for i in got.values())
+    nations = dict(duck.sql("SELECT c_custkey, CAST(c_nationkey AS VARCHAR) FROM customer").fetchall())
+    assert all(nations[i] == code for code, i in got.items())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
