@@ -104,9 +104,23 @@ def date_range(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN '2001-07-04' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS modified FROM orders WHERE year(o_orderdate) >= 2000")
 def page_last_modified(spark, sf_dir):
+    return _modified(orders(spark, sf_dir).filter("year(day) >= 2000"))
+
+
+# without a year that counts, a date is of 2001, or of 2000 if that would be over a month ahead of 2001-08-01
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(o_orderdate AS DATE) AS d, try_cast('2001' || strftime(o_orderdate, '-%m-%d') AS DATE) AS a, try_cast('2000' || strftime(o_orderdate, '-%m-%d') AS DATE) AS b FROM orders),
+y AS (SELECT o_orderkey, k, d, CASE WHEN a <= DATE '2001-09-01' THEN a ELSE b END AS c FROM o)
+SELECT o_orderkey, strftime(CASE WHEN k = 3 THEN DATE '2001-07-04' WHEN year(d) >= 2000 THEN d WHEN k = 1 THEN c WHEN k = 2 THEN greatest(c, DATE '2001-07-04') END, '%Y-%m-%d') AS modified FROM y"""
+)
+def page_last_modified_of_all_orders(spark, sf_dir):
+    return _modified(orders(spark, sf_dir))
+
+
+def _modified(o):
     a = long_date(F.col("day"))
     html = choose(F.col("o_orderkey"), (F.concat(F.lit('<meta name="DCTERMS.modified" content="'), F.col("day").cast("string"), F.lit('T10:00:00Z"><p>x</p>')), F.concat(F.lit("<p>Last updated: "), a, F.lit("</p>")), F.concat(F.lit("<p>Order of Jul. 4, then "), a, F.lit("</p>")), "<p>Order of Jul. 4</p>"))
-    return orders(spark, sf_dir).filter("year(day) >= 2000").select("o_orderkey", dates.page_last_modified(html, day("2001-08-01")).cast("string").alias("modified"))
+    return o.select("o_orderkey", dates.page_last_modified(html, day("2001-08-01")).cast("string").alias("modified"))
 
 
 # --- rules ----------------------------------------------------------------------------------------
@@ -638,14 +652,29 @@ def status_run(spark, sf_dir):
 SELECT user_id, f AS fingerprint, p IS NOT NULL AND p <> f AS changed, p IS NULL AS first_seen FROM l WHERE i = CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END"""
 )
 def observed_pages(spark, sf_dir):
+    pages = _status_pages(spark, sf_dir)
+    before = resolve.observed_pages(pages.filter("i = 1 AND user_id % 2 = 0"), None, "user_id").select("user_id", "fingerprint")
+    now = pages.filter("i = CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END")
+    return resolve.observed_pages(now, before, "user_id").select("user_id", "fingerprint", "changed", "first_seen")
+
+
+@query(
+    """WITH h AS (SELECT event_id, user_id, sha256('Status ' || event_type || ' at ')[1:16] AS f FROM events), l AS (SELECT user_id, f, lag(f) OVER (PARTITION BY user_id ORDER BY event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM h)
+SELECT user_id, i, f AS fingerprint, p IS NOT NULL AND p <> f AS changed, p IS NULL AS first_seen FROM l"""
+)
+def observed_pages_of_all_events(spark, sf_dir):
+    pages = _status_pages(spark, sf_dir)
+    key = lambda i: F.struct("user_id", i.alias("i")).alias("key")
+    before = resolve.observed_pages(pages.select(key(F.col("i") + 1), "html"), None, "key").select("key", "fingerprint")
+    return resolve.observed_pages(pages.select(key(F.col("i")), "html"), before, "key").select("key.user_id", "key.i", "fingerprint", "changed", "first_seen")
+
+
+def _status_pages(spark, sf_dir):
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     page = F.concat(F.lit("<p>Status "), F.col("event_type"), F.lit(" at 10:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit(" AM</p>"))
-    pages = e.select("user_id", "i", page.alias("html"))
-    before = resolve.observed_pages(pages.filter("i = 1 AND user_id % 2 = 0"), None, "user_id").select("user_id", "fingerprint")
-    now = pages.filter("i = CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END")
-    return resolve.observed_pages(now, before, "user_id").select("user_id", "fingerprint", "changed", "first_seen")
+    return e.select("user_id", "i", page.alias("html"))
 
 
 @query(f"SELECT event_id, {case_sql('event_id', _ERRORS)} AS error FROM events WHERE event_id % 7 BETWEEN 1 AND 5 AND event_id % 4 <> 2 OR event_id % 4 = 3")

@@ -32,6 +32,15 @@ def test_latest_orders_of_all_mail_choose_between_paths(spark, duck):
     assert all(nations[i] == code for code, i in got.items())
 
 
+def test_pages_of_all_years_and_events(spark, duck):
+    count = lambda sql: duck.sql(sql).fetchall()[0][0]
+    pages = QUERIES["page_last_modified_of_all_orders"](spark, f"{DATA}/sf0.001")
+    assert pages.count() == count("SELECT count(*) FROM orders")
+    assert pages.filter("modified IS NULL").count() == count("SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0 AND year(o_orderdate) < 2000") > 0
+    seen = QUERIES["observed_pages_of_all_events"](spark, f"{DATA}/sf0.001")
+    assert seen.count() == count("SELECT count(*) FROM events") and seen.filter("first_seen").count() == count("SELECT count(DISTINCT user_id) FROM events")
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
