@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.dates import advertised_window, page_last_modified
@@ -171,8 +171,8 @@ def error_causes(rows: DataFrame) -> DataFrame:
 
 def publishable(rows: DataFrame, least: int = 20) -> DataFrame:
     """The rows, or an error when they are read if fewer than `least` are covered. Nothing is collected for it."""
-    n = F.count_if(F.col("coverage") == "covered").over(Window.partitionBy())
-    return rows.withColumn("__n", n).withColumn("__ok", F.assert_true(F.col("__n") >= least, F.lit("too few covered to publish"))).filter("__ok IS NULL").drop("__n", "__ok")
+    n = rows.agg(F.count_if(F.col("coverage") == "covered").alias("__n"))
+    return rows.join(F.broadcast(n), how="left").withColumn("__ok", F.assert_true(F.col("__n") >= least, F.lit("too few covered to publish"))).filter("__ok IS NULL").drop("__n", "__ok")
 
 
 def enrich(items: DataFrame, bodies: DataFrame, wanted: Column, on: str, cols: Sequence[str]) -> DataFrame:

@@ -35,6 +35,12 @@ def test_documents_and_gate(spark):
         assert "too few covered" in str(e)
 
 
+def test_gate_leaves_rows_where_they_are(spark):
+    rows = spark.range(0, 1000, 1, 4).select("id", F.lit("covered").alias("coverage"))
+    gated = resolve.publishable(rows, 1000)
+    assert gated.columns == rows.columns and gated.count() == 1000 and gated.rdd.getNumPartitions() == 4
+
+
 def test_snapshot_document(spark, tmp_path):
     states = spark.createDataFrame([("OH", "full"), ("MI", "half")], "state_code string, status string")
     counts = resolve.coverage_counts(spark.createDataFrame([("covered", None), ("stale", "x")], "coverage string, error string"))
