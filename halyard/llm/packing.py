@@ -134,7 +134,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Every id of a document (its tokens, then END_ID) is in exactly one piece; a null or empty text is
     its END_ID alone. Windows have at most their tier's tokens, and all but the last of a group are
     full. ids are little-endian unsigned 32-bit integers (null unless with_ids). Rows that repeat an
-    identifier, or have none, are packed like any other. An empty table gives an empty result.
+    identifier, or have none, are packed like any other. An empty table gives an empty result. The
+    string of an added token (such as <|endoftext|>) in a text is that token, as the tokenizers library
+    has it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(tidy(_packer(tokenizer_path, tuple(sorted(tiers, reverse=True)), with_ids), keeps=True), SCHEMA)

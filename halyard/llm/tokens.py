@@ -3,13 +3,18 @@
 A byte-level BPE of this kind first cuts a text before each blank that is not within a run of white
 space, and merges never cross a cut. So the ids of a text are the ids of its blank-separated units in
 order, and a unit seen before costs one look-up. Texts in which white space touches a blank in another
-way are encoded whole.
+way, or which hold the string of an added token, are encoded whole.
+
+New units in Latin letters are cut into the pieces of the public pattern here, and the library's BPE
+merges each new piece; other units go through the library's own pattern.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,48 +22,104 @@ import pyarrow.compute as pc
 
 from halyard.llm.workers import kept
 
-BLANK = "\u0120"  # how a byte-level vocabulary writes a blank
+BLANK = "Ġ"  # how a byte-level vocabulary writes a blank
+# Fixed value: the pattern by which this kind of vocabulary cuts texts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANK_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
 _ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
+_LATIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")  # all versions of Unicode agree on these
+
+
+def byte_letters() -> dict[int, int]:
+    """For each byte the character that a byte-level vocabulary writes for it: itself where it is visible, else one beyond."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {**dict(zip(visible, visible, strict=True)), **{b: 256 + i for i, b in enumerate(hidden)}}
 
 
 class UnitEncoder:
-    """encode(texts) gives, for each text, its ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives, for each text, its ids as little-endian unsigned 32-bit integers.
+
+    The strings of added tokens in a text become those tokens' ids, as the library does; with
+    special_as_text they are ordinary text.
+    """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, special_as_text: bool = False, cached: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text here
-        self.cached, self.known, self.before = cached, {}, {}
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        steps = json.loads(self.tokenizer.to_str())
+        cut = steps["pre_tokenizer"] or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not steps["normalizer"]
+        self.cut = regex.compile(PATTERN).findall if plain else None
+        self.letters = {**byte_letters(), 0: 0}  # 0 separates pieces
+        self.cached, self.pieces = cached, {}
+        self._forget()
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a blank
         self.opens[[i for t, i in vocab.items() if t[0] == BLANK]] = True
 
+    def _forget(self) -> None:
+        self.units, self.ids, self.begins = pa.array([], pa.string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unit_ids(self, units: list[str]) -> list[bytes]:
-        """Ids of " " + unit for each unit, none of which begins with white space: all in one text, cut before each blank."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, "<u4")
-        at = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def _look_up(self, units: list[str]) -> list[bytes]:
-        """Ids of " " + unit for each of these distinct units; units used lately stay known, in two generations."""
-        if len(self.known) > self.cached:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        missing = [u for u in units if u not in known]
-        again = [u for u in missing if u in before]
-        known.update(zip(again, map(before.__getitem__, again), strict=True))
-        new = [u for u in missing if u not in known]
-        odd, plain = [u for u in new if not u or u[0].isspace()], [u for u in new if u and not u[0].isspace()]
-        known.update(zip(odd, self._ids([" " + u for u in odd]), strict=True))
-        for a in range(0, len(plain), 4096):
-            known.update(zip(plain[a : a + 4096], self._unit_ids(plain[a : a + 4096]), strict=True))
-        return list(map(known.__getitem__, units))
+    def _merged(self, pieces: list[str]) -> bytes:
+        """Ids of these pieces of the pattern one after another."""
+        new = [p for p in set(pieces) if p not in self.pieces]
+        if new:
+            merge = self.tokenizer.model.tokenize
+            written = "\0".join(new).encode().decode("latin-1").translate(self.letters).split("\0")
+            self.pieces.update(zip(new, [array("I", [t.id for t in merge(w)]).tobytes() for w in written], strict=True))
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _unit_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + unit for each unit one after another, and how many each has; none is empty or begins with white space."""
+        text = " " + " ".join(units)
+        if self.cut and _LATIN.fullmatch(text):
+            ids = np.frombuffer(self._merged(self.cut(text)), "<u4")
+        elif len(units) > 128:  # few units are not Latin
+            parts = [self._unit_ids(units[a : a + 128]) for a in range(0, len(units), 128)]
+            return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return ids, np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+
+    def _learn(self, units: pa.Array) -> None:
+        """Add these units, all new, to those known, in this order."""
+        names = units.to_pylist()
+        odd = [i for i, u in enumerate(names) if not u or u[0].isspace()]
+        each = self._ids([" " + names[i] for i in odd])
+        parts, sizes, at = [self.ids], [np.diff(self.begins)], 0
+        for i, x in zip([*odd, len(names)], [*each, b""], strict=True):
+            for a in range(at, i, 4096):
+                ids, n = self._unit_ids(names[a : min(a + 4096, i)])
+                parts.append(ids)
+                sizes.append(n)
+            parts.append(np.frombuffer(x, "<u4"))
+            sizes.append(np.array([len(x) // 4] if i < len(names) else [], np.int64))
+            at = i + 1
+        self.ids, self.begins = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.units = pa.concat_arrays([self.units, units])
+
+    def _look_up(self, units: pa.Array) -> np.ndarray:
+        """Where, among the units known then, these distinct units are. Units stay known until there are too many."""
+        if len(self.units) > self.cached:
+            self._forget()
+        if len(self.pieces) > self.cached:
+            self.pieces = {}
+        at, n = pc.index_in(units, value_set=self.units), len(self.units)
+        new = at.is_null()
+        self._learn(units.filter(new))
+        out = at.fill_null(0).to_numpy().astype(np.int64)
+        out[new.to_numpy(zero_copy_only=False)] = np.arange(n, len(self.units))
+        return out
 
     def _tails(self, texts: list[str]) -> list[bytes]:
         """Ids of each text from its first blank on. Distinct units are found by Arrow, so each is looked up once a call."""
@@ -67,18 +128,18 @@ class UnitEncoder:
         tail = np.ones(begins[-1], bool)
         tail[begins[:-1]] = False
         units = lists.flatten().filter(pa.array(tail)).dictionary_encode()
-        ids = self._look_up(units.dictionary.to_pylist())
-        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        codes = units.indices.to_numpy()
-        own = sizes[codes]
+        known = self._look_up(units.dictionary)[units.indices.to_numpy()]
+        first, own = self.begins[known], np.diff(self.begins)[known]
         ends = np.concatenate([[0], np.cumsum(own)])
-        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], own) + np.arange(ends[-1])
-        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        data = self.ids[np.repeat(first - ends[:-1], own) + np.arange(ends[-1])].tobytes()
         cuts = (4 * ends[begins - np.arange(len(begins))]).tolist()
         return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _whole(self, text: str) -> bool:
+        return bool(_BLANK_BEFORE_SPACE.search(text) and _ODD_BLANK.search(text)) or bool(self.added and self.added.search(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if not _ODD_BLANK.search(t)]
+        plain = [i for i, t in enumerate(texts) if not self._whole(t)]
         heads = list(texts)
         for i in plain:
             heads[i] = texts[i].split(" ", 1)[0]
@@ -88,6 +149,6 @@ class UnitEncoder:
         return out
 
 
-def encoder(path: str) -> UnitEncoder:
-    """One per Python worker and vocabulary: its units stay known from task to task."""
-    return kept(("tokens", path), lambda: UnitEncoder(path))
+def encoder(path: str, special_as_text: bool = False) -> UnitEncoder:
+    """One per Python worker, vocabulary and setting: its units stay known from task to task."""
+    return kept(("tokens", path, special_as_text), lambda: UnitEncoder(path, special_as_text))

@@ -12,11 +12,11 @@ from halyard.llm.queries import QUERIES
 from halyard.llm.tokens import UnitEncoder
 
 
-def whole_ids(texts):
+def whole_ids(texts, special_as_text=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -24,9 +24,22 @@ def test_units_give_the_ids_of_whole_texts():
     rng = random.Random(2)
     odd = ["", " ", "  ", " a", "a ", "a\n b", "a \n b", "a\n \nb", "a  b", "a   b", "\u00a0 x", "x\u3000 y", "it's we'll", "<|endoftext|> x", "a\t b", "a \tb"]
     odd += ["".join(rng.choice(["a", "the", " ", " ", "\n", "\t", ".", "'s", "é", "😀", "1", "\u00a0"]) for _ in range(40)) for _ in range(800)]
-    own = UnitEncoder(packing.default_tokenizer(), cached=50)
-    for a in range(0, len(odd), 100):
-        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(odd[a : a + 100])] == whole_ids(odd[a : a + 100])
+    odd += [" ".join(rng.choice(["the", "naïve,", "übergrößen\n\nX", "日本語", "приве́т", "x²", "½", "a\x1fb", "\x00", "don't", "12.5%", "", "\u0378"]) for _ in range(30)) for _ in range(200)]
+    for as_text in (False, True):
+        own = UnitEncoder(packing.default_tokenizer(), as_text, cached=50)
+        for a in range(0, len(odd), 100):
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(odd[a : a + 100])] == whole_ids(odd[a : a + 100], as_text)
+
+
+def test_strings_of_added_tokens_are_those_tokens():
+    special = "<|endoftext|>"
+    texts = [special, f"{special} at the front", f"in the {special} middle", f"at the end {special}", f"a{special}{special}b", "<|endoftext", f"hello {special} world"]
+    own = UnitEncoder(packing.default_tokenizer())
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert got == whole_ids(texts) and [x.count(50256) for x in got] == [1, 1, 1, 1, 2, 0, 1]
+    assert got[-1] == [31373, 220, 50256, 995]
+    as_text = UnitEncoder(packing.default_tokenizer(), special_as_text=True).encode(texts)
+    assert all(50256 not in np.frombuffer(x, "<u4") for x in as_text)
 
 
 def test_pack_lengths_holds_all_and_pads_next_to_nothing():
