@@ -4,10 +4,15 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 longest matches with that automaton (its cross-parsing); the language that needs the fewest phrases,
 each weighed by the bits that point into that language's text, wins.
 
-Automata are built on the driver from a sample of labelled rows whose size is a parameter
-(docs_per_lang rows of at most doc_chars code points, symbols_per_lang symbols, all_symbols in total).
-Whole texts are parsed, in blocks that all languages share, so that numpy follows thousands of blocks
-through the automata at once.
+Automata are built on the driver from a bounded sample of the labelled rows: up to docs_per_lang whole
+rows a language, shorter ones than doc_chars before longer ones, until symbols_per_lang code points
+(all_symbols over all languages) are reached; only the row that reaches them is cut there. All letters
+of the sample are symbols: the frequent ones have a column in a dense table, the others are looked up
+by state and symbol.
+
+Whole texts are parsed. So that numpy can follow thousands of places through the automata at once, texts
+are cut into blocks; each begins in the state that its predecessor ends in, and blocks are parsed again
+until that holds for all, so the phrases are those of one parse from front to end.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from halyard.llm.workers import tidy
 
 UNDETERMINED = "und"
 BLOCK = 512
-MOST_SYMBOLS = 250
+WARM = 32  # symbols that give a first guess of the state at a block's front
+DENSE = 62  # letters with a column of their own
 _LETTERS: list[np.ndarray] = []
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_symbol double"
@@ -45,17 +51,17 @@ def _points(text: str) -> np.ndarray:
     return x[(x != 0) | np.concatenate([[True], x[:-1] != 0])] if len(x) else x
 
 
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """The transitions of the minimal automaton of all substrings: (states, width), -1 where there is none."""
-    moves, link, length = [[-1] * width], [-1], [0]
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The minimal automaton of all substrings: for each state its transitions; state 0 is the root."""
+    moves, link, length = [{}], [-1], [0]
     last = 0
-    for c in symbols.tolist():
+    for c in symbols:
         cur = len(moves)
-        moves.append([-1] * width)
+        moves.append({})
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and moves[p][c] < 0:
+        while p >= 0 and c not in moves[p]:
             moves[p][c] = cur
             p = link[p]
         if p >= 0:
@@ -64,79 +70,129 @@ def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                 link[cur] = q
             else:
                 twin = len(moves)
-                moves.append(moves[q][:])
+                moves.append(dict(moves[q]))
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p >= 0 and moves[p][c] == q:
+                while p >= 0 and moves[p].get(c) == q:
                     moves[p][c] = twin
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    return np.array(moves, np.int32)
+    return moves
 
 
 @dataclass
 class CrossParser:
-    """Automata of several languages in one table; symbol 0 separates words, 1 is any letter not seen in training, the last pads."""
+    """Automata of several languages in one table.
+
+    Symbol 0 separates words, 1 is any letter not seen in training, then come the DENSE most frequent
+    letters, the padding, and all other letters. States are numbered by where their row begins.
+    """
 
     langs: list[str]
-    alphabet: np.ndarray  # code points of symbols 2, 3, ...
+    letters: np.ndarray  # sorted code points
+    codes: np.ndarray  # their symbols
+    width: int
     table: np.ndarray  # flat; a missing transition holds ~(the state that the symbol leads to from the root)
+    rare: np.ndarray  # sorted keys (state, symbol) of the transitions by letters without a column
+    rare_to: np.ndarray
     roots: np.ndarray
     bits: np.ndarray  # of a phrase
 
-    @property
-    def width(self) -> int:
-        return len(self.alphabet) + 3
-
     @classmethod
     def fit(cls, samples: dict[str, list[str]], symbols_per_lang: int) -> CrossParser:
         langs = sorted(samples)
         points = {g: np.concatenate([np.zeros(1, np.uint32), *(p for t in samples[g] for p in (_points(t), np.zeros(1, np.uint32)))])[:symbols_per_lang] for g in langs}
-        seen, counts = np.unique(np.concatenate([*points.values(), np.zeros(1, np.uint32)]), return_counts=True)
-        order = np.argsort(-counts, kind="stable")
-        alphabet = np.sort([c for c in seen[order].tolist() if c][:MOST_SYMBOLS]).astype(np.uint32)
-        out = cls(langs, alphabet, np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))
-        tables, roots, at = [], [], 0
+        letters, counts = np.unique(np.concatenate([*points.values(), np.zeros(1, np.uint32)]), return_counts=True)
+        letters, counts = letters[letters != 0], counts[letters != 0]
+        dense = min(DENSE, len(letters))
+        codes = np.empty(len(letters), np.int32)
+        rank = np.arange(len(letters))
+        codes[np.argsort(-counts, kind="stable")] = np.where(rank < dense, rank + 2, rank + 3)
+        none = np.empty(0, np.int32)
+        out = cls(langs, letters, codes, dense + 3, none, np.empty(0, np.int64), none, none, np.array([math.log2(max(2, len(points[g]))) for g in langs]))
+        tables, roots, keys, ends, at = [], [], [], [], 0
         for g in langs:
-            t = suffix_automaton(out.symbols(points[g]), out.width)
-            t = np.where(t >= 0, (t + at) * out.width, -1).astype(np.int32)
-            root = at * out.width
-            t = np.where(t >= 0, t, ~np.where(t[:1] >= 0, t[:1], root)).astype(np.int32)
-            t[:, -1] = root  # padding: no phrase
-            tables.append(t)
+            moves = suffix_automaton(out.symbols(points[g]).tolist())
+            state, c, to = np.array([(s, c, t) for s, m in enumerate(moves) for c, t in m.items()], np.int64).reshape(-1, 3).T
+            root, few = at * out.width, c >= out.width
+            t = np.full((len(moves), out.width), -1, np.int64)
+            t[state[~few], c[~few]] = (to[~few] + at) * out.width
+            t = np.where(t >= 0, t, ~np.where(t[:1] >= 0, t[:1], root))
+            t[:, out.width - 1] = root  # padding: no phrase
+            tables.append(t.astype(np.int32))
+            keys.append(out._key((state[few] + at) * out.width, c[few]))
+            ends.append((to[few] + at) * out.width)
             roots.append(root)
-            at += len(t)
-        out.table = np.concatenate([x.ravel() for x in tables]) if tables else out.table
-        out.roots = np.array(roots, np.int32)
-        out.bits = np.array([math.log2(max(2, len(points[g]))) for g in langs])
+            at += len(moves)
+        if langs:
+            order = np.argsort(np.concatenate(keys))
+            out.table, out.roots = np.concatenate([x.ravel() for x in tables]), np.array(roots, np.int32)
+            out.rare, out.rare_to = np.concatenate(keys)[order], np.concatenate(ends)[order].astype(np.int32)
         return out
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.alphabet, points)
-        known = self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == points if len(self.alphabet) else np.zeros(len(points), bool)
-        return np.where(points == 0, 0, np.where(known, at + 2, 1)).astype(np.int32)
+        if not len(self.letters):
+            return (points != 0).astype(np.int32)
+        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
+        return np.where(points == 0, 0, np.where(self.letters[at] == points, self.codes[at], 1)).astype(np.int32)
+
+    def _key(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return state.astype(np.int64) * (len(self.letters) + 3) + symbol
+
+    def _by_rare(self, state: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Where letters without a column lead, as the table would tell."""
+        out = ~root
+        for own, front in ((False, root), (True, state)):
+            key = self._key(front, symbol)
+            at = np.minimum(np.searchsorted(self.rare, key), max(0, len(self.rare) - 1))
+            hit = self.rare[at] == key if len(self.rare) else np.zeros(len(key), bool)
+            out[hit] = self.rare_to[at[hit]] if own else ~self.rare_to[at[hit]]
+        return out
+
+    def walk(self, symbols: np.ndarray, state: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follow each column of symbols (steps, places) from its state: the state at its end, and the phrases that began on the way."""
+        begun = np.zeros(len(state), np.int32)
+        few = symbols >= self.width
+        columns = np.where(few, 1, symbols) if few.any() else symbols
+        for column, whole, odd in zip(columns, symbols, few.any(1).tolist(), strict=True):
+            to = self.table.take(state + column)
+            if odd:
+                at = np.flatnonzero(whole >= self.width)
+                to[at] = self._by_rare(state[at], whole[at], root[at])
+            begun += to < 0
+            state = to ^ (to >> 31)
+        return state, begun
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text's phrases by language (texts, languages), and its number of letters and separators."""
         points = [_points(t) for t in texts]
         sizes = np.array([len(p) for p in points])
         blocks = -(-sizes // BLOCK)
-        lanes = np.full((int(blocks.sum()), BLOCK), self.width - 1, np.int32)
+        n = int(blocks.sum())
+        if not self.langs or not n:
+            return np.zeros((len(texts), len(self.langs))), sizes
+        rows = np.full((n, BLOCK), self.width - 1, np.int32)
         at = 0
-        for p, n in zip(points, blocks.tolist(), strict=True):
-            lanes[at : at + n].reshape(-1)[: len(p)] = self.symbols(p)
-            at += n
-        lanes = np.ascontiguousarray(lanes.T)
-        state = np.repeat(self.roots[:, None], lanes.shape[1], 1)
-        phrases = np.ones(state.shape, np.int32)  # the one that the end of a block cuts
-        for column in lanes:
-            to = self.table.take(state + column)
-            phrases += to < 0
-            state = to ^ (to >> 31)
+        for p, m in zip(points, blocks.tolist(), strict=True):
+            rows[at : at + m].reshape(-1)[: len(p)] = self.symbols(p)
+            at += m
+        symbols = np.ascontiguousarray(rows.T)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        total = np.stack([np.bincount(owner, weights=row, minlength=len(texts)) for row in phrases], 1) if len(self.langs) else np.zeros((len(texts), 0))
-        return total * self.bits, sizes
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]])  # blocks with one before them
+        block, root = np.tile(np.arange(n), len(self.langs)), np.repeat(self.roots, n)
+        later = np.flatnonzero(follows[block])
+        front = root.copy()
+        front[later] = self.walk(symbols[-WARM:, block[later] - 1], root[later], root[later])[0]
+        end, begun = self.walk(np.tile(symbols, len(self.langs)), front, root)
+        while True:
+            again = later[front[later] != end[later - 1]]
+            if not len(again):
+                break
+            front[again] = end[again - 1]
+            end[again], begun[again] = self.walk(symbols[:, block[again]], front[again], root[again])
+        total = np.stack([np.bincount(owner, weights=x, minlength=len(texts)) for x in begun.reshape(len(self.langs), n)], 1)
+        return (1 + total) * self.bits, sizes
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, bits per symbol); the score is how far the second language falls behind, 0 to 1."""
@@ -159,23 +215,32 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, doc_chars: int) -> dict[str, list[str]]:
-    """At most docs_per_lang texts per language, the ones whose identifiers hash lowest, of at most doc_chars code points each."""
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, doc_chars: int, symbols_per_lang: int, all_symbols: int) -> tuple[dict[str, list[str]], int]:
+    """The texts to learn from by language, and the bound on their code points a language that follows from the bounds and the number of languages."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    top = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= docs_per_lang).select("doc_id", "lang")
-    found = rows.join(F.broadcast(top.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.substring("text", 1, doc_chars).alias("text"))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    n_langs = rows.select("lang").distinct().count()
+    bound = max(1, min(symbols_per_lang, all_symbols // max(1, n_langs)))
+    rows = rows.filter(F.col("text").rlike(r"\p{L}"))
+    size, name = F.char_length("text"), F.xxhash64("text")
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "name")
+    top = rows.select("doc_id", "lang", name.alias("name"), F.least(size, F.lit(bound)).alias("size"), (size > doc_chars).alias("long"))
+    top = top.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang)
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    top = top.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < bound)
+    top = top.groupBy("doc_id", "lang", "name").agg(F.min("r").alias("r"), F.min("before").alias("before"))
+    if n_langs * docs_per_lang <= 1_000_000:  # a table of this size may be broadcast
+        top = F.broadcast(top)
+    found = rows.withColumn("name", name).join(top, ["doc_id", "lang", "name"]).select("lang", "r", "doc_id", "name", F.substring("text", F.lit(1), F.lit(bound) - F.col("before").cast("int")).alias("text"))
     out: dict[str, list[str]] = {}
-    for r in found.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").limit(docs_per_lang * 1000).collect():
+    for r in found.dropDuplicates(["lang", "doc_id", "name"]).orderBy("lang", "r").collect():
         out.setdefault(r["lang"], []).append(r["text"])
-    return out
+    return out, bound
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 48, doc_chars: int = 2000, symbols_per_lang: int = 32_000, all_symbols: int = 640_000) -> CrossParser:
-    """A parser from a bounded sample of the labelled rows that are not held out."""
-    samples = labelled_sample(docs, id_col, text_col, lang_col, docs_per_lang, doc_chars)
-    return CrossParser.fit(samples, min(symbols_per_lang, all_symbols // max(1, len(samples))))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 48, doc_chars: int = 2000, symbols_per_lang: int = 32_000, all_symbols: int = 320_000) -> CrossParser:
+    """A parser from a bounded sample of the labelled rows that are not held out; every label with such a row is learned."""
+    return CrossParser.fit(*labelled_sample(docs, id_col, text_col, lang_col, docs_per_lang, doc_chars, symbols_per_lang, all_symbols))
 
 
 def predict(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -183,7 +248,9 @@ def predict(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_c
 
     Only the text is an input. A text that is null or has no letter is `und` with score 0, as is every
     text if nothing was learned. Ties go to the language that sorts first. Repeated rows come out alike.
+    Of a kept column with the name of an output only the output is returned.
     """
+    keep = tuple(c for c in keep if c not in [x.split()[0] for x in SCHEMA.split(", ")])
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import numpy as np
@@ -111,12 +112,12 @@ def test_fixed_quantiles():
 
 def test_automaton_knows_all_substrings():
     text = np.array([2, 3, 2, 2, 3, 3, 2, 3, 2])
-    t = langid.suffix_automaton(text, 5)
+    t = langid.suffix_automaton(text.tolist())
 
     def accepts(s):
         state = 0
         for c in s:
-            state = t[state, c]
+            state = t[state].get(c, -1)
             if state < 0:
                 return False
         return True
@@ -130,7 +131,7 @@ def test_automaton_knows_all_substrings():
             assert accepts(s) == (s in subs)
 
 
-def test_phrases_against_a_plain_parse():
+def test_phrases_against_a_plain_parse(monkeypatch):
     parser = langid.CrossParser.fit({"a": ["abracadabra abra"], "b": ["hocus pocus fidibus"]}, 1000)
     training = {g: "".join(chr(c) if c else " " for c in np.concatenate([[0], langid._points(t), [0]])) for g, t in (("a", "abracadabra abra"), ("b", "hocus pocus fidibus"))}
 
@@ -147,10 +148,14 @@ def test_phrases_against_a_plain_parse():
                 at += text[at] not in training[g]
         return count
 
-    for text in ("abra", "abra pocus", "zzz", "hocus cadabra, fidibus!"):
-        costs, _ = parser.costs([text])
-        phrases = (costs[0] / parser.bits).round().astype(int)
-        assert phrases.tolist() == [plain(text, "a"), plain(text, "b")]
+    rng = random.Random(4)
+    long = ["".join(rng.choice(["abra", "cad", "hocus", " ", "fidi", "bus", "z", "abracadabra abra "]) for _ in range(n)) for n in (300, 900, 2000)]
+    for dense in (62, 3, 0):  # letters without a column are looked up otherwise, and give the same
+        monkeypatch.setattr(langid, "DENSE", dense)
+        own = langid.CrossParser.fit({"a": ["abracadabra abra"], "b": ["hocus pocus fidibus"]}, 1000)
+        texts = ["abra", "abra pocus", "zzz", "hocus cadabra, fidibus!", *long]
+        costs, _ = own.costs(texts)
+        assert (costs / own.bits).round().astype(int).tolist() == [[plain(t, "a"), plain(t, "b")] for t in texts]
     assert [p[0] for p in parser.predict(["abra cadabra", "pocus hocus", None, "", "123 !?"])] == ["a", "b", "und", "und", "und"]
 
 
@@ -169,12 +174,47 @@ def test_language_edge_cases(spark):
     parser = langid.fit(docs)
     got = langid.predict(docs, parser, keep=("source", "n_lines"))
     assert got.count() == docs.count() and {"source", "n_lines"} <= set(got.columns)
+    clash = langid.predict(docs, parser, keep=("score", "source"))
+    assert clash.columns == [*(x.split()[0] for x in langid.SCHEMA.split(", ")), "source"] and clash.filter("score > 1").count() == 0
     by = {r.doc_id: r.lang_pred for r in got.collect()}
     assert by[100] == by[101] == by[102] == "und" and by[103] != "und"
     nothing = langid.predict(docs, langid.fit(empty(spark)))
     assert {r.lang_pred for r in nothing.collect()} == {"und"} and langid.predict(empty(spark), parser).count() == 0
 
 
+def labelled(spark, texts):
+    return spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+
+
+def test_languages_with_thousands_of_letters(spark):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(2000)]  # both languages use all of them
+    words = {g: ["".join(rng.choice(letters) for _ in range(2)) for _ in range(3000)] for g in ("xa", "xb")}
+    texts = [(g, " ".join(rng.choice(words[g]) for _ in range(300))) for g in ("xa", "xb") for _ in range(60)]
+    parser = langid.fit(labelled(spark, texts))
+    assert len(parser.letters) > 1900
+    asked = [(g, " ".join(rng.choice(words[g]) for _ in range(12))) for _ in range(100) for g in ("xa", "xb")]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(labelled(spark, asked), parser).collect()}
+    assert [got[i] for i in range(200)] == [g for g, _ in asked]
+
+
+def test_every_label_is_learned(spark):
+    texts = [(f"l{i:04}", f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} word") for i in range(1200) for _ in range(3)]
+    parser = langid.fit(labelled(spark, texts))
+    assert len(parser.langs) > 1150  # nearly all have a row that is not held out
+    one_id = spark.createDataFrame([(3, "la même chose " * 3, "fr")] * 300 + [(8, "the same thing", "zz")], "doc_id long, text string, lang string")
+    samples, _ = langid.labelled_sample(one_id, "doc_id", "text", "lang", 48, 2000, 32_000, 320_000)
+    assert {g: len(t) for g, t in samples.items()} == {"fr": 1, "zz": 1}
+
+
+def test_sample_holds_whole_rows_up_to_its_bound(spark):
+    texts = [("en", f"{i} " + "word " * (5000 if i < 40 else 30)) for i in range(80)]
+    samples, bound = langid.labelled_sample(labelled(spark, texts), "doc_id", "text", "lang", 48, 2000, 6000, 320_000)
+    whole = {t for _, t in texts}
+    assert bound == 6000 and sum(t not in whole for t in samples["en"]) <= 1 and sum(map(len, samples["en"])) <= 6000
+    assert sum(len(t) < 2000 for t in samples["en"]) > 15
+
+
 @pytest.mark.parametrize("column", ["lang", "source", "doc_id"])
 def test_prediction_reads_text_only(spark, column):
     docs = awkward(spark, ["the cat sat on the mat and the dog ate it", "le chat est sur la table avec le chien"] * 4)
