@@ -4,19 +4,21 @@ A text is its set of word shingles, and texts with the same set are one node. Ea
 signature: for each position the shingle of the set that a random order puts first, a token sampled
 from the set. A run starts from one bucket with all nodes. Each bucket samples a position and sends its
 nodes on to the child that their token at that position names, so similar sets, which share most
-tokens, keep to one path. Buckets of at most LIMIT nodes, or at the greatest depth, are compared by
-brute force; larger ones are split again. Runs are repeated until a pair at the threshold is met with
-the target recall.
-
-Work in a bucket is cut into pairs of blocks of nodes, so a task never holds more than two blocks, and
-pairs are never written: a pair counts in the first of the buckets that its ends share, and each node
-carries the list of its buckets to tell. The output is linear in the nodes.
+tokens, keep to one path. Buckets of at most LIMIT nodes are compared by brute force; larger ones are
+split again. From DEPTH on a bucket samples several positions at once, so that next to no similar pair
+is parted, and is split only where that at least halves the pairs: what is left are large groups of
+sets that are alike. Runs are repeated until a pair at the threshold is met with the target recall.
+
+Work in a bucket is cut into pairs of blocks of nodes, bounded in rows and in shingles, so a task never
+holds more than two blocks, and pairs are never written: a pair counts in the first of the buckets that
+its ends share, and each node carries the list of its buckets to tell. The output is linear in the nodes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +33,33 @@ from halyard.llm.workers import tidy
 POSITIONS = 64
 LIMIT = 256
 DEPTH = 3
-BLOCK = 1024
+DEEPEST = 5
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 21
+SLICE = 1 << 20
 RECALL = 0.999
-# A pair at the threshold agrees on a position with probability 0.8; below this share of 64 it is five standard deviations off.
-SKETCH_SHARE = 0.55
 
 _A = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(101, POSITIONS + 101, dtype=np.uint64))
 
 
+def sketch_share(threshold: float) -> float:
+    """The share of positions at which sketches must agree: five standard deviations below what a pair at the threshold has on average."""
+    return max(0.0, threshold - 5 * math.sqrt(threshold * (1 - threshold) / POSITIONS))
+
+
+def spread(threshold: float) -> int:
+    """How many positions a bucket samples from DEPTH on, so that a pair at the threshold is parted by all of them once in 200 times at most."""
+    return math.ceil(math.log(0.005) / math.log(max(1e-9, 1 - threshold)))
+
+
 def met(depth: int, threshold: float = 0.8) -> float:
     """Probability that one run takes a pair at the threshold to a common bucket at this depth."""
-    return threshold**depth
+    return threshold ** min(depth, DEPTH) * (1 - (1 - threshold) ** spread(threshold)) ** max(0, depth - DEPTH)
 
 
-def runs_needed(recall: float = RECALL, depth: int = DEPTH, threshold: float = 0.8) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - met(depth, threshold)))
+def runs_needed(recall: float = RECALL, depth: int = DEEPEST, threshold: float = 0.8) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-300, 1 - met(depth, threshold)))))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -68,7 +81,7 @@ def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            keys, sigs = [], []
+            keys, sigs, sizes = [], [], []
             for a, b in chunks(texts):
                 sets = shingle_sets(texts[a:b], k)
                 full = [s for s in sets if len(s)]
@@ -76,7 +89,8 @@ def _features(k: int):
                 for s in sets:
                     keys.append(node_key(s) if len(s) else None)
                     sigs.append(next(rows).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "node", "sig"])
+                    sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32())], ["doc_id", "text_hash", "node", "sig", "size"])
 
     return run
 
@@ -96,14 +110,15 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _sampled(path: Column) -> Column:
+def _sampled(path: Column, draw: int = 0) -> Column:
     """The position that bucket `path` samples."""
-    return F.pmod(F.xxhash64(path, F.lit(POSITIONS)), F.lit(POSITIONS)).cast("int")
+    return F.pmod(F.xxhash64(path, F.lit(POSITIONS + draw)), F.lit(POSITIONS)).cast("int")
 
 
-def _child(path: Column, sig: Column, position: Column) -> Column:
+def _child(path: Column, sig: Column, position: Column, draw: int = 0) -> Column:
     """Where bucket `path` sends a node with this signature."""
-    return F.xxhash64(path, F.substring(sig, position * 4 + 1, F.lit(4)))
+    token = F.substring(sig, position * 4 + 1, F.lit(4))
+    return F.xxhash64(path, token, F.lit(draw)) if draw else F.xxhash64(path, token)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +168,9 @@ def _own_pairs(group: pa.RecordBatch) -> np.ndarray:
     return allowed
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block pair the rows that have, by their sketches, a partner they may be similar to."""
-    need = SKETCH_SHARE * POSITIONS
+    need = sketch_share(threshold) * POSITIONS
     rows: list[list] = [[] for _ in range(5)]
     for group in _groups(batches):
         n = group.num_rows
@@ -182,20 +197,25 @@ MEMBER_SCHEMA = "path long, bi int, bj int, mine int, node binary"
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets of distinct elements."""
+    """Sizes of the intersections of all pairs of sorted sets of distinct elements, by ranges of about SLICE elements."""
     n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = count[at] > 1
-    at, owner = (np.cumsum(count > 1) - 1)[at[keep]], owner[keep]
     out = np.zeros((n, n), np.float32)
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
-    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
-        a, b = np.searchsorted(at, [lo, lo + 4096])
-        m = np.zeros((n, 4096), np.float32)
-        m[owner[a:b], at[a:b] - lo] = 1
-        out += m @ m.T
+    parts = -(-sum(map(len, sets)) // SLICE)
+    bounds = [np.uint64(i * ((1 << 64) // max(1, parts))) for i in range(1, parts)]
+    cuts = [[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in sets]
+    for i in range(parts):
+        within = [s[c[i] : c[i + 1]] for s, c in zip(sets, cuts, strict=True)]
+        owner = np.repeat(np.arange(n), [len(s) for s in within])
+        _, at, count = np.unique(np.concatenate(within), return_inverse=True, return_counts=True)
+        keep = count[at] > 1
+        at, owner = (np.cumsum(count > 1) - 1)[at[keep]], owner[keep]
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            m = np.zeros((n, 4096), np.float32)
+            m[owner[a:b], at[a:b] - lo] = 1
+            out += m @ m.T
     return out
 
 
@@ -233,22 +253,34 @@ def _verify(threshold: float):
 
 
 def _sized(members: DataFrame) -> DataFrame:
-    """(path, node, n) of the buckets that hold n > 1 nodes. Sizes are counted before they are shuffled, and the join can be split."""
-    sizes = written(members.groupBy("path").agg(F.count("*").cast("int").alias("n")).filter("n > 1"), "sizes")
-    return written(members.join(sizes, "path").select("path", "node", "n"), "level")
+    """members (path, node, size, ...) with the number n and the shingles of each bucket, for those of n > 1. Buckets are counted before they are shuffled, and the join can be split."""
+    sizes = written(members.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).filter("n > 1"), "sizes")
+    return written(members.join(sizes, "path"), "level")
 
 
 def _leaves(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(path, node, n): all buckets to compare, of all runs."""
+    """(path, node, n, shingles): all buckets to compare, of all runs."""
     # the runs' first positions are all different, as far as there are enough
-    starts = [_child(F.lit(r), F.col("sig"), F.lit(r * 7 % POSITIONS)) for r in range(runs_needed(recall, DEPTH, threshold))]
-    first = nodes.select("node", F.explode(F.array(*starts)).alias("path"))
-    level = _sized(first)
-    out = level.filter(F.col("n") <= LIMIT)
-    for depth in range(2, DEPTH + 1):
-        large = level.filter(F.col("n") > LIMIT).select("path", "node").join(nodes.select("node", "sig"), "node")
-        level = _sized(large.select(_child(F.col("path"), F.col("sig"), _sampled(F.col("path"))).alias("path"), "node"))
-        out = out.union(level if depth == DEPTH else level.filter(F.col("n") <= LIMIT))
+    starts = [_child(F.lit(r), F.col("sig"), F.lit(r * 7 % POSITIONS)) for r in range(runs_needed(recall, DEEPEST, threshold))]
+    cols = ["path", "node", "n", "shingles"]
+    level = _sized(nodes.select("node", "size", F.explode(F.array(*starts)).alias("path")))
+    out = level.filter(F.col("n") <= LIMIT).select(*cols)
+    for depth in range(2, DEEPEST + 1):
+        large = level.filter(F.col("n") > LIMIT)
+        if not large.limit(1).count():
+            return out
+        path, sig, draws = F.col("path"), F.col("sig"), 1 if depth <= DEPTH else spread(threshold)
+        children = F.array(*[_child(path, sig, _sampled(path, i), i) for i in range(draws)])
+        below = large.select("path", "node", "n", "size").join(nodes.select("node", "sig"), "node")
+        below = _sized(below.select("node", "size", F.col("path").alias("parent"), F.col("n").alias("parent_n"), F.explode(children).alias("path")))
+        if depth > DEPTH:
+            # each bucket's pairs are the sum of n - 1 over its rows; buckets all of whose children are single have no row here and are done
+            helped = below.groupBy(F.col("parent").alias("path")).agg(F.sum("n").alias("pairs"), F.first("parent_n").alias("parent_n"))
+            stay = written(helped.filter(F.col("pairs") > F.col("parent_n") * F.col("parent_n") / 2).select("path"), "stay")
+            out = out.union(large.join(stay, "path", "left_semi").select(*cols))
+            below = below.join(stay.withColumnRenamed("path", "parent"), "parent", "left_anti")
+        level = below
+        out = out.union((level if depth == DEEPEST else level.filter(F.col("n") <= LIMIT)).select(*cols))
     return out
 
 
@@ -264,9 +296,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    features = written(rows.mapInArrow(tidy(_features(k)), "doc_id long, text_hash long, node binary, sig binary"), "features")
+    features = written(rows.mapInArrow(tidy(_features(k)), "doc_id long, text_hash long, node binary, sig binary, size int"), "features")
     nodes = written(
-        features.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("rep"), F.first("sig").alias("sig")),
+        features.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("rep"), F.first("sig").alias("sig"), F.first("size").alias("size")),
         "nodes",
     )
     leaves = _leaves(nodes, threshold, recall)
@@ -274,10 +306,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = written(own.join(nodes, "node").select("node", "weight", "rep", "leaves", _low_bytes("sig")), "members")
     block = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("mine", j).alias("bi"), F.greatest("mine", j).alias("bj")))
-    blocks = leaves.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", block).select("path", "node", "mine", F.explode(pairs).alias("b")).select("path", "b.bi", "b.bj", "mine", "node")
+    blocks = leaves.withColumn("nb", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")).withColumn("mine", block).select("path", "node", "mine", F.explode(pairs).alias("b")).select("path", "b.bi", "b.bj", "mine", "node")
     by = ["path", "bi", "bj"]
     near = blocks.join(own.select("node", "leaves", "sketch"), "node").select(*by, "mine", "node", "leaves", "sketch").repartition(*by).sortWithinPartitions(*by)
-    near = written(near.mapInArrow(tidy(_sketch), MEMBER_SCHEMA), "near")
+    near = written(near.mapInArrow(tidy(partial(_sketch, threshold)), MEMBER_SCHEMA), "near")
     reps = near.select("node").distinct().join(own.select("node", "rep"), "node").select(F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"))
     # without the hint a small table of representatives would be broadcast, and a larger one not
     sets = rows.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")), "left_semi").select("text")
@@ -320,6 +352,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.withColumn("__again", again).filter(~F.col("__once") | (F.col("__again") == 1)).select(*docs.columns)
 
 
-
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "class_key")

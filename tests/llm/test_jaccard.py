@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
 from helpers import awkward, empty
 
 from halyard.llm import jaccard_join as j
@@ -65,8 +67,46 @@ def test_large_buckets_are_split_and_compared_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id) for r in got) == sorted((d, c) for d, _, c in want)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
+def test_recall_just_above_the_threshold(spark, monkeypatch, threshold):
+    monkeypatch.setattr(j, "LIMIT", 16)  # all pairs share a passage, so buckets are large and are split
+    rng = random.Random(int(threshold * 10))
+    rows = []
+    for i in range(150):
+        one = [f"p{n}" for n in range(8)] + [f"{i}w{n}" for n in range(200)]
+        cut = int(200 * (1 - threshold) / (1 + threshold)) - rng.randrange(4, 10)
+        at = rng.randrange(20, 200 - cut)
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join([*one[:at], *(f"{i}x{n}" for n in range(cut)), *one[at + cut :]]))]
+    sets = [set(s.tolist()) for s in shingle_sets([t for _, t in rows])]
+    pairs = sum(len(a & b) >= threshold * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    assert pairs > 140 and sum(len(a & b) > (threshold + 0.1) * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)) == 0
+    got = j.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()
+    met = sum(r.n_links for r in got) / 2
+    assert 0.99 * pairs <= met <= pairs
+
+
+def test_large_buckets_are_split_where_sets_are_unlike(spark, monkeypatch):
+    monkeypatch.setattr(j, "DEPTH", 1)
+    sig = lambda i, d: np.array([d] + [i * 64 + p for p in range(1, 64)], "<u4").tolist()
+    rows = [(f"u{i}".encode(), 10, np.array(sig(i + 1, 7), "<u4").tobytes()) for i in range(600)] + [(f"a{i}".encode(), 10, np.array(sig(0, 9), "<u4").tobytes()) for i in range(400)]
+    found = j._leaves(spark.createDataFrame(rows, "node binary, size int, sig binary"), 0.8, 0.999).select("path", "n", "shingles").distinct().collect()
+    assert {r.n for r in found} == {400} and {r.shingles for r in found} == {4000} and len(found) == j.runs_needed()
+
+
+def test_intersections_by_ranges(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 300, np.uint64) << np.uint64(1)) for _ in range(5)]
+    sets = [np.unique(np.concatenate([s, sets[0][: 40 * i]])) for i, s in enumerate(sets)] + [np.array([0, (1 << 64) - 1], np.uint64)]
+    whole = j.intersections(sets)
+    assert whole.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    monkeypatch.setattr(j, "SLICE", 100)
+    assert (j.intersections(sets) == whole).all()
+
+
 def test_runs_reach_the_recall():
-    assert 1 - (1 - j.met(j.DEPTH)) ** j.runs_needed() >= j.RECALL
+    for t in (0.3, 0.5, 0.6, 0.8, 0.95, 1.0):
+        assert 1 - (1 - j.met(j.DEEPEST, t)) ** j.runs_needed(threshold=t) >= j.RECALL - 1e-9
+    assert round(j.sketch_share(0.8), 3) == 0.55
 
 
 def test_components(spark):
