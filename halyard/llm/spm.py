@@ -5,8 +5,9 @@ scores or BPE merges and the byte fallback are rebuilt for tokenizers. Batches a
 threads, and ids are verified against the sentencepiece library.
 
 Where no piece has the marker behind another character, no piece crosses the front of a word, so a
-text's ids are those of its words in order: each distinct word is encoded, and verified, once a worker.
-Texts with blanks beside blanks are encoded, and verified, whole.
+text's ids are those of its words in order: each distinct word is encoded, and its ids verified, once a
+worker. Texts with markers beside markers are encoded, and verified, whole. The normal form of every
+text as given is verified too, so that an error of the normaliser shows.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.units import UnitTable
+from halyard.llm.words import chunks
 from halyard.llm.workers import kept
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
+PARITY, ROUND = 1, 2  # flags of encoded texts
+CHUNK_CHARS = 1 << 21  # encoded in one call
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -100,9 +106,9 @@ class Model:
 
 
 class Codec:
-    """encode(texts) to ids as little-endian unsigned 32-bit integers, with whether each text's ids are verified; decode(ids)."""
+    """encode(texts) to ids as little-endian unsigned 32-bit integers, with flags of what is verified; decode(ids)."""
 
-    def __init__(self, path: str, threads: int = 1, verify: bool = True, cached: int = 600_000):
+    def __init__(self, path: str, threads: int = 1, verify: bool = True, cached: int = 400_000):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         from tokenizers import AddedToken, Tokenizer, models, normalizers
@@ -119,9 +125,7 @@ class Codec:
         self.tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER])
         self.charsmap = normalizers.Precompiled(m.charsmap) if m.charsmap else None
         self.bytes = [self._bytes(p, kind) for p, _, kind in m.pieces]
-        self.known: dict[str, bytes] = {}
-        self.wrong: set[str] = set()
-        self.cached, self.original = cached, None
+        self.table, self.original = UnitTable(self._learn, cached), None
         if verify:
             import sentencepiece
 
@@ -134,34 +138,54 @@ class Codec:
             return b""
         return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
-    def normalised(self, text: str) -> str:
-        """The text as the model sees it, but for the dummy prefix and with blanks for markers."""
+    def marked(self, text: str) -> str:
+        """The text as the model sees it: normalised, markers for blanks, and one in front if the model wants it."""
         if self.charsmap:
             text = self.charsmap.normalize_str(text)
-        text = text.replace(MARK, " ")
-        return re.sub(" +", " ", text.strip(" ")) if self.model.squeeze else text
-
-    def _ids(self, marked: list[str], plain: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of texts with markers; plain are the same for the original library, which adds the prefix itself."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-        same = [a == b for a, b in zip(ids, self.original.encode(plain), strict=True)] if self.original else [True] * len(ids)
-        return [np.array(x, "<u4").tobytes() for x in ids], same
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        if len(self.known) > self.cached:
-            self.known, self.wrong = {}, set()
-        texts = [self.normalised(t) for t in texts]
+        if self.model.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if self.model.escape:
+            text = text.replace(" ", MARK)
+        blank = MARK if self.model.escape else " "
+        text = blank + text if text and self.model.dummy_prefix else text
+        return text.rstrip(blank) if self.model.squeeze else text  # markers of the text itself go at its end too
+
+    def normalised(self, text: str) -> str:
+        """What the ids of a text should decode to."""
+        out = self.marked(text)
+        return (out[1:] if out and self.model.dummy_prefix else out).replace(MARK, " ")
+
+    def _ids(self, marked: list[str], given: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of marked texts, and PARITY for those whose ids the original library gives to `given`, ROUND for those that decode again."""
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+        same = [a.tolist() == b for a, b in zip(ids, self.original.encode(given), strict=True)] if self.original else [True] * len(ids)
+        out = [x.tobytes() for x in ids]
+        back = [self.decode(x) == (t[1:] if t and self.model.dummy_prefix else t).replace(MARK, " ") for x, t in zip(out, marked, strict=True)]
+        return out, np.array(same, np.uint8) * PARITY | np.array(back, np.uint8) * ROUND
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, flags = self._ids([MARK + w for w in words], words)
+        return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), flags
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each text, and flags: PARITY where the original library gives the same ids, ROUND where they decode to the normalised text."""
+        marked = [self.marked(t) for t in texts]
         by_word = self.model.splits_at_words
-        parts = [t.split(" ") if t and by_word and t[0] != " " and t[-1] != " " and "  " not in t else None for t in texts]
-        new = [w for w in set().union(*(p for p in parts if p)) if w not in self.known]
-        ids, same = self._ids([MARK + w for w in new], new)
-        self.known.update(zip(new, ids, strict=True))
-        self.wrong.update(w for w, good in zip(new, same, strict=True) if not good)
-        odd = [t for t, p in zip(texts, parts, strict=True) if p is None]
-        prefix = MARK if self.model.dummy_prefix else ""
-        rest = zip(*self._ids([prefix + t.replace(" ", MARK) if t else "" for t in odd], odd), strict=True)
-        out = [next(rest) if p is None else (b"".join([self.known[w] for w in p]), self.wrong.isdisjoint(p)) for p in parts]
-        return [x for x, _ in out], [good for _, good in out]
+        plain = [i for i, t in enumerate(marked) if by_word and t and t[-1] != MARK and t[1:2] != MARK and MARK + MARK not in t]
+        lists = pc.split_pattern(pa.array([marked[i][1:] for i in plain], pa.string()), MARK)
+        out, flags = [b""] * len(texts), np.zeros(len(texts), np.uint8)
+        found, flags[plain] = self.table.encode(lists.flatten(), lists.offsets.to_numpy())
+        for i, x in zip(plain, found, strict=True):
+            out[i] = x
+        odd = sorted(set(range(len(texts))) - set(plain))
+        found, flags[odd] = self._ids([marked[i] for i in odd], [texts[i] for i in odd])
+        for i, x in zip(odd, found, strict=True):
+            out[i] = x
+        if self.original:
+            for i in plain:
+                if self.original.normalize(texts[i]) != marked[i]:
+                    flags[i] &= ~np.uint8(PARITY)
+        return out, flags
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -181,7 +205,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """One row per row of docs: doc_id, ids, n_tokens, ids_crc32, round_trip, parity.
 
     ids are little-endian unsigned 32-bit integers (null unless with_ids); round_trip tells whether
-    they decode to the normalised text, parity whether the sentencepiece library gives the same ids.
+    they decode to the normalised text, parity whether the sentencepiece library gives the same ids (the
+    same normal form to the text as given, and the same ids to its words).
     Null text counts as empty and has no ids. A text is always encoded whole.
     """
 
@@ -190,12 +215,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         for batch in batches:
             texts = batch.column(1).to_pylist()
             cols: list[list] = [[] for _ in _KINDS[1:]]
-            for a in range(0, len(texts), 256):
-                part = texts[a : a + 256]
-                for text, x, good in zip(part, *own.encode(part), strict=True):
-                    row = (x if with_ids else None, len(x) // 4, zlib.crc32(x), own.decode(x) == own.normalised(text), good)
-                    for col, v in zip(cols, row, strict=True):
-                        col.append(v)
+            for a, b in chunks(texts, CHUNK_CHARS):
+                ids, flags = own.encode(texts[a:b])
+                for col, new in zip(cols, (ids if with_ids else [None] * len(ids), [len(x) // 4 for x in ids], map(zlib.crc32, ids), (flags & ROUND > 0).tolist(), (flags & PARITY > 0).tolist()), strict=True):
+                    col.extend(new)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, _KINDS[1:], strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)

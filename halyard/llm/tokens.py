@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from halyard.llm.units import UnitTable
 from halyard.llm.workers import kept
 
 BLANK = "Ġ"  # how a byte-level vocabulary writes a blank
@@ -59,14 +60,11 @@ class UnitEncoder:
         self.cut = regex.compile(PATTERN).findall if plain else None
         self.letters = {**byte_letters(), 0: 0}  # 0 separates pieces
         self.cached, self.pieces = cached, {}
-        self._forget()
+        self.table = UnitTable(self._learn, cached)
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a blank
         self.opens[[i for t, i in vocab.items() if t[0] == BLANK]] = True
 
-    def _forget(self) -> None:
-        self.units, self.ids, self.begins = pa.array([], pa.string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
-
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -91,12 +89,12 @@ class UnitEncoder:
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         return ids, np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
 
-    def _learn(self, units: pa.Array) -> None:
-        """Add these units, all new, to those known, in this order."""
-        names = units.to_pylist()
+    def _learn(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.pieces) > self.cached:
+            self.pieces = {}
         odd = [i for i, u in enumerate(names) if not u or u[0].isspace()]
         each = self._ids([" " + names[i] for i in odd])
-        parts, sizes, at = [self.ids], [np.diff(self.begins)], 0
+        parts, sizes, at = [np.empty(0, "<u4")], [np.empty(0, np.int64)], 0
         for i, x in zip([*odd, len(names)], [*each, b""], strict=True):
             for a in range(at, i, 4096):
                 ids, n = self._unit_ids(names[a : min(a + 4096, i)])
@@ -105,35 +103,15 @@ class UnitEncoder:
             parts.append(np.frombuffer(x, "<u4"))
             sizes.append(np.array([len(x) // 4] if i < len(names) else [], np.int64))
             at = i + 1
-        self.ids, self.begins = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        self.units = pa.concat_arrays([self.units, units])
-
-    def _look_up(self, units: pa.Array) -> np.ndarray:
-        """Where, among the units known then, these distinct units are. Units stay known until there are too many."""
-        if len(self.units) > self.cached:
-            self._forget()
-        if len(self.pieces) > self.cached:
-            self.pieces = {}
-        at, n = pc.index_in(units, value_set=self.units), len(self.units)
-        new = at.is_null()
-        self._learn(units.filter(new))
-        out = at.fill_null(0).to_numpy().astype(np.int64)
-        out[new.to_numpy(zero_copy_only=False)] = np.arange(n, len(self.units))
-        return out
+        return np.concatenate(parts), np.concatenate(sizes), np.ones(len(names), np.uint8)
 
     def _tails(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text from its first blank on. Distinct units are found by Arrow, so each is looked up once a call."""
+        """Ids of each text from its first blank on."""
         lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
         begins = lists.offsets.to_numpy()
         tail = np.ones(begins[-1], bool)
         tail[begins[:-1]] = False
-        units = lists.flatten().filter(pa.array(tail)).dictionary_encode()
-        known = self._look_up(units.dictionary)[units.indices.to_numpy()]
-        first, own = self.begins[known], np.diff(self.begins)[known]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        data = self.ids[np.repeat(first - ends[:-1], own) + np.arange(ends[-1])].tobytes()
-        cuts = (4 * ends[begins - np.arange(len(begins))]).tolist()
-        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return self.table.encode(lists.flatten().filter(pa.array(tail)), begins - np.arange(len(begins)))[0]
 
     def _whole(self, text: str) -> bool:
         return bool(_BLANK_BEFORE_SPACE.search(text) and _ODD_BLANK.search(text)) or bool(self.added and self.added.search(text))

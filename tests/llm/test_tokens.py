@@ -117,13 +117,45 @@ def test_bpe_model_has_the_ids_and_texts_of_the_original():
     texts = awkward_texts(600)
     for a in range(0, len(texts), 50):
         part = texts[a : a + 50]
-        ids, same = own.encode(part)
+        ids, flags = own.encode(part)
         want = original.encode(part)
-        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want and all(same)
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want and (flags & spm.PARITY > 0).all()
         assert [own.decode(x) for x in ids] == original.decode(want)
 
 
-def unigram_model(path):
+def character_map(mapping):
+    """A precompiled map: a double array over the UTF-8 bytes of the keys, then the values, each ended by a zero byte."""
+    values, at = b"", {}
+    for key, to in mapping.items():
+        at[key.encode()] = len(values)
+        values += to.encode() + b"\0"
+    tree = {}
+    for key in at:
+        node = tree
+        for byte in key:
+            node = node.setdefault(byte, {})
+        node[-1] = at[key]
+    units, used = [0] * 2048, {0}
+
+    def place(node, pos):
+        base = next(b for b in range(256, 2048 - 256, 256) if all(b ^ c not in used for c in [0, *(c for c in node if c >= 0)]))
+        offset = pos ^ base
+        units[pos] |= offset << 10 | (1 << 8 if -1 in node else 0)
+        used.update(base ^ c for c in node if c >= 0)
+        used.add(base)
+        if -1 in node:
+            units[base] = node[-1] | 1 << 31
+        for c, kid in node.items():
+            if c >= 0:
+                units[base ^ c] = c
+                place(kid, base ^ c)
+
+    place(tree, 0)
+    array = struct.pack("<2048I", *units)
+    return struct.pack("<I", len(array)) + array + values
+
+
+def unigram_model(path, mapping=None):
     """A small unigram model with byte fallback, written as a protocol buffer by hand."""
 
     def varint(n):
@@ -140,7 +172,8 @@ def unigram_model(path):
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))]
     pieces += [(p, -1.5 - 0.37 * i, 1) for i, p in enumerate(["▁the", "▁", "the", "▁a", "a", "b", "ab", "▁ab", "t", "h", "e", "he", "▁b", "ba", "bab", "."])]
     trainer = b"\x18\x01" + b"\x98\x02\x01"  # model_type unigram, byte_fallback
-    normaliser = b"\x0a\x08identity" + b"\x18\x01\x20\x01\x28\x01"  # dummy prefix, squeezed blanks, escaped
+    charsmap = character_map(mapping) if mapping else b""
+    normaliser = b"\x0a\x08identity" + (b"\x12" + varint(len(charsmap)) + charsmap if charsmap else b"") + b"\x18\x01\x20\x01\x28\x01"  # dummy prefix, squeezed blanks, escaped
     data = b"".join(piece(*p) for p in pieces) + b"\x12" + varint(len(trainer)) + trainer + b"\x1a" + varint(len(normaliser)) + normaliser
     path.write_bytes(data)
     return str(path)
@@ -152,12 +185,30 @@ def test_unigram_model(tmp_path):
     path = unigram_model(tmp_path / "u.model")
     own, original = spm.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
     assert own.model.kind == spm.UNIGRAM and own.model.squeeze and own.model.byte_fallback
-    texts = ["the ab", "  the   bab ", "abab the.", "", "thé 😀", "a b a b"]
-    ids, same = own.encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == original.encode(texts) and all(same)
+    texts = ["the ab", "  the   bab ", "abab the.", "", "   ", "thé 😀", "a b a b", "a▁▁b", "a ▁ b", "▁a", "a▁ b", "▁", " ▁ a", "a\u00a0 b", "b\n the"]
+    ids, flags = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == original.encode(texts) and (flags == spm.PARITY | spm.ROUND).all()
     assert [own.decode(x) for x in ids] == [own.normalised(t) for t in texts]
 
 
+def test_model_with_a_character_map(tmp_path):
+    """The map turns fullwidth a to c into a to c, and a tab into a blank."""
+    import sentencepiece
+
+    path = unigram_model(tmp_path / "c.model", {"ａ": "a", "ｂ": "b", "\t": " "})
+    own, original = spm.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert own.model.charsmap and own.marked("ａ\tｂ") == original.normalize("ａ\tｂ") == "▁a▁b"
+    texts = ["ａｂ the", "a\t\tb", "\tthe ａ", "ａ▁ｂ", "\t", "bab\tａb ."]
+    ids, flags = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == original.encode(texts) and (flags == spm.PARITY | spm.ROUND).all()
+
+
+def test_parity_sees_errors_of_the_normaliser(tmp_path):
+    own = spm.Codec(unigram_model(tmp_path / "u.model"))
+    own.model.squeeze = False  # so that blanks are left where the original takes them away
+    assert [bool(f & spm.PARITY) for f in own.encode(["the ab", "the  ab", " the", "a▁b"])[1]] == [True, False, False, True]
+
+
 def test_encode_and_decode_tables(spark):
     docs = awkward(spark, awkward_texts(20))
     encoded = spm.encode_documents(docs, spm.default_model())
