@@ -149,16 +149,29 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """The log of a table (conv_id, turn, role, text): each row opens a message with half of its text and streams the rest.
+    """The log of a table (conv_id, turn, role, text), such that folding it gives the rows again.
 
-    Rows are ordered by turn; rows that repeat a turn are separate messages, by role and text.
+    Each row opens a message with half of its text and streams the rest. Every third message begins as a
+    draft, which an edit (a regeneration, if an assistant's) replaces; before every other of those the
+    next message has been begun, which that withdraws. Rows are ordered by turn; rows that repeat a turn
+    are separate messages, by role and text.
     """
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("msg", number)
     half = F.floor(F.char_length("text") / 2).cast("int")
-    opened = F.struct((F.col("msg") * 2).alias("seq"), F.lit("message").alias("kind"), F.col("role").alias("role"), F.substring("text", F.lit(1), half).alias("text"))
-    delta = F.struct((F.col("msg") * 2 + 1).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.substring("text", half + 1, F.char_length("text")).alias("text"))
-    return rows.select("conv_id", "msg", F.explode(F.array(opened, delta)).alias("e")).select("conv_id", "e.seq", "e.kind", "msg", "e.role", "e.text")
+    front, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
+    msg, role, none = F.col("msg"), F.col("role"), F.lit(None).cast("string")
+
+    def event(step: int, kind: Column, of: Column, by: Column, text: Column) -> Column:
+        return F.struct((msg * 5 + step).alias("seq"), kind.alias("kind"), of.alias("msg"), by.alias("role"), text.alias("text"))
+
+    message, delta = F.lit("message"), F.lit("delta")
+    plain = F.array(event(0, message, msg, role, front), event(1, delta, msg, none, rest))
+    draft = [event(0, message, msg, role, F.lit("a draft")), event(1, delta, msg, none, F.concat(F.lit(" of "), "text"))]
+    anew = [event(3, F.when(role == "assistant", "regenerate").otherwise("edit"), msg, none, front), event(4, delta, msg, none, rest)]
+    early = event(2, message, msg + 1, none, F.lit("an answer to the draft"))
+    log = F.when(msg % 6 == 0, F.array(*draft, early, *anew)).when(msg % 3 == 0, F.array(*draft, *anew)).otherwise(plain)
+    return rows.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
 
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:

@@ -34,16 +34,17 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     it carries agree with that response's (ETags compared weakly; where it has no ETag, Last-Modified;
     where it has neither, `resolved` too), `validator_mismatch` if not, `no_earlier_response` without
     one. refers_to is null unless resolved. headers are the response's, updated by those of the revisit
-    that a 304 may change; unresolved, the revisit's own. Null URLs or dates never resolve; other kinds
-    are ignored; rows that repeat come out repeated.
+    that a 304 may change; unresolved, the revisit's own. Null URLs or dates never resolve, and are not
+    shuffled; other kinds and further columns are ignored; rows that repeat come out repeated.
     """
     lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
     rows = records.filter(F.col("kind").isin("response", "revisit")).select(
         "record_id", canonical_url(F.col("url")).alias("url_key"), "date", "kind", F.to_date("date").alias("day"), "etag", "last_modified", lower.alias("headers")
     )
-    usable = (F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("date").isNotNull()
-    full = F.when(usable, F.struct("date", "record_id", "etag", "last_modified", "headers"))
-    rows = rows.withColumn("full", full)
+    usable = F.col("url_key").isNotNull() & F.col("date").isNotNull()
+    never = rows.filter(~usable & (F.col("kind") == "revisit"))
+    full = F.when(F.col("kind") == "response", F.struct("date", "record_id", "etag", "last_modified", "headers"))
+    rows = rows.filter(usable).withColumn("full", full)
     # at one date the revisits come first: a response must be earlier
     within = Window.partitionBy("url_key", "day").orderBy("date", F.col("kind") == "response", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     order = F.struct("date", "record_id")
@@ -51,9 +52,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     days = rows.select("url_key", "day").distinct().join(last_of_day, ["url_key", "day"], "left")
     carried = days.select("url_key", "day", F.last("last", ignorenulls=True).over(Window.partitionBy("url_key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     found = rows.withColumn("today", F.last("full", ignorenulls=True).over(within)).filter("kind = 'revisit'")
-    found = found.join(carried, ["url_key", "day"], "left")
-    usable = F.col("url_key").isNotNull() & F.col("date").isNotNull()
-    found = found.withColumn("r", F.when(usable, F.coalesce("today", "carried")))
+    found = found.join(carried, ["url_key", "day"], "left").withColumn("r", F.coalesce("today", "carried")).drop("day", "full", "today", "carried")
+    found = found.unionByName(never.drop("day"), allowMissingColumns=True)
     weak = lambda tag: F.regexp_replace(tag, "^W/", "")
     agrees = (
         F.when(F.col("etag").isNotNull(), F.coalesce(weak(F.col("etag")) == weak(F.col("r.etag")), F.lit(False)))

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import random
 
 from hypothesis import given, settings
@@ -21,6 +22,25 @@ def test_fold(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 1, "user", "hello"), (1, 2, "assistant", "good"), (2, 1, "user", "new"), (2, 3, "assistant", "later"), (4, 1, "user", "q2"), (4, 2, "assistant", "again"), (3, 1, "", "orphan"), (None, 1, "", "")]))
 
 
+def test_log_of_turns_has_edits_and_folds_to_the_turns(spark):
+    turns = [(c, t, ("user", "assistant", None, "system")[(c + t) % 4], [None, "", "one", "two words", "long " * 40_000][(c * t) % 5], "x", 0) for c in range(6) for t in range(3 + 2 * c)]
+    turns += [(1, 0, "user", "again", "x", 0), (1, 0, "user", "again", "x", 0), (None, 0, "user", "none", "x", 0)]  # a turn that repeats, and no identifier
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, formatted string, msg int").repartition(3)
+    log = chat.events_of_turns(rows)
+    kinds = {(r.kind, r["count"] > 0) for r in log.groupBy("kind").count().collect()}
+    assert kinds == {(k, True) for k in ("message", "delta", "edit", "regenerate")}
+    assert log.filter("text = 'an answer to the draft'").count() > 3
+    want = {}
+    for c, t, role, text, *_ in sorted(turns, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is not None, r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    got = {}
+    for r in chat.fold_events(log).orderBy("msg").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == want
+    digests = {r.conv_id: r.turns_sha256 for r in chat.conversation_digests(chat.format_messages(chat.fold_events(log))).collect()}
+    assert digests == {c: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in v).encode()).hexdigest() for c, v in want.items()}
+
+
 def test_format_reads_back(spark):
     texts = ["</s>[INST] ok [/INST]", "\\</s>", "a\\", "[ROLE=x] \\\\[/OUT]", "", None, "ends with [/OUT]</s>\n", "😀 <s><s>"]
     rows = [(1, i, role, t) for i, (t, role) in enumerate(zip(texts, ["user", "assistant", "tool box]", None, "system", "assistant", "user", "assistant"], strict=True))]
@@ -72,6 +92,15 @@ def test_revisits_against_plain_loop(spark):
     body = records.withColumn("body", F.col("record_id").cast("string"))
     assert warc.with_payload(got.filter("outcome = 'resolved'"), body, "body").filter("body <> refers_to").count() == 0
     assert warc.resolve_revisits(records.limit(0)).count() == 0
+    more = records.select("*", F.lit(1).alias("url_key"), F.lit("x").alias("outcome"), F.lit(2).alias("day"))
+    assert sorted(map(repr, warc.resolve_revisits(more).collect())) == sorted(map(repr, got.collect()))
+
+
+def test_very_long_urls_and_headers(spark):
+    at, url, value = datetime.datetime(2024, 1, 1), "http://a.org/" + "x" * 300_000, "v" * 300_000
+    rows = [(1, url, at, "response", '"e"', None, {"X": value}), (2, url + "/#top", at + datetime.timedelta(days=1), "revisit", '"e"', None, None), (3, "", at, "revisit", None, None, {}), (4, None, None, "revisit", None, None, None)]
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, "record_id long, url string, date timestamp, kind string, etag string, last_modified string, headers map<string,string>")).collect()}
+    assert got[2].refers_to == 1 and got[2].headers == {"x": value} and {got[3].outcome, got[4].outcome} == {"no_earlier_response"} and got[4].headers == {}
 
 
 def test_headers_merge(spark):
