@@ -4,7 +4,8 @@ Equal texts are found by their full bytes, not by a hash alone. Rows are partiti
 content hash) of the normalised text; each task inserts the byte strings into a compressed radix trie
 whose terminal nodes hold the owner (the row that stays) and the number of rows. Before the shuffle
 every task merges its own rows in such a trie too, so a text that a third of all rows share crosses
-the network once a task. A trie beyond its memory bound hands out its largest subtrees and goes on.
+the network once a task. A trie beyond its memory bound hands out its largest subtrees and goes on:
+before the shuffle at any time, after it between two keys, when all other strings are complete.
 """
 
 from __future__ import annotations
@@ -81,11 +82,23 @@ class PatriciaTrie:
                 yield key, x.best, x.n
             stack.extend((kid, key) for kid in x.kids.values())
 
-    def spill(self) -> Iterator[tuple[bytes, tuple, int]]:
-        """Hand out and forget whole subtrees, so that next to nothing of the bound is in use."""
-        for byte in list(self.root.kids):
+    def spill(self, room: int) -> Iterator[tuple[bytes, tuple, int]]:
+        """Hand out and forget subtrees below the root, the largest first, until at most `room` bytes are in use."""
+        sizes = {byte: self._size(kid) for byte, kid in self.root.kids.items()}
+        for byte in sorted(sizes, key=sizes.__getitem__, reverse=True):
+            if self.bytes <= room:
+                return
             yield from self.take(self.root.kids.pop(byte))
-        self.bytes = 0
+            self.bytes -= sizes[byte]
+
+    @staticmethod
+    def _size(node: _Node) -> int:
+        total, stack = 0, [node]
+        while stack:
+            x = stack.pop()
+            total += len(x.label) + _ROW_BYTES
+            stack.extend(x.kids.values())
+        return total
 
 
 def normalised(text: Column) -> Column:
@@ -125,31 +138,23 @@ def _merge_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sha, body, points, owner, n in _rows(batch):
             trie.insert(body, (-points, owner, sha), n)
             if trie.bytes > TRIE_BYTES:
-                yield from _emit(trie.spill(), True)
+                yield from _emit(trie.spill(TRIE_BYTES // 2), True)
     yield from _emit(trie.take(), True)
 
 
 def _merge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (length, hash): once the length is another, or the bound is reached between two hashes, the trie is complete."""
-    trie, at = PatriciaTrie(), (-1, b"")
+    """Rows sorted by (length, hash): where a new key begins all strings in the trie are complete, and subtrees may go."""
+    trie, at, last = PatriciaTrie(), (-1, b""), b""
     for batch in batches:
         for nbytes, sha, body, points, owner, n in _rows(batch):
-            if nbytes != at[0] or sha != at[1] and trie.bytes > TRIE_BYTES:
-                yield from _emit(_checked(trie.take()), False)
-                trie = PatriciaTrie()
-            at = (nbytes, sha)
+            if (nbytes, sha) != at:
+                at, last = (nbytes, sha), body
+                if trie.bytes > TRIE_BYTES:
+                    yield from _emit(trie.spill(TRIE_BYTES // 2), False)
+            elif body != last:  # two owners for one key: better no result than a wrong one
+                raise ValueError("two different texts have the same length and SHA-256")
             trie.insert(body, (-points, owner, sha), n)
-    yield from _emit(_checked(trie.take()), False)
-
-
-def _checked(found: Iterator[tuple[bytes, tuple, int]]) -> Iterator[tuple[bytes, tuple, int]]:
-    """Different bytes under one content hash would give two owners to one key: better no result than a wrong one."""
-    seen: set[bytes] = set()
-    for x in found:
-        if x[1][2] in seen:
-            raise ValueError("two different texts have the same length and SHA-256")
-        seen.add(x[1][2])
-        yield x
+    yield from _emit(trie.take(), False)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +163,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical without ASCII white space. Of equal texts the one with the most
     code points stays, then the one with the smallest identifier. Null text counts as empty, and all
     empty texts are equal. A null identifier comes after all others; keep_id is null where a group has
-    no other. Rows that repeat both identifier and text are the same document and are marked alike.
+    no other. Rows that repeat both identifier and text are the same document and are marked alike, as
+    are rows of one identifier whose texts are equal and have equally many code points.
     Other columns of docs are ignored. An empty table gives an empty result.
     """
     norm = normalised(F.col(text_col))

@@ -37,8 +37,24 @@ def test_trie_is_a_map():
         trie.insert(k, (-len(k), i, b""), 1)
         plain.setdefault(k, []).append(i)
     assert {k: (best[1], n) for k, best, n in trie.take()} == {k: (min(v), len(v)) for k, v in plain.items()}
-    root = dict((k, n) for k, _, n in trie.spill())
-    assert sum(root.values()) == len(keys) - len(plain[b""]) and trie.bytes == 0
+    largest = [k for k, _, _ in trie.spill(trie.bytes - 1)]
+    assert set(largest) == {k for k in keys if k[:1] == b"a"}  # one subtree goes, the others stay
+    before = trie.bytes
+    left = {k: n for k, _, n in trie.spill(0)}
+    assert before > 0 and left == {k: len(v) for k, v in plain.items() if k and k[:1] != b"a"} and trie.bytes == 0
+    assert [k for k, _, _ in trie.take()] == [b""]
+
+
+def test_owners_go_by_subtree_once_complete(monkeypatch):
+    rows = sorted((3, hashlib.sha256(b"%c%02d" % (97 + i % 3, i % 40)).digest(), b"%c%02d" % (97 + i % 3, i % 40), i % 5, i, 1) for i in range(400))
+    batches = [exact_dedup._batch(rows[a : a + 7]) for a in range(0, len(rows), 7)]
+    whole = [r for b in exact_dedup._merge_all(iter(batches)) for r in exact_dedup._rows(b)]
+    monkeypatch.setattr(exact_dedup, "TRIE_BYTES", 5_000)
+    parts = list(exact_dedup._merge_all(iter(batches)))
+    assert len(parts) > 3 and sorted(r for b in parts for r in exact_dedup._rows(b)) == sorted(whole) and sum(r[5] for r in whole) == 400
+    clash = [exact_dedup._batch([(3, b"s" * 32, b"abc", 3, 1, 1), (3, b"s" * 32, b"abd", 3, 2, 1)])]
+    with pytest.raises(ValueError, match="same length and SHA-256"):
+        list(exact_dedup._merge_all(iter(clash)))
 
 
 def test_spilled_tries_give_the_same(spark, monkeypatch):
