@@ -37,20 +37,6 @@ LIMITED_SCOPE = (
     r"|\b(?:in|within)\s+[A-Z][a-z]+\s+County\s+only\b"
 )
 TRANSLATION = r"(?iU)^\s*(?:SPANISH|PORTUGUESE|SPANISH\s+TRANSLATION|TRADUCCI[OÓ]N)\s*[:\-]"
-BOILERPLATE = (
-    r"(?iU)\bmay\s+(?:be\s+(?:flown|displayed|lowered)|order|proclaim)\b"
-    r"|\bshould\s+(?:be|first|again)\b"
-    r"|\bshall\s+be\s+(?:displayed|flown)\b"
-    r"|\bwhen\s+flown\s+at\b"
-    r"|\bupon\s+the\s+death\s+of\b"
-    r"|\bin\s+the\s+event\s+of\b"
-    r"|\baccording\s+to\s+the\s+u\.?s\.?\s+(?:flag\s+)?code\b"
-    r"|\bflag\s+code\s+authorizes\b"
-    r"|\bhas\s+authority\s+(?:over|to)\b"
-    r"|\bit\s+is\s+proper\s+flag\s+protocol\b"
-    r"|\bhalf[-\s]?staff\s+means\b"
-    r"|\bby\s+order\s+of\s+the\s+president,\s+the\s+u\.?s\.?\s+flag\s+should\b"
-)
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 
 
@@ -79,6 +65,12 @@ def content_hash(html: Column) -> Column:
     return F.left(F.sha2(strip_html(html), 256), F.lit(16))
 
 
+def order_hash(order: Column, kind: str) -> Column:
+    """content_hash of an order, a struct of this type, as JSON with sorted keys: it changes with any field."""
+    names = sorted(f.split(":")[0] for f in kind[kind.index("<") + 1 : -1].split(","))
+    return content_hash(F.to_json(F.struct(*[order[n].alias(n) for n in names]), {"ignoreNullFields": "false"}))
+
+
 def status_fingerprint(html: Column, hint: str | None = None) -> Column:
     """content_hash without clock times and long numbers, near the hint if the text has it."""
     text = strip_html(html)
@@ -108,11 +100,6 @@ def is_translation(title: Column) -> Column:
     return F.coalesce(title, F.lit("")).rlike(TRANSLATION)
 
 
-def strip_boilerplate(text: Column) -> Column:
-    """The text without sentences that state rules."""
-    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: ~s.rlike(BOILERPLATE)), " ")
-
-
 def first_sentences(text: Column, n: int = 3, chars: int = 700) -> Column:
     return F.substring(F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), 1, n), " "), 1, chars)
 

@@ -13,6 +13,22 @@ from halyard.functions.text import or_else, status_fingerprint
 from halyard.operators.coverage import covers, freshness, recent
 
 
+def of_keys(registry: DataFrame, key: str, wanted: str | None) -> DataFrame:
+    """The registry, or its row for one key, in whatever case that is given."""
+    return registry if wanted is None else registry.filter(F.col(key) == F.upper(F.lit(wanted)))
+
+
+def buildable_count(registry: DataFrame) -> DataFrame:
+    """One row: buildable (true, not null), total."""
+    return registry.agg(F.count_if(F.coalesce("buildable", F.lit(False))).alias("buildable"), F.count("*").alias("total"))
+
+
+def half_and_changed(rows: DataFrame, key: str) -> DataFrame:
+    """One row: the sorted keys at half-staff and the sorted keys that changed; of a dimension, so of bounded size."""
+    some = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(key))))
+    return rows.agg(some(F.col("effective_status") == HALF).alias("half"), some(F.col("changed")).alias("changed"))
+
+
 def pick_url(row: Column) -> Column:
     """The URL to fetch of a registry struct, by its ingest mode; an empty string counts as missing."""
     mode = row["ingest_mode"]
@@ -43,13 +59,14 @@ def with_alternates(registry: DataFrame, documents: DataFrame, key: str = "state
     return out.withColumns({"used_url": F.col("hit.try"), "html": F.col("hit.html"), "error": F.when(F.col("hit").isNull(), F.when(F.col("url").isNull(), "no url").otherwise(F.col("primary_error")))}).drop("hit", "primary_error")
 
 
-def fold_candidates(items: DataFrame, key: str, as_of: Column, signature_required: Column | None = None) -> DataFrame:
+def fold_candidates(items: DataFrame, key: str, as_of: Column, signature_required: Column | None = None, shown: Sequence[str] = ()) -> DataFrame:
     """One verdict per key from its items (key, ordinal, title, date, status, authority, scope, start_date, end_date).
 
     Items older than the look-back, not at half-staff, of limited scope, or (where required) without a
     governor's authority are passed over. The first that covers the day makes the key half; else the
     first that does not is kept as expired and the key is full. limited lists the limited orders before
-    the one taken.
+    the one taken. shown are further columns of items that orders carry. A row without a title only says
+    that its key has items: they are of no use, so the key is full.
     """
     start = F.coalesce("start_date", "date")
     usable = (F.col("status") == HALF) & recent(F.col("date"), as_of)
@@ -58,7 +75,7 @@ def fold_candidates(items: DataFrame, key: str, as_of: Column, signature_require
     limited = (F.col("status") == HALF) & recent(F.col("date"), as_of) & (F.col("scope") == "limited")
     rows = items.withColumns({"start_date": start, "limited": limited, "usable": usable & (F.col("scope") != "limited")}).withColumn("covers", covers(F.col("start_date"), F.col("end_date"), as_of))
     taken = F.struct((~F.coalesce(F.col("covers.verdict"), F.lit(False))).alias("not_live"), "ordinal")
-    order = F.struct("title", "start_date", "end_date", "authority", F.col("covers.why").alias("why"), F.coalesce(F.col("covers.verdict"), F.lit(False)).alias("live"), "ordinal")
+    order = F.struct("title", "start_date", "end_date", "authority", F.col("covers.why").alias("why"), F.coalesce(F.col("covers.verdict"), F.lit(False)).alias("live"), "ordinal", *shown)
     out = rows.groupBy(key).agg(
         F.min_by(F.when(F.col("usable"), order), F.when(F.col("usable"), taken)).alias("order"),
         F.array_sort(F.collect_list(F.when(F.col("limited"), F.struct("ordinal", "title")))).alias("limited"),

@@ -647,6 +647,147 @@ def status_run(spark, sf_dir):
     return resolve_states(registry, docs, articles, mailed, seen, prior, day("2026-08-22")).select("state_code", "status", "coverage", "error")
 
 
+def _web_run(spark, sf_dir):
+    """Arguments of a run for 2026-08-22 over all customers: feeds, archives and indexes of nine kinds, an e-mail and a failing source of each kind.
+
+    Kind: 0 headline tells a live order; 1 headline tells no status, the article's opening does; 2 news, none about
+    flags; 3 an order of the president only, where a governor's is asked for; 4 an order at the capitol only; 5 an order
+    without an end, whose article gives an end that is over; 6 no items at all; 7 cannot be read; 8 an e-mail.
+    """
+    k = F.col("c_custkey")
+    kind, key, none = k % 9, k.cast("string"), F.lit(None).cast("string")
+    cust = table(spark, sf_dir, "customer")
+    url, article = F.concat(F.lit("http://h/"), key), F.concat(F.lit("http://h/a"), key)
+    mode = F.when(kind == 8, "email").otherwise(choose((k / 9).cast("long"), ("feed", "archive", "index")))
+    registry = cust.select(
+        key.alias("state_code"), F.concat(F.lit("State "), key).alias("state"), F.lit("high").alias("confidence"), mode.alias("ingest_mode"), F.lit(True).alias("buildable"), url.alias("press_url"), url.alias("flag_page_url"), url.alias("rss_url"),
+        none.alias("toggle_hub_url"), none.alias("blocked_reason"), F.lit(None).cast("array<string>").alias("url_candidates"), F.lit(True).alias("signature_check_required"), F.lit(False).alias("dedupe_translations"),
+    )
+    head = choose(
+        kind,
+        (
+            "Governor Lee orders flags lowered to half-staff until sunset on August 22, 2026", "Governor Lee issues a flag order for a trooper", "Governor Lee opens a new bridge over the river",
+            "By order of the President flags lowered to half-staff August 22, 2026", "Governor Lee orders flags lowered to half-staff at the State Capitol August 22, 2026", "Governor Lee orders flags lowered to half-staff August 20, 2026",
+            "", "unread", "",
+        ),
+    )
+    page = F.when(kind == 6, "").when(mode == "feed", F.concat(F.lit("<item><title>"), head, F.lit("</title><link>"), article, F.lit("</link><pubDate>20 Aug 2026</pubDate></item>"))).when(mode == "archive", F.concat(F.lit('<li><a href="'), article, F.lit('">'), head, F.lit("</a></li>")))
+    page = page.otherwise(F.concat(F.lit('<h2><a href="'), article, F.lit('">'), head, F.lit("</a></h2>")))
+    docs = landed_documents(cust.select(url.alias("url"), F.when(kind == 7, 500).otherwise(200).alias("status"), page.alias("body"), none.alias("error")))
+    body = choose(kind, ("x", "<p>Governor Lee directed that flags be lowered to half-staff from August 20, 2026 through August 23, 2026. A trooper is mourned. There is more. On Monday they return to full staff, by order of the President.</p>", "x", "Governor Lee orders this.", "x", "<p>From August 20, 2026 through August 21, 2026.</p>", "x", "x", "x"))
+    articles = cust.select(article.alias("url"), body.alias("html"))
+    mailed = cust.filter((kind == 8) & (k % 2 == 0)).select(key.alias("state_code"), F.lit("By mail").alias("title"), F.lit("2026-08-21").cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit(True).alias("until_noon"))
+    seen = cust.filter(kind == 8).select(key.alias("state_code"), F.lit("2026-08-01").alias("seen_on"))
+    order = F.struct(F.lit("Before").alias("title"), none.alias("url"), none.alias("authority"), F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit(True).alias("until_noon"), none.alias("why"))
+    # every other key was seen before, one in four of them with the same content
+    same = text.content_hash(page)
+    prior = cust.filter(k % 2 == 0).select(key.alias("state_code"), F.lit("half").alias("status"), order.alias("order"), F.when(k % 4 == 0, same).otherwise("other").alias("hash"), F.lit("2026-08-01 00:00:00").cast("timestamp").alias("last_changed_at"))
+    return registry, docs, articles, mailed, seen, prior
+
+
+# what the kinds of _web_run come to; a feed of other news is read and full, the other lists have no item about flags
+_WEB_RUN_SQL = """WITH c AS (SELECT c_custkey AS k, c_custkey % 9 AS kind, CASE WHEN c_custkey % 9 = 8 THEN 'email' ELSE ['feed', 'archive', 'index'][c_custkey // 9 % 3 + 1] END AS mode FROM customer),
+r AS (SELECT *, CASE WHEN kind IN (0, 1) THEN 'half' WHEN kind IN (3, 4, 5) THEN 'full' WHEN kind = 2 THEN CASE WHEN mode = 'feed' THEN 'full' ELSE 'unknown' END WHEN kind = 6 THEN 'unknown' WHEN kind = 7 THEN CASE WHEN k % 2 = 0 THEN 'half' ELSE 'unknown' END
+  ELSE CASE WHEN k % 2 = 0 THEN 'half' ELSE 'full' END END AS status FROM c)
+"""
+
+
+@query(
+    _WEB_RUN_SQL
+    + """SELECT CAST(k AS VARCHAR) AS state_code, status, CASE WHEN kind = 7 THEN CASE WHEN k % 2 = 0 THEN 'stale' ELSE 'not_covered' END ELSE 'covered' END AS coverage,
+  CASE WHEN kind = 7 THEN 'HTTP 500' WHEN kind = 6 OR kind = 2 AND mode <> 'feed' THEN 'source readable but no items parsed' END AS error,
+  CASE WHEN kind = 0 THEN 'Governor Lee orders flags lowered to half-staff until sunset on August 22, 2026' WHEN kind = 1 THEN 'Governor Lee issues a flag order for a trooper' WHEN kind = 7 AND k % 2 = 0 THEN 'Before' WHEN kind = 8 AND k % 2 = 0 THEN 'By mail' END AS order_title,
+  CASE WHEN kind = 1 THEN '2026-08-23' WHEN kind = 0 THEN '2026-08-22' END AS end_date, CASE WHEN kind IN (0, 1) THEN 'governor' END AS authority,
+  CASE WHEN kind = 5 THEN '2026-08-21' END AS expired_on, CASE WHEN kind = 4 THEN 1 ELSE 0 END AS n_limited FROM r"""
+)
+def status_run_of_lists(spark, sf_dir):
+    from halyard.plans.status_run import resolve_states
+
+    out = resolve_states(*_web_run(spark, sf_dir), day("2026-08-22"))
+    return out.select(
+        "state_code", "status", "coverage", "error", F.col("order.title").alias("order_title"), F.col("order.end_date").cast("string").alias("end_date"), F.col("order.authority").alias("authority"),
+        F.col("last_expired_order.end_date").cast("string").alias("expired_on"), F.coalesce(F.size("limited_orders"), F.lit(0)).alias("n_limited"),
+    )
+
+
+def _whole_run(spark, sf_dir):
+    from halyard.plans.status_run import whole_run as run
+
+    return run(*_web_run(spark, sf_dir), _calendar(spark), day("2026-08-22"), F.lit("2026-08-22 12:00:00").cast("timestamp"))
+
+
+@query(
+    _WEB_RUN_SQL
+    + """SELECT CAST(k AS VARCHAR) AS state_code, 'State ' || k AS state, 'high' AS confidence, mode AS ingest_mode, status AS effective_status,
+  CASE WHEN status = 'half' THEN CASE WHEN kind = 0 THEN 'Governor Lee orders flags lowered to half-staff until sunset on August 22, 2026' WHEN kind = 1 THEN 'Governor Lee issues a flag order for a trooper' WHEN kind = 7 THEN 'Before' ELSE 'By mail' END END AS reason,
+  CASE WHEN status = 'half' THEN CASE WHEN kind IN (7, 8) THEN 'until-noon' ELSE 'full-day' END END AS scope,
+  k % 2 = 0 AND kind <> 7 AND (k % 4 <> 0 OR kind = 8) AS changed,
+  CASE WHEN kind = 7 THEN CASE WHEN k % 2 = 0 THEN '2026-08-01' END WHEN kind = 8 AND k % 2 <> 0 THEN NULL WHEN k % 4 = 0 AND kind <> 8 THEN '2026-08-01' ELSE '2026-08-22' END AS last_changed FROM r"""
+)
+def whole_run(spark, sf_dir):
+    r = _whole_run(spark, sf_dir).records
+    return r.select("state_code", "state", "confidence", "ingest_mode", "effective_status", "reason", "scope", "changed", F.date_format("last_changed_at", "yyyy-MM-dd").alias("last_changed"))
+
+
+_CHANGED_SQL = "k % 2 = 0 AND kind <> 7 AND (k % 4 <> 0 OR kind = 8)"
+
+
+@query(_WEB_RUN_SQL + f"SELECT array_to_string(list_sort(list(CAST(k AS VARCHAR)) FILTER (status = 'half')), ' ') AS half, array_to_string(list_sort(list(CAST(k AS VARCHAR)) FILTER ({_CHANGED_SQL})), ' ') AS changed FROM r")
+def half_and_changed_codes(spark, sf_dir):
+    return _whole_run(spark, sf_dir).codes.select(F.array_join("half", " ").alias("half"), F.array_join("changed", " ").alias("changed"))
+
+
+@query(_WEB_RUN_SQL + f"""SELECT CAST(k AS VARCHAR) AS key, '{{"tag":"flag-' || k || '","title":"' || CASE status WHEN 'half' THEN 'to half-staff' ELSE 'back to full staff' END || '","status":"' || status || '"}}' AS payload FROM r WHERE {_CHANGED_SQL}""")
+def run_notices(spark, sf_dir):
+    return _whole_run(spark, sf_dir).notices.select("key", "payload")
+
+
+@query(_WEB_RUN_SQL + """SELECT '2026-08-22' AS date, count(*) AS n_states, min(CAST(k AS VARCHAR)) AS first_code, count(*) FILTER (kind <> 7) AS covered FROM r""")
+def status_document(spark, sf_dir):
+    """The published document, read again as JSON."""
+    doc = _whole_run(spark, sf_dir).document("2026-08-22")
+    at = lambda path: F.get_json_object("document", path)
+    keys = F.json_object_keys(at("$.states"))
+    return doc.select(at("$.date").alias("date"), F.size(keys).cast("long").alias("n_states"), F.get(keys, 0).alias("first_code"), at("$.meta.covered").cast("long").alias("covered"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'")
+def rows_of_a_key(spark, sf_dir):
+    return resolve.of_keys(table(spark, sf_dir, "customer"), "c_mktsegment", "building").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS buildable, count(*) AS total FROM orders")
+def buildable_count(spark, sf_dir):
+    status = F.col("o_orderstatus")
+    return resolve.buildable_count(table(spark, sf_dir, "orders").select(F.when(status != "P", status == "F").alias("buildable")))
+
+
+@query("""SELECT o_orderkey, sha256('{"by":' || CASE WHEN o_orderkey % 3 = 0 THEN '" "' ELSE 'null' END || ',"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","title":"' || o_orderpriority || '"}')[1:16] AS hash FROM orders""")
+def order_hash(spark, sf_dir):
+    """Null fields count, and an address in angle brackets is no content."""
+    order = F.struct(F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 3 == 0, "<a@b.org>").alias("by"), F.col("day"))
+    return orders(spark, sf_dir).select("o_orderkey", text.order_hash(order, "struct<title:string,by:string,day:date>").alias("hash"))
+
+
+@query(
+    """WITH u AS (SELECT DISTINCT user_id % 40 AS u FROM events) SELECT 'page ' || u AS page, CASE WHEN u % 4 = 3 THEN 'remembered order' WHEN u % 2 = 0 THEN 'President orders flags lowered to half-staff ' || u ELSE 'Feed: flags lowered to half-staff ' || u END AS title FROM u"""
+)
+def proclamation_items(spark, sf_dir):
+    """Index pages, feeds where a page has no index items, and pages whose items an earlier run has parsed."""
+    from halyard.plans.status_run import proclamation_items as read
+
+    u = F.col("u")
+    pages = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("u")).distinct()
+    index = F.concat(F.lit('<h2><a href="/o">President orders flags lowered to half-staff '), u.cast("string"), F.lit("</a></h2>"))
+    feed = F.concat(F.lit("<item><title>Other news</title></item><item><title>Feed: flags lowered to half-staff "), u.cast("string"), F.lit("</title><link>http://x/</link></item>"))
+    pages = pages.select("u", F.lit("http://h/").alias("url"), F.when(u % 2 == 0, index).otherwise(feed).alias("html"))
+    known = F.array(F.struct(F.lit(0).alias("ordinal"), F.lit("remembered order").alias("title"), F.lit(None).cast("date").alias("date")))
+    memo = pages.filter(u % 4 == 3).select(text.content_hash(F.col("html")).alias("hash"), known.alias("items"))
+    found = read(pages, memo)
+    named = pages.select(text.content_hash(F.col("html")).alias("hash"), F.concat(F.lit("page "), u.cast("string")).alias("page"))
+    return named.join(found, "hash").select("page", F.get("items", 0)["title"].alias("title"))
+
+
 @query(
     """WITH h AS (SELECT event_id, user_id, ts, sha256('Status ' || event_type || ' at ')[1:16] AS f FROM events), l AS (SELECT user_id, f, lag(f) OVER (PARTITION BY user_id ORDER BY event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM h)
 SELECT user_id, f AS fingerprint, p IS NOT NULL AND p <> f AS changed, p IS NULL AS first_seen FROM l WHERE i = CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END"""

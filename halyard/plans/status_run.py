@@ -5,93 +5,176 @@ Every row of the registry comes out exactly once, whatever fails on the way.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.dates import date_range
-from halyard.functions.items import archive_items, dedupe_in_order, feed_items, index_items
+from halyard.functions.items import archive_items, dedupe_in_order, feed_items, index_blocks, index_items
 from halyard.functions.rules import HALF, UNKNOWN, classify_authority, classify_status
-from halyard.functions.text import first_sentences, order_scope, strip_html
+from halyard.functions.text import content_hash, first_sentences, order_hash, order_scope, strip_html, until_noon
 from halyard.operators import resolve
+from halyard.operators.state import changed_feed
+from halyard.sources.tables import notices, status_document
 
 KEY = "state_code"
-LISTS = ("feed", "archive", "index")
 ARTICLE_CHARS = 8_000
-RESULT = (KEY, "status", "coverage", "error", "order_title", "until_noon")
-
-
-def candidates(pages: DataFrame, articles: DataFrame) -> DataFrame:
-    """Items of list pages (state_code, ingest_mode, used_url, html, dedupe_translations) as candidates for fold_candidates.
-
-    An article (url, html) is looked up only where the headline tells no status or gives no end.
+ORDER = "struct<title:string,url:string,authority:string,start_date:date,end_date:date,until_noon:boolean,why:string>"
+LIMITED = "array<struct<ordinal:int,title:string>>"
+COUNTIES = "array<struct<county:string,status:string>>"
+# what a run tells of a key, each with its type; a part that has nothing to tell leaves it null
+RESULT = {
+    KEY: "string", "status": "string", "coverage": "string", "error": "string", "order": ORDER, "last_expired_order": ORDER, "limited_orders": LIMITED, "county_exceptions": COUNTIES,
+    "evidence": "string", "channel_last_heard": "string", "source_url": "string", "hash": "string",
+}
+
+
+def _result(rows: DataFrame, **cols: Column) -> DataFrame:
+    """The columns of RESULT, from cols, else null."""
+    return rows.select(*[cols.get(name, F.col(KEY) if name == KEY else F.lit(None)).cast(kind).alias(name) for name, kind in RESULT.items()])
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """(state_code, page_url, n_items, ordinal, title, url, date) of list pages (state_code, ingest_mode, used_url, html, dedupe_translations): one row per item about flags, n_items counts all items of the page."""
+    base = pages.select(KEY, "ingest_mode", F.col("used_url").alias("url"), F.col("used_url").alias("page_url"), "html", F.coalesce("dedupe_translations", F.lit(False)).alias("dedupe"))
+    feed = base.filter("ingest_mode = 'feed'").select(KEY, "page_url", "dedupe", feed_items(F.col("html"), F.col("url")).alias("items"))
+    feed = feed.select(KEY, "page_url", F.when(F.col("dedupe"), dedupe_in_order(F.col("items"))).otherwise(F.col("items")).alias("items"))
+    # a feed of other news is a row without an item: it was read
+    flags = F.filter("items", lambda x: x["is_flag"])
+    feed = feed.filter(F.size("items") > 0).select(KEY, "page_url", F.size("items").alias("n_items"), F.explode_outer(flags).alias("x")).select(KEY, "page_url", "n_items", "x.ordinal", "x.title", "x.url", "x.date")
+    archive = archive_items(base.filter("ingest_mode = 'archive'"), (KEY, "page_url")).withColumnRenamed("rank", "ordinal")
+    index = index_items(base.filter(~F.col("ingest_mode").isin("feed", "archive")), (KEY, "page_url"))
+    rest = archive.select(KEY, "page_url", "ordinal", "title", "url", "date").unionByName(index)
+    return feed.unionByName(rest.withColumn("n_items", F.lit(1)).select(feed.columns))
+
+
+def candidates(items: DataFrame, articles: DataFrame) -> DataFrame:
+    """Items of page_items() as candidates for fold_candidates: each source is used for what it is reliable at.
+
+    The headline tells status, authority and scope. An article (url, html) is looked up only where the
+    headline tells no status or gives no end: its opening for status and authority where the headline
+    tells no status, its text for dates where the headline gives no end.
     """
-    base = pages.select(KEY, "ingest_mode", F.col("used_url").alias("url"), "html", F.coalesce("dedupe_translations", F.lit(False)).alias("dedupe"))
-    feed = base.filter("ingest_mode = 'feed'").select(KEY, F.col("url").alias("page_url"), "dedupe", feed_items(F.col("html"), F.col("url")).alias("items"))
-    kept = F.when(F.col("dedupe"), dedupe_in_order(F.col("items"))).otherwise(F.col("items"))
-    feed = feed.select(KEY, "page_url", F.explode(kept).alias("x")).filter("x.is_flag").select(KEY, "page_url", "x.ordinal", "x.title", "x.url", "x.date")
-    rest = base.withColumn("page_url", F.col("url"))
-    archive = archive_items(rest.filter("ingest_mode = 'archive'"), (KEY, "page_url")).withColumnRenamed("rank", "ordinal").select(feed.columns)
-    index = index_items(rest.filter(~F.col("ingest_mode").isin("feed", "archive")), (KEY, "page_url")).select(feed.columns)
-    items = feed.unionByName(archive).unionByName(index)
-    items = items.withColumns({"head": classify_status(F.col("title")), "range": date_range(F.col("title"))})
-    wanted = (F.col("url") != F.col("page_url")) & ((F.col("head.value") == UNKNOWN) | F.col("range.end_date").isNull())
-    items = resolve.enrich(items, articles.select("url", strip_html(F.col("html")).alias("body")), wanted, "url", ["body"])
-    opening = classify_status(first_sentences(F.col("body")))["value"]
-    late = date_range(F.left("body", F.lit(ARTICLE_CHARS)))
-    told = F.col("head.value") != UNKNOWN
+    items = items.withColumns({"head": classify_status(F.col("title")), "by": classify_authority(F.col("title")), "range": date_range(F.col("title"))})
+    told, ends = F.col("head.value") != UNKNOWN, F.col("range.end_date").isNotNull()
+    wanted = (F.col("url") != F.col("page_url")) & ~(told & ends)
+    items = resolve.enrich(items, articles, wanted, "url", ["html"]).withColumn("body", F.when(F.col("html").isNotNull(), strip_html(F.col("html"))))
+    items = items.withColumn("opening", F.when(~told, first_sentences(F.col("body")))).withColumn("late", F.when(~ends, date_range(F.left("body", F.lit(ARTICLE_CHARS)))))
+    items = items.withColumns({"read": classify_status(F.col("opening")), "read_by": classify_authority(F.col("opening"))})
+    read = ~told & (F.col("read.value") != UNKNOWN)
     return items.select(
         KEY,
         "ordinal",
         "title",
+        "url",
         "date",
-        F.when(told, F.col("head.value")).otherwise(opening).alias("status"),
-        classify_authority(F.concat_ws(" ", "title", F.left("body", F.lit(ARTICLE_CHARS))))["value"].alias("authority"),
+        F.when(read, F.col("read.value")).otherwise(F.col("head.value")).alias("status"),
+        F.when(read & (F.col("read_by.value") != UNKNOWN), F.col("read_by.value")).otherwise(F.col("by.value")).alias("authority"),
         order_scope(F.col("title"))["scope"].alias("scope"),
-        F.coalesce("range.start_date", late["start_date"]).alias("start_date"),
-        F.coalesce("range.end_date", late["end_date"]).alias("end_date"),
+        F.coalesce("range.start_date", "late.start_date").alias("start_date"),
+        F.coalesce("range.end_date", "late.end_date").alias("end_date"),
+        until_noon(F.col("title")).alias("until_noon"),
     )
 
 
 def resolve_states(registry: DataFrame, documents: DataFrame, articles: DataFrame, orders: DataFrame, seen: DataFrame, prior: DataFrame, as_of: Column) -> DataFrame:
-    """One row per registry row: state_code, status, coverage, error, order_title, until_noon.
+    """One row per registry row, with the columns of RESULT.
 
     orders: state_code, title, start_date, end_date, until_noon; seen: state_code, seen_on; prior:
-    state_code, status of the last run.
+    state_code, status and (if it has them) order and hash of the last run. hash changes with what a
+    source says. A source that cannot be read keeps its last status and order, and is stale.
     """
-    null, no = F.lit(None).cast("string"), F.lit(False)
-    mail = registry.filter("ingest_mode = 'email'")
-    by_mail = resolve.email_status(mail, orders, seen, as_of, KEY).join(orders.select(KEY, F.col("title").alias("order_title"), "until_noon"), KEY, "left")
-    by_mail = by_mail.withColumn("until_noon", F.coalesce("until_noon", no)).select(*RESULT)
-    web = registry.filter("NOT ingest_mode <=> 'email'")
     built = F.coalesce("buildable", F.lit(True))
-    unbuilt = web.filter(~built).select(KEY, F.lit(UNKNOWN).alias("status"), F.lit("not_covered").alias("coverage"), F.coalesce("blocked_reason", F.lit("no verified source")).alias("error"), null.alias("order_title"), no.alias("until_noon"))
+    mail, web = registry.filter("ingest_mode = 'email'"), registry.filter("NOT ingest_mode <=> 'email'")
+    told = orders.select(KEY, F.struct("title", F.lit(None).alias("url"), F.lit(None).alias("authority"), "start_date", "end_date", "until_noon", F.lit("official notification email").alias("why")).cast(ORDER).alias("order"))
+    by_mail = resolve.email_status(mail, orders, seen, as_of, KEY).join(told, KEY, "left")
+    by_mail = _result(by_mail, status=F.col("status"), coverage=F.col("coverage"), error=F.col("error"), order=F.when(F.col("status") == HALF, F.col("order")), channel_last_heard=F.col("channel_last_heard"), hash=F.when(F.col("order").isNotNull(), order_hash(F.col("order"), ORDER)))
+    unbuilt = _result(web.filter(~built), status=F.lit(UNKNOWN), coverage=F.lit("not_covered"), error=F.coalesce("blocked_reason", F.lit("no verified source")))
     row = F.struct("ingest_mode", "toggle_hub_url", "press_url", "rss_url", "flag_page_url")
     fetched = resolve.with_alternates(web.filter(built).withColumn("url", resolve.pick_url(row)), documents, KEY)
-    failed = fetched.filter("error IS NOT NULL").join(prior.select(KEY, F.col("status").alias("before")), KEY, "left")
-    failed = failed.select(KEY, F.coalesce("before", F.lit(UNKNOWN)).alias("status"), F.when(F.col("before").isNotNull(), "stale").otherwise("not_covered").alias("coverage"), "error", null.alias("order_title"), no.alias("until_noon"))
-    good = fetched.filter("error IS NULL")
-    toggled = resolve.toggle_pages(good.filter("ingest_mode = 'toggle'")).select(KEY, "status", "coverage", null.alias("error"), null.alias("order_title"), no.alias("until_noon"))
+    before = prior.select(KEY, F.col("status").alias("before"), (F.col("order") if "order" in prior.columns else F.lit(None)).cast(ORDER).alias("order"))
+    failed = fetched.filter("error IS NOT NULL").join(before, KEY, "left")
+    known = F.col("before").isNotNull()
+    failed = _result(failed, status=F.coalesce("before", F.lit(UNKNOWN)), coverage=F.when(known, "stale").otherwise("not_covered"), error=F.col("error"), order=F.col("order"), source_url=F.col("url"))
+    good = fetched.filter("error IS NULL").withColumn("hash", content_hash(F.col("html")))
+    page = {"source_url": F.col("used_url"), "hash": F.col("hash")}
+    toggled = resolve.toggle_pages(good.filter("ingest_mode = 'toggle'"))
+    toggled = _result(toggled, status=F.col("status"), coverage=F.col("coverage"), evidence=F.col("evidence"), **page)
     diff = resolve.status_pages(good.filter("ingest_mode = 'diff'"), as_of)
-    diff = diff.select(KEY, "status", "coverage", F.when(F.col("fresh.frozen"), "source frozen").alias("error"), null.alias("order_title"), no.alias("until_noon"))
+    diff = _result(diff, status=F.col("status"), coverage=F.col("coverage"), error=F.when(F.col("fresh.frozen"), "source frozen"), evidence=F.col("evidence"), county_exceptions=F.col("county_exceptions"), **page)
     lists = good.filter(~F.coalesce("ingest_mode", F.lit("")).isin("toggle", "diff"))
-    signed = lists.select(KEY, F.coalesce("signature_check_required", no).alias("signed"))
-    items = candidates(lists, articles).join(signed, KEY)
-    folded = resolve.fold_candidates(items, KEY, as_of, F.col("signed")).select(KEY, F.col("status").alias("found"), F.col("order.title").alias("order_title"))
-    listed = lists.select(KEY).join(folded, KEY, "left")
-    listed = listed.select(KEY, F.coalesce("found", F.lit(UNKNOWN)).alias("status"), F.lit("covered").alias("coverage"), F.when(F.col("found").isNull(), "source readable but no items parsed").alias("error"), "order_title", no.alias("until_noon"))
+    signed = lists.select(KEY, F.coalesce("signature_check_required", F.lit(False)).alias("signed"))
+    items = candidates(page_items(lists), articles).join(signed, KEY)
+    folded = resolve.fold_candidates(items, KEY, as_of, F.col("signed"), ("url", "until_noon"))
+    shape = lambda c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{x.split(':')[0]}") for x in ORDER[7:-1].split(",")]))
+    folded = folded.select(KEY, F.col("status").alias("found"), shape("order").alias("order"), shape("last_expired_order").alias("expired"), "limited_orders")
+    listed = lists.select(KEY, "used_url", "hash").join(folded, KEY, "left")
+    nothing = F.when(F.col("found").isNull(), "source readable but no items parsed")
+    listed = _result(listed, status=F.coalesce("found", F.lit(UNKNOWN)), coverage=F.lit("covered"), error=nothing, order=F.col("order"), last_expired_order=F.col("expired"), limited_orders=F.col("limited_orders"), **page)
     out = by_mail
     for part in (unbuilt, failed, toggled, diff, listed):
         out = out.unionByName(part)
     return out
 
 
+@dataclass
+class Run:
+    """The tables of one run: records (one row per key), counts, codes, changes for the log, and the notices to send."""
+
+    records: DataFrame
+    counts: DataFrame
+    codes: DataFrame
+    changes: DataFrame
+    notices: DataFrame
+
+    def document(self, date: str) -> DataFrame:
+        """The published document, refused when it is read if too few keys are covered."""
+        return status_document(resolve.publishable(self.records), self.counts, date)
+
+
+def whole_run(registry: DataFrame, documents: DataFrame, articles: DataFrame, orders: DataFrame, seen: DataFrame, prior: DataFrame, calendar: DataFrame, as_of: Column, at: Column, proclaimed: DataFrame | None = None) -> Run:
+    """From the registry (state_code, state, confidence, ...) to what is published, in one plan.
+
+    prior: state_code, status, order, hash, last_changed_at of the last run. A key has changed when its
+    source says something else than before; a first sighting is no change, but its time is kept.
+    """
+    states = resolve_states(registry, documents, articles, orders, seen, prior, as_of)
+    states = states.withColumns({"order_title": F.col("order.title"), "until_noon": F.coalesce("order.until_noon", F.lit(False))})
+    states = resolve.overlay(states, federal(calendar, proclaimed, as_of)).drop("order_title", "until_noon")
+    before = prior.select(KEY, F.col("hash").alias("__hash"), F.col("last_changed_at").alias("__changed_at"))
+    states = states.join(registry.select(KEY, "state", "ingest_mode", "confidence"), KEY).join(before, KEY, "left")
+    changed = F.coalesce(F.col("hash") != F.col("__hash"), F.lit(False))
+    moved = F.col("hash").isNotNull() & (changed | F.col("__hash").isNull())
+    records = states.withColumns({"changed": changed, "last_changed_at": F.when(moved, at).otherwise(F.col("__changed_at")), "hash": F.coalesce("hash", "__hash")}).drop("__hash", "__changed_at")
+    records = records.withColumn("checked_at", at)
+    changes = changed_feed(records, KEY, "checked_at", "effective_status")
+    return Run(records, resolve.coverage_counts(records), resolve.half_and_changed(records, KEY), changes, notices(changes))
+
+
+def proclamation_items(pages: DataFrame, memo: DataFrame | None = None) -> DataFrame:
+    """hash, items of proclamation pages (url, html): the items of an index, or where it has none those of a feed.
+
+    memo (hash, items) is what earlier runs parsed: a page with a known hash is not parsed again. The
+    verdict depends on the day, so it is not kept.
+    """
+    hashed = pages.withColumn("hash", content_hash(F.col("html")))
+    shape = lambda x: F.struct(x["ordinal"].alias("ordinal"), x["title"].alias("title"), x["date"].alias("date"))
+    index = F.transform(index_blocks(F.col("html")), shape)
+    feed = F.transform(F.filter(feed_items(F.col("html"), F.col("url")), lambda x: x["is_flag"]), shape)
+    if memo is None:
+        return hashed.select("hash", F.when(F.size(index) > 0, index).otherwise(feed).alias("items"))
+    fresh = hashed.join(memo, "hash", "left_anti").select("hash", F.when(F.size(index) > 0, index).otherwise(feed).alias("items"))
+    return memo.join(hashed.select("hash"), "hash", "left_semi").select("hash", "items").unionByName(fresh)
+
+
 def proclamation(items: DataFrame, as_of: Column) -> DataFrame:
-    """reason, scope of the first item (ordinal, title, is_flag, date) whose headline is half-staff and that covers the day: no row or one."""
+    """reason, scope of the first item (ordinal, title, date) about flags whose headline is half-staff and that covers the day: no row or one."""
     from halyard.operators.coverage import covers
 
     span = date_range(F.col("title"))
     live = F.coalesce(covers(F.coalesce(span["start_date"], F.col("date")), span["end_date"], as_of)["verdict"], F.lit(False))
-    hit = items.filter(F.col("is_flag") & (classify_status(F.col("title"))["value"] == HALF) & live)
+    hit = items.filter((classify_status(F.col("title"))["value"] == HALF) & live)
     return hit.agg(F.min_by("title", "ordinal").alias("reason")).filter("reason IS NOT NULL").withColumn("scope", F.lit("full-day"))
 
 
