@@ -1,4 +1,8 @@
-"""Which key does a message belong to? By sender domain, then account slug, then a name in its subject."""
+"""Which key does a message belong to? By sender domain, then account slug, then a name in its subject.
+
+The dimensions (hints, accounts, names) have a row or a few per key. Each becomes one array on one row,
+which is searched within a message's row: messages are neither shuffled nor multiplied.
+"""
 
 from __future__ import annotations
 
@@ -6,40 +10,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def by_domain(messages: DataFrame, hints: DataFrame) -> DataFrame:
-    """msg_id, code, how: the first hint (priority, domain, code) whose domain the sender contains. hints are a small dimension."""
-    hit = messages.select("msg_id", F.lower(F.coalesce("sender", F.lit(""))).alias("s")).join(F.broadcast(hints), F.contains(F.col("s"), F.col("domain")))
-    return hit.groupBy("msg_id").agg(F.min_by(F.struct("code", F.concat(F.lit("sender domain "), F.col("domain")).alias("how")), "priority").alias("h")).select("msg_id", "h.*")
+def _with_list(messages: DataFrame, rows: DataFrame, order: list, name: str) -> DataFrame:
+    """messages with one more column, the rows of a dimension as an array in this order; no row gives an empty array."""
+    one = rows.agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+    return messages.join(F.broadcast(one), how="left")  # a table of one row
+
 
+def _by_domain(messages: DataFrame, hints: DataFrame) -> DataFrame:
+    """d: (code, how) of the first hint (priority, domain, code) whose domain the sender contains."""
+    sender = F.lower(F.coalesce("sender", F.lit("")))
+    hit = F.get(F.filter("__hints", lambda h: F.contains(sender, h["domain"])), 0)
+    found = F.when(hit.isNotNull(), F.struct(hit["code"].alias("code"), F.concat(F.lit("sender domain "), hit["domain"]).alias("how")))
+    return _with_list(messages, hints, ["priority", "code", "domain"], "__hints").withColumn("__d", found).drop("__hints")
 
-def by_account(messages: DataFrame, accounts: DataFrame) -> DataFrame:
-    """msg_id, code, how: the first account (priority, slug, code) whose slug stands as a word in sender or headers."""
+
+def _by_account(messages: DataFrame, accounts: DataFrame) -> DataFrame:
+    """a: (code, how) of the first account (priority, slug, code) whose slug stands as a word in sender or headers."""
     hay = F.lower(F.concat_ws(" ", F.coalesce("sender", F.lit("")), F.col("headers")))
-    word = F.concat(F.lit("(?U)\\b\\Q"), F.col("slug"), F.lit("\\E\\b"))
-    hit = messages.select("msg_id", hay.alias("hay")).join(F.broadcast(accounts.filter("slug <> ''")), F.regexp_like("hay", word))
-    return hit.groupBy("msg_id").agg(F.min_by(F.struct("code", F.concat(F.lit("govdelivery account "), F.upper("slug")).alias("how")), "priority").alias("h")).select("msg_id", "h.*")
+    word = lambda slug: F.concat(F.lit("(?U)\\b\\Q"), slug, F.lit("\\E\\b"))
+    # most slugs are not even part of the text, which is told without a pattern
+    hit = F.get(F.filter("__accounts", lambda a: F.contains(F.col("__hay"), a["slug"]) & F.regexp_like(F.col("__hay"), word(a["slug"]))), 0)
+    found = F.when(hit.isNotNull(), F.struct(hit["code"].alias("code"), F.concat(F.lit("govdelivery account "), F.upper(hit["slug"])).alias("how")))
+    rows = _with_list(messages.withColumn("__hay", hay), accounts.filter("slug <> ''"), ["priority", "code", "slug"], "__accounts")
+    return rows.withColumn("__a", found).drop("__accounts", "__hay")
 
 
-def by_subject(messages: DataFrame, names: DataFrame) -> DataFrame:
-    """msg_id, code, how: a key is accepted only if the subject contains exactly one of names (code, name); else how tells why not."""
-    hit = messages.select("msg_id", F.lower(F.coalesce("subject", F.lit(""))).alias("s")).join(F.broadcast(names), F.contains(F.col("s"), F.lower("name")), "left")
-    n = F.col("n")
-    return hit.groupBy("msg_id").agg(F.count("code").alias("n"), F.min("code").alias("code")).select(
-        "msg_id",
-        F.when(n == 1, F.col("code")).alias("code"),
-        F.when(n == 1, "state named in subject").when(n > 1, F.concat(F.lit("subject names "), n.cast("string"), F.lit(" states - ambiguous"))).otherwise("no state identified").alias("how"),
-    )
+def _by_subject(messages: DataFrame, names: DataFrame) -> DataFrame:
+    """s: a key is accepted only if the subject contains exactly one of names (code, name); else how tells why not."""
+    subject = F.lower(F.coalesce("subject", F.lit("")))
+    rows = _with_list(messages, names.filter("name IS NOT NULL"), ["code", "name"], "__names")
+    rows = rows.withColumn("__in", F.filter("__names", lambda x: F.contains(subject, F.lower(x["name"]))))
+    n = F.size("__in")
+    how = F.when(n == 1, "state named in subject").when(n > 1, F.concat(F.lit("subject names "), n.cast("string"), F.lit(" states - ambiguous"))).otherwise("no state identified")
+    return rows.withColumn("__s", F.struct(F.when(n == 1, F.get("__in", 0)["code"]).alias("code"), how.alias("how"))).drop("__names", "__in")
 
 
-def attribute(messages: DataFrame, hints: DataFrame, accounts: DataFrame, names: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """msg_id, code, how for every message: identity before mention. allowed (code), if any, limits the keys of all three."""
+def attributed(messages: DataFrame, hints: DataFrame, accounts: DataFrame, names: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """messages with code and how: identity before mention. allowed (code), if any, limits the keys of all three."""
     if allowed is not None:
         hints, accounts, names = (d.join(allowed, "code", "left_semi") for d in (hints, accounts, names))
-    out = messages.select("msg_id")
-    for i, found in enumerate((by_domain(messages, hints), by_account(messages, accounts), by_subject(messages, names))):
-        out = out.join(found.select("msg_id", F.struct("code", "how").alias(f"f{i}")), "msg_id", "left")
-    best: Column = F.coalesce(F.when(F.col("f0.code").isNotNull(), F.col("f0")), F.when(F.col("f1.code").isNotNull(), F.col("f1")), F.col("f2"))
-    return out.select("msg_id", best["code"].alias("code"), best["how"].alias("how"))
+    out = _by_subject(_by_account(_by_domain(messages, hints), accounts), names)
+    best: Column = F.coalesce("__d", "__a", "__s")
+    return out.withColumns({"code": best["code"], "how": best["how"]}).drop("__d", "__a", "__s")
+
+
+def attribute(messages: DataFrame, hints: DataFrame, accounts: DataFrame, names: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """msg_id, code, how for every message."""
+    return attributed(messages, hints, accounts, names, allowed).select("msg_id", "code", "how")
 
 
 def unattributed(messages: DataFrame, shown: int = 2, chars: int = 70) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from halyard.functions.dates import date_range, mail_date
 from halyard.functions.rules import HALF, UNKNOWN, classify_authority, classify_status
 from halyard.functions.text import FLAG, order_scope, strip_html, until_noon
-from halyard.operators.attribution import attribute
+from halyard.operators.attribution import attributed
 
 # Senders whose mail is never about orders.
 IGNORED_SENDERS = ("accounts.google.com", "no-reply@google.com", "mail-noreply@google.com", "googlemail.com")
@@ -30,8 +30,7 @@ def choose_body(parts: Column) -> Column:
 
 def parse_messages(messages: DataFrame, hints: DataFrame, accounts: DataFrame, names: DataFrame, allowed: DataFrame | None = None, relevant: str = FLAG) -> DataFrame:
     """Every message (msg_id, seq, sender, subject, headers, date, parts) as an order or with the first reason against it."""
-    told = attribute(messages, hints, accounts, names, allowed)
-    rows = messages.withColumn("body", choose_body(F.col("parts"))).withColumn("blob", F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.col("body"))).join(told, "msg_id", "left")
+    rows = attributed(messages, hints, accounts, names, allowed).withColumn("body", choose_body(F.col("parts"))).withColumn("blob", F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.col("body")))
     rows = rows.withColumn("s1", classify_status(F.col("subject"))).withColumn("s2", classify_status(F.left("body", F.lit(BODY_CHARS))))
     rows = rows.withColumn("status", F.when(F.col("s1.value") != UNKNOWN, F.col("s1")).otherwise(F.col("s2"))).withColumn("scope", order_scope(F.col("blob"))).withColumn("dates", date_range(F.col("blob")))
     sender = F.lower(F.coalesce("sender", F.lit("")))

@@ -501,6 +501,19 @@ def sender_attribution(spark, sf_dir):
     return attribution.attribute(_mail(spark, sf_dir), *_dimensions(spark, sf_dir))
 
 
+@query(
+    _MAIL_SQL
+    + """, ok AS (SELECT * FROM nation WHERE n_regionkey < 3),
+d2 AS (SELECT c_custkey, min(h.n_nationkey) AS h FROM m JOIN ok h ON k = 0 AND contains('office <news@' || own || '>', lower(replace(h.n_name, ' ', '-')) || '.gov') GROUP BY c_custkey),
+s2 AS (SELECT c_custkey, count(*) AS n, min(CAST(h.n_nationkey AS VARCHAR)) AS h FROM m JOIN ok h ON k = 2 AND contains(lower('flags lowered in ' || m.n_name), lower(h.n_name)) GROUP BY c_custkey)
+SELECT m.c_custkey AS msg_id, CASE WHEN k = 0 THEN CAST(d2.h AS VARCHAR) WHEN k = 1 AND m.n_nationkey IN (SELECT n_nationkey FROM ok) THEN CAST(m.n_nationkey AS VARCHAR) WHEN k = 2 AND s2.n = 1 THEN s2.h END AS code
+FROM m LEFT JOIN d2 ON m.c_custkey = d2.c_custkey LEFT JOIN s2 ON m.c_custkey = s2.c_custkey"""
+)
+def attribution_to_allowed_keys(spark, sf_dir):
+    allowed = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("code"))
+    return attribution.attribute(_mail(spark, sf_dir), *_dimensions(spark, sf_dir), allowed).select("msg_id", "code")
+
+
 @query(
     """SELECT c_custkey AS msg_id, CASE WHEN c_custkey % 4 = 3 THEN 'not flag-related' WHEN c_custkey % 8 = 0 THEN 'not flag-related' WHEN c_custkey % 4 = 2 AND n > 1 THEN 'subject names ' || n || ' states - ambiguous' END AS reason
 FROM customer JOIN (SELECT a.n_nationkey, count(*) AS n FROM nation a JOIN nation b ON contains(lower(a.n_name), lower(b.n_name)) GROUP BY 1) ON c_nationkey = n_nationkey"""

@@ -59,6 +59,21 @@ def test_status_pages(spark):
     assert got == {"a": ("half", "covered"), "b": ("unknown", "stale"), "c": ("full", "covered"), "d": ("unknown", "covered")}
 
 
+def test_mail_is_numbered_by_day_and_path(spark, tmp_path):
+    from halyard.operators.messages import channels_seen, latest_orders
+    from halyard.sources.mail import read_messages
+
+    sent = {"b": "Tue, 18 Aug 2026 09:00:00 -0400", "a": "Tue, 18 Aug 2026 23:00:00 -0400", "c": "Mon, 17 Aug 2026 09:00:00 -0400", "z": None, "d": "Wed, 19 Aug 2026 09:00:00 -0400"}
+    for name, date in sent.items():
+        (tmp_path / f"{name}.eml").write_text(f"From: x@y.gov\nSubject: s\n{'Date: ' + date if date else 'X-No: date'}\n\nbody\n")
+    rows = read_messages(spark, str(tmp_path))
+    assert [r.msg_id[-5:-4] for r in rows.orderBy("seq").collect()] == ["z", "c", "a", "b", "d"]
+    days = F.when(F.col("msg_id").rlike("[ab].eml"), "2026-08-18").when(F.col("msg_id").rlike("c.eml"), "2026-08-17")
+    parsed = rows.select("msg_id", "seq", F.lit(None).cast("string").alias("reason"), F.lit("MI").alias("state_code"), days.alias("sent_date"))
+    assert latest_orders(parsed).first().msg_id.endswith("/a.eml")  # the first of the last day
+    assert channels_seen(parsed, spark.createDataFrame([], "state_code string, seen_on string")).first().seen_on == "2026-08-18"
+
+
 def test_stream_matches_table_and_survives_restart(spark, tmp_path):
     src, log, ck = (str(tmp_path / x) for x in ("in", "log", "ck"))
     schema = "key string, seq long, content string"
