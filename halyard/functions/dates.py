@@ -17,6 +17,8 @@ DATE_PATTERNS = (
     (r"(?U)\b([0-9]{1,2})/([0-9]{1,2})/(20[0-9][0-9])\b", (3, 1, 2)),
     (r"(?U)([0-9]{1,2})\s+([A-Za-z]{3})\s+(20[0-9][0-9])", (3, 2, 1)),  # as in RFC 822
 )
+# Patterns of ranges, of advertised windows and of modification dates. [0-9] stands for ASCII digits only,
+# because U lets \\d match the digits of all scripts.
 RANGE = r"(?iUd)(?:from|beginning|effective)\s+(.{0,60}?)\s+(?:through|until|to)\s+(.{0,60}?)(?:[.;]|$)"
 UNTIL = r"(?iUd)(?:until|through)\s+(?:sunset\s+(?:on\s+)?)?(.{0,40})"
 ADVERTISED_FROM = r"(?iU)\bfrom\s*:?\s*(?:sunrise|sunset|noon)?\s*(?:[A-Z][a-z]+day,?\s*)?([^\n]{0,34})"

@@ -82,6 +82,7 @@ PROSE_BEFORE = (
     r"raise[sd]?|display(?:ed|s)?|fly|flown|flying|honou?r|memory|respect|newsroom|archive|notices?|history|past|previous)\b"
 )
 PROSE_CHARS = 70
+# Patterns of county lines, of badges and of their votes.
 COUNTY_LINE = r"(?iU)(?<![-\w])[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s+count(?:y|ies)\s+only[^:]{0,60}:\s*(?:half|full)[-\s]?staff"
 COUNTY_SCOPED = r"(?iU)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+count(?:y|ies)\s+only[^:]{0,60}:\s*(half|full)[-\s]?staff"
 WIDGET = r"""(?isU)<([a-z]+)[^>]*class=["'][^"']*flag[-_]status[^"']*["'][^>]*>(.{0,3000}?)</\1>"""

@@ -464,6 +464,59 @@ def enrich_missing(spark, sf_dir):
     return resolve.enrich(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), o, F.col("l_linenumber") == 1, "l_orderkey", ["body"])
 
 
+# --- every pattern of the rules, behind whole documents --------------------------------------------
+
+# text, status, evidence: one text for each pattern that can decide
+_STATUS_TEXTS = (
+    ("There is no current half-staff notice", "full", "negation: 'no current half-staff'"), ("There are no active flag orders", "full", "negation: 'no active flag orders'"), ("It is not currently at half-staff", "full", "negation: 'not currently at half-staff'"),
+    ("The half-staff order has expired", "full", "negation: 'half-staff order has expired'"), ("No flags are currently lowered", "full", "negation: 'No flags are currently lowered'"),
+    ("Flags at half mast", "half", "at half mast"), ("It goes to half-staff", "half", "to half-staff"), ("A half-staff day", "half", "half-staff"), ("The flag will be lowered", "half", "flag will be lowered"), ("We lower the flags", "half", "lower the flags"),
+    ("Whitmer Lowers Flags", "half", "Lowers Flags"), ("Flags lowered here", "half", "Flags lowered"),
+    ("They fly at full-staff", "full", "at full-staff"), ("A full staff day", "full", "full staff"), ("They returned to the top", "full", "returned to the top"), ("It was raised to the peak", "full", "raised to the peak"), ("There is no current orderly queue", "full", "no current order"), ("The flag is currently flying full", "full", "flag is currently flying full"),
+    ("First to half-staff, then full staff", "unknown", "ambiguous: 'to half-staff' and 'full staff' both present"), ("Nothing of the kind", "unknown", None),
+)
+_AUTHORITY_TEXTS = (
+    ("The President of the United States speaks", "president", "The President of the United States"), ("a presidential proclamation", "president", "presidential proclamation"), ("by order of the President", "president", "by order of the President"), ("President has ordered it", "president", "President has ordered"),
+    ("from the White House", "president", "White House"), ("at all federal buildings", "president", "all federal buildings"), ("the authority vested in me by the Constitution and the laws of the United States", "president", "authority vested in me by the Constitution and the laws of the United States"), ("at United States embassies, legations", "president", "United States embassies, legations"),
+    ("Governor Cox has directed it", "governor", "Governor Cox has directed"), ("a governor's flag order", "governor", "governor's flag order"), ("by order of the governor", "governor", "by order of the governor"), ("a governor's proclamation", "governor", "governor's proclamation"), ("see Executive Order No. 2026-5", "governor", "Executive Order No. 2026-5"), ("The mayor has ordered it", "governor", "The mayor has ordered"),
+    ("Governor Cox orders it by order of the President", "governor", "governor acted, referencing federal: 'Governor Cox orders'"), ("nobody in particular", "unknown", None),
+)
+_DECLARED_TEXTS = (
+    ("Flag Status: Full Staff", "full", "Flag Status: Full Staff"), ("Flag Status Full Staff", "full", "Flag Status Full Staff"), ("Status: FULL STAFF", "full", "Status: FULL STAFF"), ("Current status: half the day", "half", "Current status: half"), ("National Flag: Half Staff", "half", "National Flag: Half Staff"), ("United States Flag: Full-Staff", "full", "United States Flag: Full-Staff"),
+    ("An honor status notification including text, Full Staff", "full", "status notification including text, Full Staff"), ("They are currently at Half Staff", "half", "are currently at Half Staff"), ("Flags are at full staff", "full", "Flags are at full staff"), ("Flags will be flown at half-staff today", "half", "Flags will be flown at half-staff today"),
+    ("She has ordered that banners be lowered to half-staff", "half", "has ordered that banners be lowered to half-staff"), ("Flags to be flown at half staff", "half", "Flags to be flown at half staff"), ("Flags at Full-Staff", "full", "Flags at Full-Staff"), ("In the newsroom: Flags at Half-Staff", "unknown", None), ("Flags may be flown at half-staff", "unknown", None),
+)
+_APART = "- " * 40
+
+
+def _behind_documents(spark, sf_dir, texts):
+    """Every document's whole text, and behind it one of these texts, which alone speaks of flags."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" " + _APART), choose(F.col("doc_id"), tuple(x[0] for x in texts)))
+    return table(spark, sf_dir, "documents").select("doc_id", said.alias("said"))
+
+
+def _rule_sql(texts, prefix=""):
+    shown = tuple(x[2] if x[2] is None else f"{prefix}'{x[2]}'" if prefix else x[2] for x in texts)
+    return f"SELECT doc_id, {case_sql('doc_id', tuple(x[1] for x in texts))} AS value, {case_sql('doc_id', shown)} AS evidence FROM documents"
+
+
+@query(_rule_sql(_STATUS_TEXTS))
+def every_status_signal(spark, sf_dir):
+    return _behind_documents(spark, sf_dir, _STATUS_TEXTS).select("doc_id", rules.classify_status(F.col("said")).alias("r")).select("doc_id", "r.*")
+
+
+@query(_rule_sql(_AUTHORITY_TEXTS))
+def every_authority_signal(spark, sf_dir):
+    return _behind_documents(spark, sf_dir, _AUTHORITY_TEXTS).select("doc_id", rules.classify_authority(F.col("said")).alias("r")).select("doc_id", "r.*")
+
+
+@query(_rule_sql(_DECLARED_TEXTS, "declaration: "))
+def every_declaration(spark, sf_dir):
+    r = rules.current_status(F.col("said")).alias("r")
+    told = F.when(F.col("r.value") != "unknown", F.col("r.evidence")).alias("evidence")
+    return _behind_documents(spark, sf_dir, _DECLARED_TEXTS).select("doc_id", r).select("doc_id", "r.value", told)
+
+
 # --- messages -------------------------------------------------------------------------------------
 
 
