@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-SHORT, K_SHORT, K_LONG = 8, 2, 4
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # what parts words
+SHORT, K_SHORT, K_LONG = 8, 2, 4  # K_LONG is twice K_SHORT, which is a power of two
 MARK = -1  # stands in for a hash; it only ever meets the row of k = 0
 
 
@@ -63,19 +64,32 @@ def _template_grams(spark, templates: tuple[Template, ...]) -> DataFrame:
             raise ValueError(f"a template needs {K_SHORT} words: {x.text!r}")
         for at in range(len(words) - k + 1):
             gram = ", ".join(f"'{w}'" for w in words[at : at + k])
-            rows.append(f"(xxhash64({gram}), array({gram}), {t}, '{x.label}', {str(x.base).lower()}, {at}, {len(words) - k + 1}, {k})")
+            rows.append(f"({_gram_hash(words[at : at + k])}, array({gram}), {t}, '{x.label}', {str(x.base).lower()}, {at}, {len(words) - k + 1}, {k})")
     rows.append(f"({MARK}L, array(''), -1, '', false, 0, 1, 0)")  # the row that each text meets once
     return spark.sql(f"SELECT h, gram, t, label, base, at, grams, k FROM VALUES {', '.join(rows)} AS v(h, gram, t, label, base, at, grams, k)")
 
 
-def _grams(words: Column) -> Column:
-    """Hashes of all k-grams, the short ones first, led by the mark that every text has."""
+def _gram_hash(words: tuple[str, ...]) -> str:
+    """SQL for the hash of a k-gram, k a power of two: halves are hashed, then both hashes together."""
+    half = len(words) // 2
+    return f"xxhash64({_gram_hash(words[:half])}, {_gram_hash(words[half:])})" if half else f"xxhash64('{words[0]}')"
 
-    def of(k: int) -> Column:
-        gram = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])
-        return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), gram)).otherwise(F.array().cast("array<bigint>"))
 
-    return F.concat(F.array(F.lit(MARK).cast("long")), of(K_SHORT), of(K_LONG))
+def _exploded_grams(rows: DataFrame) -> DataFrame:
+    """rows (words, ...), once for each k-gram: its place at_gram and hash h, the short ones first, led by the mark that every text has.
+
+    Each word is hashed once; a longer gram is the hash of its halves' hashes. Each step is a column of
+    its own, so that none is worked out twice; their union is none, since a filter on its size would be
+    pushed below the steps and work them all out again.
+    """
+
+    def paired(half: str, k: int) -> Column:
+        n = F.greatest(F.size("words") - (k - 1), F.lit(0))
+        return F.zip_with(F.slice(half, 1, n), F.slice(half, 1 + k // 2, n), lambda a, b: F.xxhash64(a, b))
+
+    steps = rows.withColumn("__one", F.transform("words", lambda w: F.xxhash64(w)))
+    steps = steps.withColumn("__short", paired("__one", K_SHORT)).withColumn("__long", paired("__short", K_LONG))
+    return steps.select(*rows.columns, F.posexplode(F.concat(F.array(F.lit(MARK).cast("long")), "__short", "__long")).alias("at_gram", "h"))
 
 
 def _lowered(text: Column) -> Column:
@@ -92,13 +106,13 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of their k-grams. Null text counts as empty.
     """
     grams = _template_grams(docs.sparkSession, templates)
-    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.regexp_extract_all(_lowered(F.col(text_col)), F.lit(WORD), 0).alias("words"))
+    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.array_remove(F.split(_lowered(F.col(text_col)), BETWEEN), "").alias("words"))
     n = F.size("words")
     shorts = F.greatest(n - (K_SHORT - 1), F.lit(0))  # their number
     i = F.when(F.col("k") == K_SHORT, F.col("at_gram") - 1).when(F.col("k") == K_LONG, F.col("at_gram") - 1 - shorts).otherwise(0)
     in_part = F.when(F.col("at_gram") == 0, 0).when(F.col("at_gram") <= shorts, K_SHORT).otherwise(K_LONG) - F.col("k") == 0  # a condition, so that the hash alone is the key
     votes = (
-        words.select("doc_id", "text_hash", "words", F.posexplode(_grams(F.col("words"))).alias("at_gram", "h"))
+        _exploded_grams(words)
         .join(F.broadcast(grams), "h")
         # equal hashes are not yet equal words
         .filter(in_part & ((F.col("k") == 0) | (F.slice("words", i + 1, F.greatest("k", F.lit(1))) == F.col("gram"))))
