@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.dates import parse_any_date
-from halyard.functions.text import FLAG, absolute_url, is_relevant, is_translation, or_else, strip_html
+from halyard.functions.text import FLAG, absolute_urls, is_relevant, is_translation, or_else, strip_html
 
 # Patterns of feed items and of page blocks, and the limits on items and titles.
 ITEM = r"(?isU)<(?:item|entry)\b.*?</(?:item|entry)>"
@@ -81,21 +81,21 @@ def exploded(docs: DataFrame, items: Column, *keys: str) -> DataFrame:
 
 
 def _resolved(docs: DataFrame, blocks: Column, keys: tuple[str, ...], base: str) -> DataFrame:
-    """Items with absolute URLs, deduplicated within their document: document key, ordinal, title, url, date."""
-    rows = docs.select(*keys, F.col(base).alias("__base"), F.explode(blocks).alias("x"))
-    rows = rows.select(*keys, F.struct("x.ordinal", "x.title", absolute_url(F.col("x.href"), F.col("__base")).alias("url"), "x.date").alias("x"))
-    items = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("items"))
-    return items.select(*keys, F.explode(dedupe_in_order(F.col("items"))).alias("x")).select(*keys, "x.*")
+    """keys and the items of each document, with absolute URLs: array of struct(ordinal, title, url, date). Nothing is shuffled."""
+    rows = docs.select(*keys, F.col(base).alias("__base"), blocks.alias("__blocks"))
+    rows = rows.withColumn("__urls", absolute_urls(F.transform("__blocks", lambda x: x["href"]), F.col("__base")))
+    with_url = F.zip_with("__blocks", "__urls", lambda x, url: F.struct(x["ordinal"].alias("ordinal"), x["title"].alias("title"), url.alias("url"), x["date"].alias("date")))
+    return rows.select(*keys, with_url.alias("items"))
 
 
 def archive_items(docs: DataFrame, keys: tuple[str, ...], html: str = "html", base: str = "url", relevant: str = FLAG) -> DataFrame:
-    """Items of archive pages with their rank: latest date first, undated last, then page order."""
+    """Items of archive pages, one row each, deduplicated within their page, with their rank: latest date first, undated last, then page order."""
     rows = _resolved(docs, archive_blocks(F.col(html), relevant), keys, base)
-    order = F.struct((-F.unix_date("date")).alias("d"), F.col("ordinal"), F.col("title"), F.col("url"), F.col("date"))
-    ranked = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("date").isNull().alias("undated"), order.alias("o")))).alias("items"))
-    return ranked.select(*keys, F.posexplode("items").alias("rank", "x")).select(*keys, "rank", "x.o.title", "x.o.url", "x.o.date")
+    order = lambda x: F.struct(x["date"].isNull().alias("undated"), (-F.unix_date(x["date"])).alias("d"), x["ordinal"].alias("ordinal"), x.alias("x"))
+    ranked = rows.select(*keys, F.posexplode(F.array_sort(F.transform(dedupe_in_order(F.col("items")), order))).alias("rank", "o"))
+    return ranked.select(*keys, "rank", "o.x.title", "o.x.url", "o.x.date")
 
 
 def index_items(docs: DataFrame, keys: tuple[str, ...], html: str = "html", base: str = "url", relevant: str = FLAG) -> DataFrame:
-    """Items of index pages in page order."""
-    return _resolved(docs, index_blocks(F.col(html), relevant), keys, base)
+    """Items of index pages in page order, deduplicated within their page."""
+    return exploded(_resolved(docs, index_blocks(F.col(html), relevant), keys, base), dedupe_in_order(F.col("items")), *keys)

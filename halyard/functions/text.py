@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Entities in the order in which they are decoded, so that `&amp;lt;` becomes `<`.
 ENTITIES = (
@@ -130,6 +130,19 @@ def absolute_url(href: Column, base: Column) -> Column:
     return F.coalesce(plain, _joined(F.when(plain.isNull(), href), base))
 
 
+@pandas_udf(ArrayType(StringType()))
+def _all_joined(hrefs: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([h if h is None or not isinstance(b, str) else [x and urljoin(b, x) for x in h] for h, b in zip(hrefs, base, strict=True)], dtype=object)
+
+
+def absolute_urls(hrefs: Column, base: Column) -> Column:
+    """absolute_url of each of an array's elements; only those that are relative go to Python."""
+    has_base = F.coalesce(base, F.lit("")) != ""
+    relative = lambda h: has_base & ~h.startswith("http") & (h != "")
+    some = _all_joined(F.transform(hrefs, lambda h: F.when(relative(h), h)), base)
+    return F.zip_with(hrefs, some, lambda h, joined: F.when(F.coalesce(h, F.lit("")) == "", base).otherwise(F.coalesce(joined, h)))
+
+
 @pandas_udf(StringType())
 def decode_header(value: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """RFC 2047 header text; null is empty, what cannot be decoded stays."""

@@ -123,6 +123,25 @@ def _modified(o):
     return o.select("o_orderkey", dates.page_last_modified(html, day("2001-08-01")).cast("string").alias("modified"))
 
 
+@query(
+    """WITH d AS (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 5 AS b FROM orders)
+SELECT o_orderkey, CASE WHEN k = 0 AND year(a) >= 2000 THEN strftime(a, '%Y-%m-%d') END AS start_date, CASE WHEN k < 3 AND year(b) >= 2000 THEN strftime(b, '%Y-%m-%d') END AS end_date FROM d"""
+)
+def advertised_window(spark, sf_dir):
+    a, b = (F.date_format(d, "EEEE, MMMM d, yyyy") for d in (F.col("day"), F.date_add("day", 5)))
+    forms = (F.concat(F.lit("<p>From: Sunrise "), a, F.lit("</p><p>Until: Sunset "), b, F.lit("</p>")), F.concat(F.lit("half-staff through "), b), F.concat(F.lit("until 5:00 p.m. on "), b, F.lit(". Thanks")), F.concat(F.lit("half-staff since "), a))
+    out = orders(spark, sf_dir).select("o_orderkey", dates.advertised_window(choose(F.col("o_orderkey"), forms)).alias("w"))
+    return out.select("o_orderkey", F.col("w.start_date").cast("string").alias("start_date"), F.col("w.end_date").cast("string").alias("end_date"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name || ' é' WHEN 1 THEN 'café ' || c_custkey WHEN 2 THEN c_name WHEN 3 THEN '=?x-none?q?' || c_custkey || '?=' ELSE '' END AS subject FROM customer")
+def decoded_headers(spark, sf_dir):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    b = F.concat(F.lit("=?utf-8?B?"), F.base64(F.concat(name, F.lit(" é")).cast("binary")), F.lit("?="))
+    forms = (b, F.concat(F.lit("=?utf-8?q?caf=C3=A9_"), k.cast("string"), F.lit("?=")), name, F.concat(F.lit("=?x-none?q?"), k.cast("string"), F.lit("?=")), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.decode_header(choose(k, forms)).alias("subject"))
+
+
 # --- rules ----------------------------------------------------------------------------------------
 
 _STATUS = (
@@ -237,6 +256,18 @@ def index_headlines(spark, sf_dir):
     return rows.groupBy("page_id", "title", "href").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS ordinal FROM lineitem)
+SELECT l_suppkey, CAST(ordinal AS INTEGER) AS ordinal, 'Line ' || l_orderkey || '-' || l_linenumber AS title FROM r WHERE ordinal < 80 AND l_linenumber <> 5"""
+)
+def first_items_of_long_feeds(spark, sf_dir):
+    said = F.when(F.col("l_linenumber") == 5, "").otherwise(F.concat(F.lit("Line "), F.concat_ws("-", "l_orderkey", "l_linenumber")))
+    entry = F.concat(F.lit("<entry><title>"), said, F.lit("</title></entry>"))
+    feeds = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", entry.alias("entry")))).alias("i"))
+    xml = F.concat(F.lit("<feed>"), F.array_join(F.transform("i", lambda x: x["entry"]), ""), F.lit("</feed>"))
+    return items.exploded(feeds.select("l_suppkey", xml.alias("xml")), items.feed_items(F.col("xml"), F.lit("https://base/")), "l_suppkey").select("l_suppkey", "ordinal", "title")
+
+
 def _folded(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.array_sort(F.collect_list(F.struct("event_id", F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("u"), (F.col("event_id") % 7).cast("string"))).alias("url"), F.concat(F.lit("T"), (F.col("event_id") % 5).cast("string"), F.col("event_type")).alias("title")))).alias("items")
@@ -517,6 +548,21 @@ def every_declaration(spark, sf_dir):
     return _behind_documents(spark, sf_dir, _DECLARED_TEXTS).select("doc_id", r).select("doc_id", "r.value", told)
 
 
+# text, status, evidence: one badge or link for each way to vote
+_TOGGLE_TEXTS = (
+    ('<div class="flag-status"><a href="/flag-status-half.html"><img src="half-staff.png">Flag Status: Half-Staff</a></div>', "half", "flag-status widget (href+image+text all say half)"),
+    ('<div class="flag_status">Flags status - Full Staff</div>', "full", "flag-status widget (text all say full)"), ('<span class="x flag-status y"><img src="Full-Staff.svg"></span>', "full", "flag-status widget (image all say full)"),
+    ('<p class="flag-status"><a href="flagstatus_half">x</a></p>', "half", "flag-status widget (href all say half)"), ('<div class="flag_status"><img src="full-staff.jpg">Flag status: half-staff</div>', "unknown", "flag-status widget disagrees with itself: text=half, image=full"),
+    ('<a href="/flag-status-half">x</a><a href="/flag-status-full">y</a>', "unknown", "both half and full variants present in the source"), ('<a href="/flag-status/now-half">x</a><a href="/flag-status/now-full">y</a>', "unknown", "both half and full pages linked, and no flag-status widget"),
+    ('<a href="/our-flag-status-half.html">x</a>', "half", "only half page linked: /our-flag-status-half.html"), ('<a href="/flag_status_full">x</a>', "full", "only full page linked: /flag_status_full"), ("<p>none</p>", "unknown", "no flag-status link found on this page"),
+)
+
+
+@query(_rule_sql(_TOGGLE_TEXTS))
+def every_toggle_vote(spark, sf_dir):
+    return _behind_documents(spark, sf_dir, _TOGGLE_TEXTS).select("doc_id", rules.toggle_status(F.col("said")).alias("r")).select("doc_id", "r.*")
+
+
 # --- messages -------------------------------------------------------------------------------------
 
 
