@@ -102,25 +102,16 @@ def date_range(spark, sf_dir):
     return out.select("o_orderkey", F.col("r.start_date").cast("string").alias("start_date"), F.col("r.end_date").cast("string").alias("end_date"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN '2001-07-04' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS modified FROM orders WHERE year(o_orderdate) >= 2000")
-def page_last_modified(spark, sf_dir):
-    return _modified(orders(spark, sf_dir).filter("year(day) >= 2000"))
-
-
 # without a year that counts, a date is of 2001, or of 2000 if that would be over a month ahead of 2001-08-01
 @query(
     """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(o_orderdate AS DATE) AS d, try_cast('2001' || strftime(o_orderdate, '-%m-%d') AS DATE) AS a, try_cast('2000' || strftime(o_orderdate, '-%m-%d') AS DATE) AS b FROM orders),
 y AS (SELECT o_orderkey, k, d, CASE WHEN a <= DATE '2001-09-01' THEN a ELSE b END AS c FROM o)
 SELECT o_orderkey, strftime(CASE WHEN k = 3 THEN DATE '2001-07-04' WHEN year(d) >= 2000 THEN d WHEN k = 1 THEN c WHEN k = 2 THEN greatest(c, DATE '2001-07-04') END, '%Y-%m-%d') AS modified FROM y"""
 )
-def page_last_modified_of_all_orders(spark, sf_dir):
-    return _modified(orders(spark, sf_dir))
-
-
-def _modified(o):
+def page_last_modified(spark, sf_dir):
     a = long_date(F.col("day"))
     html = choose(F.col("o_orderkey"), (F.concat(F.lit('<meta name="DCTERMS.modified" content="'), F.col("day").cast("string"), F.lit('T10:00:00Z"><p>x</p>')), F.concat(F.lit("<p>Last updated: "), a, F.lit("</p>")), F.concat(F.lit("<p>Order of Jul. 4, then "), a, F.lit("</p>")), "<p>Order of Jul. 4</p>"))
-    return o.select("o_orderkey", dates.page_last_modified(html, day("2001-08-01")).cast("string").alias("modified"))
+    return orders(spark, sf_dir).select("o_orderkey", dates.page_last_modified(html, day("2001-08-01")).cast("string").alias("modified"))
 
 
 @query(
@@ -307,28 +298,15 @@ def covers_day(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS e FROM orders WHERE o_orderkey % 10 = 0), d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
+    """WITH w AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS e FROM orders), d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
 SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n FROM d JOIN w ON d BETWEEN s AND e GROUP BY d"""
 )
 def covered_days(spark, sf_dir):
     o = orders(spark, sf_dir)
-    return _covered(o, o.filter("o_orderkey % 10 = 0"))
-
-
-def _covered(o, given):
-    w = given.select(F.col("day").alias("s"), F.date_add("day", (F.col("o_orderkey") % 40).cast("int")).alias("e"))
+    w = o.select(F.col("day").alias("s"), F.date_add("day", (F.col("o_orderkey") % 40).cast("int")).alias("e"))
     return coverage.covered_days(w, o.select(F.col("day").alias("d")).distinct(), "s", "e", "d").groupBy("d").agg(F.count("*").alias("n")).select(F.col("d").cast("string").alias("day"), "n")
 
 
-@query(
-    """WITH w AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER) AS e FROM orders), d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
-SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n FROM d JOIN w ON d BETWEEN s AND e GROUP BY d"""
-)
-def covered_days_of_all_orders(spark, sf_dir):
-    o = orders(spark, sf_dir)
-    return _covered(o, o)
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR CAST(o_orderdate AS DATE) >= DATE '2001-07-11'")
 def recent_rows(spark, sf_dir):
     d = F.when(F.col("o_orderkey") % 5 != 0, F.col("day"))
@@ -621,26 +599,14 @@ def parse_messages(spark, sf_dir):
     return messages.parse_messages(_mail(spark, sf_dir), *_dimensions(spark, sf_dir)).select("msg_id", "reason")
 
 
-@query(
-    """WITH m AS (SELECT CAST(c_nationkey AS VARCHAR) AS state_code, c_custkey FROM customer WHERE c_custkey % 4 = 1)
-SELECT state_code, min(c_custkey) AS msg_id, '2026-08-18' AS sent_date FROM m GROUP BY state_code"""
-)
-def latest_orders(spark, sf_dir):
-    return _latest(spark, sf_dir, _mail(spark, sf_dir).filter("msg_id % 4 = 1"))
-
-
 @query(
     _MAIL_SQL
     + """, a AS (SELECT m.c_custkey, CASE WHEN k = 0 AND m.c_custkey % 8 = 4 THEN CAST(dom.h AS VARCHAR) WHEN k = 1 THEN CAST(m.n_nationkey AS VARCHAR) WHEN k = 2 AND sub.n = 1 THEN sub.h END AS code
 FROM m LEFT JOIN dom ON m.c_custkey = dom.c_custkey LEFT JOIN sub ON m.c_custkey = sub.c_custkey)
 SELECT code AS state_code, min(c_custkey) AS msg_id, '2026-08-18' AS sent_date FROM a WHERE code IS NOT NULL GROUP BY code"""
 )
-def latest_orders_of_all_mail(spark, sf_dir):
-    return _latest(spark, sf_dir, _mail(spark, sf_dir))
-
-
-def _latest(spark, sf_dir, mail):
-    return messages.latest_orders(messages.parse_messages(mail, *_dimensions(spark, sf_dir))).select("state_code", "msg_id", F.col("sent_date").cast("string").alias("sent_date"))
+def latest_orders(spark, sf_dir):
+    return messages.latest_orders(messages.parse_messages(_mail(spark, sf_dir), *_dimensions(spark, sf_dir))).select("state_code", "msg_id", F.col("sent_date").cast("string").alias("sent_date"))
 
 
 @query(
@@ -900,22 +866,11 @@ def proclamation_items(spark, sf_dir):
     return named.join(found, "hash").select("page", F.get("items", 0)["title"].alias("title"))
 
 
-@query(
-    """WITH h AS (SELECT event_id, user_id, ts, sha256('Status ' || event_type || ' at ')[1:16] AS f FROM events), l AS (SELECT user_id, f, lag(f) OVER (PARTITION BY user_id ORDER BY event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM h)
-SELECT user_id, f AS fingerprint, p IS NOT NULL AND p <> f AS changed, p IS NULL AS first_seen FROM l WHERE i = CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END"""
-)
-def observed_pages(spark, sf_dir):
-    pages = _status_pages(spark, sf_dir)
-    before = resolve.observed_pages(pages.filter("i = 1 AND user_id % 2 = 0"), None, "user_id").select("user_id", "fingerprint")
-    now = pages.filter("i = CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END")
-    return resolve.observed_pages(now, before, "user_id").select("user_id", "fingerprint", "changed", "first_seen")
-
-
 @query(
     """WITH h AS (SELECT event_id, user_id, sha256('Status ' || event_type || ' at ')[1:16] AS f FROM events), l AS (SELECT user_id, f, lag(f) OVER (PARTITION BY user_id ORDER BY event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM h)
 SELECT user_id, i, f AS fingerprint, p IS NOT NULL AND p <> f AS changed, p IS NULL AS first_seen FROM l"""
 )
-def observed_pages_of_all_events(spark, sf_dir):
+def observed_pages(spark, sf_dir):
     pages = _status_pages(spark, sf_dir)
     key = lambda i: F.struct("user_id", i.alias("i")).alias("key")
     before = resolve.observed_pages(pages.select(key(F.col("i") + 1), "html"), None, "key").select("key", "fingerprint")
