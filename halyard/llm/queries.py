@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halyard.llm import ann, chat, exact_dedup, jaccard_join, langid, licenses, line_dedup, packing, spm, warc
+from halyard.llm import align, ann, chat, exact_dedup, jaccard_join, langid, licenses, line_dedup, manifest, packing, spm, url_filters, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_language_id": langid.op10_language_id,
+    "op11_url_filters": url_filters.op11_url_filters,
+    "op12_cross_tokenizer_alignment": align.op12_cross_tokenizer_alignment,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op5_warc_revisits": warc.ORACLE,
     "op8_license_scan": licenses.oracle(),
     "op9_nearest_neighbours": ann.ORACLE,
+    "op11_url_filters": url_filters.oracle(),
+    "op13_merkle_manifest": manifest.ORACLE,
 }

@@ -11,9 +11,11 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset a folder of the (equally shared) warehouse."""
+    """The folder of this application in spark.checkpoint.dir. Only a session on one machine may leave that unset: a folder of its warehouse then serves."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
