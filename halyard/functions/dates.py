@@ -72,22 +72,37 @@ def newest_date(text: Column) -> Column:
     return bind(text, lambda t: F.array_max(F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), 0), parse_any_date) for p, _ in DATE_PATTERNS[:4]])))
 
 
-def newest_yearless_date(text: Column, as_of: Column) -> Column:
-    """The latest date of all that lack a year: of this year, or of the last one if that is over a month ahead."""
+def yearless_dates(text: Column) -> Column:
+    """array of struct(month, day), as written, of all dates that lack a year."""
+    return F.transform(F.regexp_extract_all(text, F.lit(YEARLESS), 0), lambda m: F.struct(F.regexp_extract(m, YEARLESS, 1).alias("month"), F.regexp_extract(m, YEARLESS, 2).alias("day")))
 
-    def of_year(match: Column, year: Column) -> Column:
-        d = _date(year.cast("string"), F.regexp_extract(match, YEARLESS, 1), F.regexp_extract(match, YEARLESS, 2), True)
-        return bind(d, lambda x: F.when(F.datediff(x, as_of) <= 31, x))
+
+def newest_yearless_date(dates: Column, as_of: Column) -> Column:
+    """The latest of dates without a year: of this year, or of the last one if that is over a month ahead."""
+
+    def of_year(x: Column, year: Column) -> Column:
+        return bind(_date(year.cast("string"), x["month"], x["day"], True), lambda d: F.when(F.datediff(d, as_of) <= 31, d))
 
     year = F.year(as_of)
-    return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(YEARLESS), 0), lambda m: F.coalesce(of_year(m, year), of_year(m, year - 1))))
+    return F.array_max(F.transform(dates, lambda x: F.coalesce(of_year(x, year), of_year(x, year - 1))))
 
 
-def page_last_modified(html: Column, as_of: Column, header: Column | None = None) -> Column:
-    """The best sign of a page's freshness: header, metadata, newest date in its text, newest date without year."""
+def signs_of_freshness(html: Column, header: Column | None = None) -> Column:
+    """struct(modified, yearless), whatever the day: the date of header, metadata or text, and where there is none the dates without year."""
     signs = [parse_any_date(header)] if header is not None else []
     signs += [parse_any_date(F.regexp_extract(html, p, 1)) for p in LAST_MODIFIED]
-    return F.coalesce(*signs, bind(strip_html(html), lambda t: F.coalesce(newest_date(t), newest_yearless_date(t, as_of))))
+    found = bind(strip_html(html), lambda t: bind(F.coalesce(*signs, newest_date(t)), lambda d: F.struct(d.alias("modified"), F.when(d.isNull(), yearless_dates(t)).alias("yearless"))))
+    return found
+
+
+def modified_on(signs: Column, as_of: Column) -> Column:
+    """The date of last modification that these signs tell on a day."""
+    return F.coalesce(signs["modified"], newest_yearless_date(signs["yearless"], as_of))
+
+
+def page_last_modified(html: Column, as_of: Column, header: Column | None = None) -> Column:
+    """The best sign of a page's freshness: header, metadata, newest date in its text, newest date without year."""
+    return bind(signs_of_freshness(html, header), lambda s: modified_on(s, as_of))
 
 
 def mail_date(value: Column) -> Column:

@@ -80,20 +80,29 @@ def exploded(docs: DataFrame, items: Column, *keys: str) -> DataFrame:
     return docs.select(*keys, F.explode(items).alias("item")).select(*keys, "item.*")
 
 
+def with_urls(docs: DataFrame, blocks: str, base: str) -> DataFrame:
+    """docs with the column of blocks as items with absolute URLs: array of struct(ordinal, title, url, date). Nothing is shuffled."""
+    rows = docs.withColumn("__urls", absolute_urls(F.transform(blocks, lambda x: x["href"]), F.col(base)))
+    with_url = F.zip_with(blocks, "__urls", lambda x, url: F.struct(x["ordinal"].alias("ordinal"), x["title"].alias("title"), url.alias("url"), x["date"].alias("date")))
+    return rows.withColumn(blocks, with_url).drop("__urls")
+
+
 def _resolved(docs: DataFrame, blocks: Column, keys: tuple[str, ...], base: str) -> DataFrame:
-    """keys and the items of each document, with absolute URLs: array of struct(ordinal, title, url, date). Nothing is shuffled."""
-    rows = docs.select(*keys, F.col(base).alias("__base"), blocks.alias("__blocks"))
-    rows = rows.withColumn("__urls", absolute_urls(F.transform("__blocks", lambda x: x["href"]), F.col("__base")))
-    with_url = F.zip_with("__blocks", "__urls", lambda x, url: F.struct(x["ordinal"].alias("ordinal"), x["title"].alias("title"), url.alias("url"), x["date"].alias("date")))
-    return rows.select(*keys, with_url.alias("items"))
+    rows = docs.select(*keys, F.col(base).alias("__base"), blocks.alias("items"))
+    return with_urls(rows, "items", "__base").drop("__base")
+
+
+def by_date(items: Column) -> Column:
+    """items in the order of an archive: latest date first, undated last, then as they were."""
+    order = lambda x: F.struct(x["date"].isNull().alias("undated"), (-F.unix_date(x["date"])).alias("d"), x["ordinal"].alias("ordinal"), x.alias("x"))
+    return F.transform(F.array_sort(F.transform(items, order)), lambda o: o["x"])
 
 
 def archive_items(docs: DataFrame, keys: tuple[str, ...], html: str = "html", base: str = "url", relevant: str = FLAG) -> DataFrame:
     """Items of archive pages, one row each, deduplicated within their page, with their rank: latest date first, undated last, then page order."""
     rows = _resolved(docs, archive_blocks(F.col(html), relevant), keys, base)
-    order = lambda x: F.struct(x["date"].isNull().alias("undated"), (-F.unix_date(x["date"])).alias("d"), x["ordinal"].alias("ordinal"), x.alias("x"))
-    ranked = rows.select(*keys, F.posexplode(F.array_sort(F.transform(dedupe_in_order(F.col("items")), order))).alias("rank", "o"))
-    return ranked.select(*keys, "rank", "o.x.title", "o.x.url", "o.x.date")
+    ranked = rows.select(*keys, F.posexplode(by_date(dedupe_in_order(F.col("items")))).alias("rank", "x"))
+    return ranked.select(*keys, "rank", "x.title", "x.url", "x.date")
 
 
 def index_items(docs: DataFrame, keys: tuple[str, ...], html: str = "html", base: str = "url", relevant: str = FLAG) -> DataFrame:

@@ -93,8 +93,12 @@ STATUS_HREF = r"""(?i)href=["']([^"']*flag[-_]?status[^"']*)"""
 
 
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
-    """What the first pattern of the list that matches at all matches first; null if none does."""
-    return F.coalesce(*[F.regexp_substr(text, F.lit("(?iU)" + p)) for p in patterns])
+    """What the first pattern of the list that matches at all matches first; null if none does. None of them may match nothing at all.
+
+    Most texts match none, which one search for all of them tells; else each pattern runs once.
+    """
+    found = F.array(*[F.regexp_extract(text, "(?iU)" + p, 0) for p in patterns])
+    return F.when(text.rlike("(?iU)" + "|".join(patterns)), F.get(F.filter(found, lambda x: x != ""), 0))
 
 
 def quoted(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions.dates import advertised_window, page_last_modified
 from halyard.functions.rules import FULL, GOVERNOR, HALF, UNKNOWN, classify_authority, county_exceptions, current_status, toggle_status
-from halyard.functions.text import or_else, status_fingerprint
+from halyard.functions.text import bind, or_else, status_fingerprint
 from halyard.operators.coverage import covers, freshness, recent
 
 
@@ -24,9 +24,18 @@ def buildable_count(registry: DataFrame) -> DataFrame:
 
 
 def half_and_changed(rows: DataFrame, key: str) -> DataFrame:
-    """One row: the sorted keys at half-staff and the sorted keys that changed; of a dimension, so of bounded size."""
+    """One row: the sorted keys at half-staff and the sorted keys that changed. For no more than MOST_IN_A_ROW keys, which is checked before they are collected."""
     some = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(key))))
-    return rows.agg(some(F.col("effective_status") == HALF).alias("half"), some(F.col("changed")).alias("changed"))
+    return at_most(rows, MOST_IN_A_ROW).agg(some(F.col("effective_status") == HALF).alias("half"), some(F.col("changed")).alias("changed"))
+
+
+MOST_IN_A_ROW = 1_000_000
+
+
+def at_most(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, or an error when they are read if there are more than `most`."""
+    n = rows.agg(F.count("*").alias("__n"))
+    return rows.join(F.broadcast(n), how="left").withColumn("__ok", F.assert_true(F.col("__n") <= most, F.lit(f"more than {most} rows for one row"))).filter("__ok IS NULL").drop("__n", "__ok")
 
 
 def pick_url(row: Column) -> Column:
@@ -44,19 +53,22 @@ def pick_url(row: Column) -> Column:
 def with_alternates(registry: DataFrame, documents: DataFrame, key: str = "state_code") -> DataFrame:
     """Each registry row (key, url, url_candidates) with the first of its URLs that was fetched well.
 
-    documents: url, html, error. The primary comes first, then the candidates but the primary; html and
-    used_url are null, and error is the primary's, where none succeeds.
+    documents: url, html, error, one row a URL. The primary comes first, then the candidates but the
+    primary; html and used_url are null, and error is the primary's, where none succeeds. The URL is
+    chosen without any html; only the chosen ones are joined to theirs.
     """
     urls = F.concat(F.array("url"), F.filter(F.coalesce("url_candidates", F.array().cast("array<string>")), lambda u: u != F.coalesce(F.col("url"), F.lit(""))))
     tries = registry.select(key, F.posexplode(urls).alias("pos", "try")).filter("try IS NOT NULL")
-    got = tries.join(documents.select(F.col("url").alias("try"), "html", "error"), "try", "left")
-    good = F.col("error").isNull() & F.col("html").isNotNull()
+    outcome = documents.select(F.col("url").alias("try"), (F.col("error").isNull() & F.col("html").isNotNull()).alias("good"), "error")
+    got = tries.join(outcome, "try", "left")
+    good = F.coalesce("good", F.lit(False))
     best = got.groupBy(key).agg(
-        F.min_by(F.when(good, F.struct("try", "html")), F.when(good, F.col("pos"))).alias("hit"),
+        F.min_by(F.when(good, F.col("try")), F.when(good, F.col("pos"))).alias("used_url"),
         F.min_by(F.coalesce("error", F.lit("not fetched")), F.when(F.col("pos") == 0, 0)).alias("primary_error"),
     )
-    out = registry.join(best, key, "left")
-    return out.withColumns({"used_url": F.col("hit.try"), "html": F.col("hit.html"), "error": F.when(F.col("hit").isNull(), F.when(F.col("url").isNull(), "no url").otherwise(F.col("primary_error")))}).drop("hit", "primary_error")
+    out = registry.join(best, key, "left").join(documents.select(F.col("url").alias("used_url"), "html"), "used_url", "left")
+    error = F.when(F.col("used_url").isNull(), F.when(F.col("url").isNull(), "no url").otherwise(F.col("primary_error")))
+    return out.withColumn("error", error).drop("primary_error")
 
 
 def fold_candidates(items: DataFrame, key: str, as_of: Column, signature_required: Column | None = None, shown: Sequence[str] = ()) -> DataFrame:
@@ -78,7 +90,7 @@ def fold_candidates(items: DataFrame, key: str, as_of: Column, signature_require
     order = F.struct("title", "start_date", "end_date", "authority", F.col("covers.why").alias("why"), F.coalesce(F.col("covers.verdict"), F.lit(False)).alias("live"), "ordinal", *shown)
     out = rows.groupBy(key).agg(
         F.min_by(F.when(F.col("usable"), order), F.when(F.col("usable"), taken)).alias("order"),
-        F.array_sort(F.collect_list(F.when(F.col("limited"), F.struct("ordinal", "title")))).alias("limited"),
+        F.array_sort(F.collect_list(F.when(F.col("limited"), F.struct("ordinal", "title", *[c for c in ("url", "scope_evidence") if c in items.columns])))).alias("limited"),
     )
     live = F.coalesce(F.col("order.live"), F.lit(False))
     before = F.filter("limited", lambda x: ~live | (x["ordinal"] < F.col("order.ordinal")))
@@ -87,19 +99,36 @@ def fold_candidates(items: DataFrame, key: str, as_of: Column, signature_require
     )
 
 
-def status_pages(pages: DataFrame, as_of: Column, signature_required: str = "signature_check_required") -> DataFrame:
-    """Status of current-status pages (html, ...): value, evidence, freshness and counties beside each page.
+def verdict_of_page(declared: Column, span: Column, modified: Column, authority: Column, signature_required: Column, as_of: Column) -> Column:
+    """struct: status, coverage, error, ended, why, age_days, freshness_unknown of a current-status page on a day, from what it says.
 
     A page that has not changed for too long is unknown and stale; half-staff whose advertised window
-    is over is full; half-staff without the governor's authority, where that is asked for, is unknown.
+    does not cover the day is full; half-staff without the governor's authority, where that is asked for, is unknown.
     """
+    facts = F.struct(freshness(modified, as_of).alias("fresh"), covers(span["start_date"], span["end_date"], as_of).alias("covers"))
+
+    def of(v: Column) -> Column:
+        frozen, half = v["fresh"]["frozen"], declared == HALF
+        ended = half & F.coalesce(v["covers"]["verdict"] == F.lit(False), F.lit(False))
+        unsigned = half & ~ended & F.coalesce(signature_required, F.lit(False)) & ~F.coalesce(authority == GOVERNOR, F.lit(False))
+        age = v["fresh"]["age_days"].cast("string")
+        told = F.when(frozen, F.concat(F.lit("source appears frozen: newest date on page is "), modified.cast("string"), F.lit(" ("), age, F.lit("d old) - not trusted")))
+        told = told.when(unsigned, F.concat(F.lit("authority unproven ("), F.coalesce(authority, F.lit(UNKNOWN)), F.lit("); not claimed as state order")))
+        return F.struct(
+            F.when(frozen, UNKNOWN).when(ended, FULL).when(unsigned, UNKNOWN).otherwise(declared).alias("status"), F.when(frozen, "stale").otherwise("covered").alias("coverage"), told.alias("error"),
+            (~frozen & ended).alias("ended"), v["covers"]["why"].alias("why"), v["fresh"]["age_days"].alias("age_days"), v["fresh"]["freshness_unknown"].alias("freshness_unknown"), frozen.alias("frozen"),
+        )
+
+    return bind(facts, of)
+
+
+def status_pages(pages: DataFrame, as_of: Column, signature_required: str = "signature_check_required") -> DataFrame:
+    """Status of current-status pages (html, ...): value, evidence, freshness and counties beside each page."""
     html = F.col("html")
-    out = pages.withColumn("declared", current_status(html)).withColumn("fresh", freshness(page_last_modified(html, as_of), as_of)).withColumn("window", advertised_window(html))
-    ended = F.col("window.end_date").isNotNull() & (covers(F.col("window.start_date"), F.col("window.end_date"), as_of)["verdict"] == F.lit(False))
-    half = F.col("declared.value") == HALF
-    unsigned = F.coalesce(F.col(signature_required), F.lit(False)) & (classify_authority(html)["value"] != GOVERNOR)
-    value = F.when(F.col("fresh.frozen"), UNKNOWN).when(half & ended, FULL).when(half & unsigned, UNKNOWN).otherwise(F.col("declared.value"))
-    return out.withColumns({"status": value, "evidence": F.col("declared.evidence"), "coverage": F.when(F.col("fresh.frozen"), "stale").otherwise("covered"), "county_exceptions": county_exceptions(html)}).drop("declared")
+    out = pages.withColumns({"declared": current_status(html), "window": advertised_window(html), "modified": page_last_modified(html, as_of), "by": classify_authority(html)["value"]})
+    verdict = verdict_of_page(F.col("declared.value"), F.col("window"), F.col("modified"), F.col("by"), F.col(signature_required), as_of)
+    out = out.withColumn("verdict", verdict)
+    return out.withColumns({"status": F.col("verdict.status"), "coverage": F.col("verdict.coverage"), "error": F.col("verdict.error"), "evidence": F.col("declared.evidence"), "county_exceptions": county_exceptions(html)}).drop("declared", "by", "verdict")
 
 
 def observed_pages(pages: DataFrame, previous: DataFrame | None, key: str, hint: str | None = None) -> DataFrame:
@@ -120,6 +149,12 @@ def toggle_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("t", toggle_status(F.col("html"))).withColumns({"status": F.col("t.value"), "evidence": F.col("t.evidence"), "coverage": F.lit("covered")}).drop("t")
 
 
+# What is said of a channel that has never delivered, and of a key without a source.
+NEVER_HEARD = "subscription pending - no bulletin received from this channel yet"
+NO_SOURCE = "no verified source for this jurisdiction"
+NO_ITEMS = "source readable but no items parsed"
+
+
 def email_status(registry: DataFrame, orders: DataFrame, seen: DataFrame, as_of: Column, key: str = "state_code") -> DataFrame:
     """Status of keys that are told by e-mail: orders (key, start_date, end_date), seen (key, seen_on).
 
@@ -132,7 +167,7 @@ def email_status(registry: DataFrame, orders: DataFrame, seen: DataFrame, as_of:
         key,
         F.when(has & live, HALF).when(has | heard, FULL).otherwise(UNKNOWN).alias("status"),
         F.when(has | heard, "covered").otherwise("not_covered").alias("coverage"),
-        F.when(~has & ~heard, "email channel never heard").alias("error"),
+        F.when(~has & ~heard, NEVER_HEARD).alias("error"),
         F.when(~has, F.col("seen_on")).alias("channel_last_heard"),
     )
 
@@ -169,10 +204,10 @@ def coverage_counts(rows: DataFrame) -> DataFrame:
 CAUSES = (
     ("(?i)robots", "blocked by robots.txt"),
     ("HTTP [45]", "HTTP error"),
-    ("(?i)timeout|timed out", "timeout"),
-    ("(?i)frozen", "frozen page"),
-    ("(?i)no verified source", "no verified source"),
-    ("(?i)no items", "no items parsed"),
+    ("(?i)timeout", "timeout"),
+    ("(?i)frozen", "frozen source"),
+    ("(?i)no verified source", "no source"),
+    ("(?i)no items parsed", "parsed nothing"),
 )
 
 

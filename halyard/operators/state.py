@@ -52,6 +52,7 @@ def to_parse(documents: DataFrame, state: DataFrame, version: int) -> DataFrame:
     return documents.join(known, ["key", "hash"], "left_anti")
 
 
-def changed_feed(observations: DataFrame, key: str, at: str, content: str) -> DataFrame:
-    """The append-only log: key, at, value of the rows that changed."""
-    return observations.filter("changed").select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(content).alias("value"))
+def changed_feed(observations: DataFrame, key: str, at: str, content: str, reason: str | None = None) -> DataFrame:
+    """The append-only log: key, at, value (and reason) of the rows that changed."""
+    more = [F.col(reason).alias("reason")] if reason else []
+    return observations.filter("changed").select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(content).alias("value"), *more)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import dates, items, rules, text
-from halyard.operators import attribution, coverage, messages, patch, resolve, state
+from halyard.operators import attribution, coverage, messages, parse, patch, resolve, state
 from halyard.plans.generated import case_sql, choose, long_date, orders
 from halyard.sources.tables import documents as landed_documents
 from halyard.sources.tables import notices
@@ -462,7 +462,7 @@ def coverage_counts(spark, sf_dir):
     return resolve.coverage_counts(resolve.publishable(table(spark, sf_dir, "events").select(choose(k, _COVERAGE).alias("coverage"), choose(k, _ERRORS).alias("error"))))
 
 
-@query("SELECT " + case_sql("event_id", (None, "blocked by robots.txt", "HTTP error", "timeout", "frozen page", "something else that is rather longer tha", None)) + " AS cause, count(*) AS n FROM events WHERE event_id % 7 BETWEEN 1 AND 5 GROUP BY 1")
+@query("SELECT " + case_sql("event_id", (None, "blocked by robots.txt", "HTTP error", "timeout", "frozen source", "something else that is rather longer tha", None)) + " AS cause, count(*) AS n FROM events WHERE event_id % 7 BETWEEN 1 AND 5 GROUP BY 1")
 def error_causes(spark, sf_dir):
     return resolve.error_causes(table(spark, sf_dir, "events").select(choose(F.col("event_id"), _ERRORS).alias("error")))
 
@@ -686,7 +686,7 @@ SELECT CAST(k AS VARCHAR) AS state_code,
   CASE m WHEN 0 THEN CASE WHEN v IN (0, 1) THEN 'half' WHEN v = 2 THEN 'full' ELSE 'unknown' END WHEN 6 THEN 'unknown'
     ELSE CASE WHEN v = 4 THEN CASE WHEN k % 2 = 0 THEN 'half' ELSE 'unknown' END WHEN v < 2 THEN 'half' ELSE 'full' END END AS status,
   CASE m WHEN 0 THEN CASE WHEN v < 3 THEN 'covered' ELSE 'not_covered' END WHEN 6 THEN 'not_covered' ELSE CASE WHEN v = 4 THEN CASE WHEN k % 2 = 0 THEN 'stale' ELSE 'not_covered' END ELSE 'covered' END END AS coverage,
-  CASE m WHEN 0 THEN CASE WHEN v >= 3 THEN 'email channel never heard' END WHEN 6 THEN 'no verified source' ELSE CASE WHEN v = 4 THEN 'HTTP 404' END END AS error FROM c"""
+  CASE m WHEN 0 THEN CASE WHEN v >= 3 THEN 'subscription pending - no bulletin received from this channel yet' END WHEN 6 THEN 'no verified source for this jurisdiction' ELSE CASE WHEN v = 4 THEN 'HTTP 404' END END AS error FROM c"""
 )
 def status_run(spark, sf_dir):
     """A registry of all customers over seven ways to be told, resolved in one plan for 2026-08-22."""
@@ -807,6 +807,117 @@ def whole_run(spark, sf_dir):
     return r.select("state_code", "state", "confidence", "ingest_mode", "effective_status", "reason", "scope", "changed", F.date_format("last_changed_at", "yyyy-MM-dd").alias("last_changed"))
 
 
+def _page_run(spark, sf_dir):
+    """Registry and documents of pages that state a status: badges, current-status pages, keys without a source; of twelve kinds.
+
+    Kind: 0 badge at half; 1 badge with both variants; 2 declared half, updated two days ago, with a clock; 3 half whose window is over; 4 not
+    updated for too long; 5 half without, 6 with the governor's authority, where that is asked for; 7 full, without any date; 8 buildable is null,
+    9 false; 10 the first URL fails, the second has a badge at full; 11 full but for one county.
+    """
+    k = F.col("c_custkey")
+    kind, key, none = k % 12, F.concat(F.lit("p"), k.cast("string")), F.lit(None).cast("string")
+    cust, url = table(spark, sf_dir, "customer"), F.concat(F.lit("http://p/"), k.cast("string"))
+    registry = cust.select(
+        key.alias("state_code"), key.alias("state"), F.lit("high").alias("confidence"), F.when(kind.isin(0, 1, 10), "toggle").otherwise("diff").alias("ingest_mode"), F.when(kind != 8, kind != 9).alias("buildable"), none.alias("press_url"),
+        url.alias("flag_page_url"), none.alias("rss_url"), url.alias("toggle_hub_url"), F.when(kind == 9, "closed").alias("blocked_reason"), F.when(kind == 10, F.array(url, F.concat(url, F.lit("/2")))).alias("url_candidates"),
+        kind.isin(5, 6).alias("signature_check_required"), F.lit(False).alias("dedupe_translations"), F.lit(None).cast("struct<type:string,detail:string,account:string>").alias("notification_channel"),
+    )
+    badge = lambda word: f'<div class="flag-status"><a href="/flag-status-{word}.html">x</a></div>'
+    updated = " Updated on August 20, 2026"
+    page = choose(
+        kind,
+        (
+            badge("half"), badge("half") + badge("full"), "<p>Flag status: half-staff as of 10:01 AM." + updated + "</p>", "<p>Flag status: half-staff From: July 12, 2026 Until: July 18, 2026</p>", "<p>Flag status: half-staff. Updated on January 2, 2025</p>",
+            "<p>Flag status: half-staff." + updated + "</p>", "<p>Flag status: half-staff. Governor Lee has ordered it." + updated + "</p>", "<p>Flag status: full-staff</p>", "x", "x", badge("full"),
+            "<p>Flag status: full-staff. Summit County only by order: half-staff." + updated + "</p>",
+        ),
+    )
+    docs = cust.select(F.when(kind == 10, F.concat(url, F.lit("/2"))).otherwise(url).alias("url"), F.lit(200).alias("status"), page.alias("body"), none.alias("error"))
+    docs = docs.union(cust.filter(kind == 10).select(url, F.lit(404), none, none))
+    return registry, landed_documents(docs)
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 12 AS kind, 'http://p/' || c_custkey AS url FROM customer)
+SELECT 'p' || k AS state_code, CASE WHEN kind IN (0, 2, 6) THEN 'half' WHEN kind IN (3, 7, 10, 11) THEN 'full' ELSE 'unknown' END AS status, CASE kind WHEN 4 THEN 'stale' WHEN 8 THEN 'not_covered' WHEN 9 THEN 'not_covered' ELSE 'covered' END AS coverage,
+  CASE kind WHEN 1 THEN 'both half and full variants present in the source' WHEN 4 THEN 'source appears frozen: newest date on page is 2025-01-02 (597d old) - not trusted' WHEN 5 THEN 'authority unproven (unknown); not claimed as state order'
+    WHEN 8 THEN 'no verified source for this jurisdiction' WHEN 9 THEN 'no verified source for this jurisdiction' END AS error,
+  CASE WHEN kind IN (0, 2, 3, 6, 7, 11) THEN url WHEN kind = 10 THEN url || '/2' END AS order_url, CASE WHEN kind IN (0, 2, 6) THEN 'half' WHEN kind IN (3, 7, 10, 11) THEN 'full' END AS order_status,
+  CASE WHEN kind IN (0, 2, 3, 6, 7, 10, 11) THEN 'governor' END AS authority,
+  CASE WHEN kind = 0 THEN 'flag-status widget (href all say half)' WHEN kind = 10 THEN 'flag-status widget (href all say full)' WHEN kind = 6 THEN 'Governor Lee has ordered' WHEN kind IN (2, 3) THEN 'declaration: ''Flag status: half-staff''' WHEN kind IN (7, 11) THEN 'declaration: ''Flag status: full-staff''' END AS evidence,
+  CASE WHEN kind = 3 THEN 'window 2026-07-12..2026-07-18' END AS expired_why, CASE WHEN kind = 10 THEN url || '/2' WHEN kind NOT IN (8, 9) THEN url END AS source_url, CASE WHEN kind = 10 THEN true END AS used_alternate_url,
+  CASE WHEN kind IN (2, 5, 6, 11) THEN 2 WHEN kind = 3 THEN 35 WHEN kind = 4 THEN 597 END AS age, CASE WHEN kind = 7 THEN true END AS freshness_unknown, CASE WHEN kind IN (2, 5, 6, 11) THEN '2026-08-20' WHEN kind = 3 THEN '2026-07-18' WHEN kind = 4 THEN '2025-01-02' END AS modified,
+  CASE WHEN kind = 11 THEN 'Summit=half' END AS counties FROM c"""
+)
+def status_run_of_pages(spark, sf_dir):
+    """Records of pages that state a status, with their orders, errors, ended windows and freshness."""
+    from halyard.plans.status_run import resolve_states
+
+    registry, docs = _page_run(spark, sf_dir)
+    none = spark.sql("SELECT '' AS state_code, '' AS status, '' AS title, DATE '2026-01-01' AS start_date, DATE '2026-01-01' AS end_date, true AS until_noon, '' AS seen_on, '' AS url, '' AS html").limit(0)
+    out = resolve_states(registry, docs, none.select("url", "html"), none.select("state_code", "title", "start_date", "end_date", "until_noon"), none.select("state_code", "seen_on"), none.select("state_code", "status"), day("2026-08-22"))
+    return out.select(
+        "state_code", "status", "coverage", "error", F.col("order.url").alias("order_url"), F.col("order.status").alias("order_status"), F.col("order.authority").alias("authority"), F.col("order.evidence").alias("evidence"), F.col("last_expired_order.why").alias("expired_why"),
+        "source_url", "used_alternate_url", F.col("source_age_days").alias("age"), "freshness_unknown", F.col("source_last_modified").cast("string").alias("modified"),
+        F.nullif(F.array_join(F.transform("county_exceptions", lambda x: F.concat(x["county"], F.lit("="), x["status"])), ","), F.lit("")).alias("counties"),
+    )
+
+
+def _second_run(spark, sf_dir):
+    """The store after two runs, two days apart, over the sources of _web_run: in the second every fifth page says more, and every seventh cannot be read."""
+    import uuid
+    from datetime import date, datetime
+
+    from halyard.plans.state_loop import Sources, advance
+    from halyard.sources.scratch import shared_dir
+    from halyard.sources.versions import Store
+
+    store = Store(spark, f"{shared_dir(spark)}/loop-{uuid.uuid4().hex}")
+    registry, docs, articles, mailed, seen, _ = _web_run(spark, sf_dir)
+    k = F.regexp_extract("url", "[0-9]+$", 0).cast("long")
+    broken = k % 7 == 3
+    later = docs.select("url", F.when(~broken, F.when(k % 5 == 1, F.concat("html", F.lit("<p>more</p>"))).otherwise(F.col("html"))).alias("html"), F.when(broken, "HTTP 500").otherwise(F.col("error")).alias("error"))
+    advance(store, Sources(registry, docs, articles, mailed, seen, _calendar(spark)), "2026-08-22T12:00", date(2026, 8, 22), datetime(2026, 8, 22, 12))
+    advance(store, Sources(registry, later, articles, mailed, seen, _calendar(spark)), "2026-08-24T12:00", date(2026, 8, 24), datetime(2026, 8, 24, 12))
+    return store
+
+
+# first and second: the status in each run; failed and changed: in the second
+_LOOP_SQL = (
+    _WEB_RUN_SQL.rstrip()
+    + """,
+s AS (SELECT k, kind, mode, CASE WHEN kind = 7 THEN 'unknown' ELSE status END AS first, kind = 7 OR kind <> 8 AND k % 7 = 3 AS failed, kind NOT IN (7, 8) AND k % 7 <> 3 AND k % 5 = 1 AS changed FROM r),
+t AS (SELECT *, CASE WHEN failed THEN first WHEN kind IN (0, 1, 8) THEN 'full' ELSE first END AS second FROM s)
+"""
+)
+
+
+@query(
+    _LOOP_SQL
+    + """SELECT CAST(k AS VARCHAR) AS state_code, second AS status, CASE WHEN kind = 7 THEN 'not_covered' WHEN failed THEN 'stale' ELSE 'covered' END AS coverage, changed,
+  CASE WHEN kind = 7 OR kind = 8 AND k % 2 <> 0 THEN NULL WHEN changed THEN '2026-08-24' ELSE '2026-08-22' END AS last_changed, (SELECT count(*) FROM t WHERE changed) AS n_parsed FROM t"""
+)
+def state_loop(spark, sf_dir):
+    """Two runs through a folder: verdicts of the second day, what changed between them, and how many pages the second had to parse."""
+    from halyard.plans.state_loop import parsed_count
+
+    last = _second_run(spark, sf_dir).latest()
+    return last.table("records").select("state_code", "status", "coverage", "changed", F.date_format("last_changed_at", "yyyy-MM-dd").alias("last_changed"), F.lit(parsed_count(last)).alias("n_parsed"))
+
+
+@query(_LOOP_SQL + """SELECT CAST(k AS VARCHAR) AS key, '2026-08-24 12:00:00' AS at, second AS value, CAST(NULL AS VARCHAR) AS reason, 2 AS version FROM t WHERE changed""")
+def change_log(spark, sf_dir):
+    """The log after two runs, of which the second was repeated: only what changed, once."""
+    from datetime import date, datetime
+
+    from halyard.plans.state_loop import LOG, Sources, advance
+
+    store = _second_run(spark, sf_dir)
+    registry, docs, articles, mailed, seen, _ = _web_run(spark, sf_dir)
+    advance(store, Sources(registry, docs, articles, mailed, seen, _calendar(spark)), "2026-08-24T12:00", date(2026, 8, 24), datetime(2026, 8, 24, 12))
+    return store.log(LOG).select("key", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "value", "reason", "version")
+
+
 _CHANGED_SQL = "k % 2 = 0 AND kind <> 7 AND (k % 4 <> 0 OR kind = 8)"
 
 
@@ -852,18 +963,19 @@ def order_hash(spark, sf_dir):
 )
 def proclamation_items(spark, sf_dir):
     """Index pages, feeds where a page has no index items, and pages whose items an earlier run has parsed."""
-    from halyard.plans.status_run import proclamation_items as read
-
     u = F.col("u")
     pages = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("u")).distinct()
     index = F.concat(F.lit('<h2><a href="/o">President orders flags lowered to half-staff '), u.cast("string"), F.lit("</a></h2>"))
     feed = F.concat(F.lit("<item><title>Other news</title></item><item><title>Feed: flags lowered to half-staff "), u.cast("string"), F.lit("</title><link>http://x/</link></item>"))
-    pages = pages.select("u", F.lit("http://h/").alias("url"), F.when(u % 2 == 0, index).otherwise(feed).alias("html"))
-    known = F.array(F.struct(F.lit(0).alias("ordinal"), F.lit("remembered order").alias("title"), F.lit(None).cast("date").alias("date")))
-    memo = pages.filter(u % 4 == 3).select(text.content_hash(F.col("html")).alias("hash"), known.alias("items"))
-    found = read(pages, memo)
-    named = pages.select(text.content_hash(F.col("html")).alias("hash"), F.concat(F.lit("page "), u.cast("string")).alias("page"))
-    return named.join(found, "hash").select("page", F.get("items", 0)["title"].alias("title"))
+    pages = pages.select("u", F.lit(parse.PROCLAMATION).alias("kind"), F.lit("http://h/").alias("url"), F.lit(False).alias("dedupe"), F.when(u % 2 == 0, index).otherwise(feed).alias("html"))
+    pages = pages.withColumn("key", parse.parse_key(F.col("kind"), F.col("url"), F.col("dedupe"), F.col("html")))
+    remembered = F.array(F.named_struct(F.lit("title"), F.lit("remembered order")))
+    cache = pages.filter(u % 4 == 3).select("key", F.lit(parse.VERSION).alias("version"), remembered.alias("items"))
+    cache = cache.union(pages.filter(u % 4 == 2).select("key", F.lit(parse.VERSION - 1).alias("version"), remembered.alias("items")))  # of an older parser, so of no use
+    known, lacking = parse.known_and_new(pages, cache)
+    title = F.get("items", 0)["title"].alias("title")
+    found = known.select("key", title).union(parse.parsed(lacking, "key").select("key", title))
+    return pages.join(found, "key").select(F.concat(F.lit("page "), u.cast("string")).alias("page"), "title")
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,21 +87,22 @@ def documents(landed: DataFrame, policy: DataFrame | None = None) -> DataFrame:
     return rows.select("url", F.when(error.isNull(), F.left("body", F.lit(BODY_CHARS))).alias("html"), error.alias("error"))
 
 
-def overwrite_snapshot(df: DataFrame, path: str) -> str:
-    """Write a new version below path and return its place: what was read from the last one stays readable meanwhile."""
-    place = f"{path.rstrip('/')}/version={uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return place
+MOST_IN_DOCUMENT = 100_000
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def status_document(states: DataFrame, counts: DataFrame, date: str, federal: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
+    """One JSON document: generated_at, date, federal (if any), all states by code, and the counts.
 
+    For no more than MOST_IN_DOCUMENT states, which is checked before they are collected.
+    """
+    from halyard.operators.resolve import at_most
 
-def status_document(states: DataFrame, counts: DataFrame, date: str) -> DataFrame:
-    """One JSON document of all states by code and the counts; for a dimension of bounded size."""
     rows = F.map_from_entries(F.array_sort(F.collect_list(F.struct("state_code", F.struct(*[c for c in states.columns if c != "state_code"])))))
-    return states.agg(rows.alias("states")).crossJoin(counts.select(F.struct(*counts.columns).alias("meta"))).select(F.to_json(F.struct(F.lit(date).alias("date"), "states", "meta")).alias("document"))
+    out = at_most(states, MOST_IN_DOCUMENT).agg(rows.alias("states")).join(counts.select(F.struct(*counts.columns).alias("meta")), how="left")
+    fed = F.lit(None)
+    if federal is not None:
+        out, fed = out.join(federal.select(F.struct(*federal.columns).alias("federal")), F.lit(True), "left"), F.col("federal")
+    return out.select(F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), F.lit(date).alias("date"), fed.alias("federal"), "states", "meta")).alias("document"))
 
 
 def notices(changed: DataFrame) -> DataFrame:
