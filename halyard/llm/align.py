@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm.scratch import written
-from halyard.llm.spm import Codec, Model
+from halyard.llm.spm import MARK, Codec, Model
 from halyard.llm.tokens import UnitEncoder, byte_letters
 from halyard.llm.words import chunks
 from halyard.llm.workers import kept, tidy
 
 RADIX = 64
 FAN = 64  # runs merged at once, about
-CHUNK_CHARS = 1 << 20  # texts of one run of records, more only where one text is longer
+CHUNK_CHARS = 1 << 21  # texts of one run of records, more only where one text is longer
 SLICE_LINKS = 1 << 21  # links expanded at once; more are cut by A id into several runs (an id's own links of a chunk are not cut)
+JOINED = 256  # new words encoded in one call
 WIDE = 64  # links of a group from which its tokens are made distinct first
 HASHED = 1 << 20  # tokens written out at once for hashing
 
@@ -75,18 +77,62 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
 
 
+class _Pieces(Codec):
+    """The codec without its checks; new words are encoded many at a time where no piece crosses the front of a word."""
+
+    def __init__(self, path: str, cached: int):
+        super().__init__(path, verify=False, cached=cached)
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+
+    def _ids(self, marked: list[str], given: list[str]) -> tuple[list[bytes], np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found], np.zeros(len(found), np.uint8)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        joined = [MARK + MARK.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(found), "<u4", sum(map(len, found)))
+        return ids, np.diff(np.flatnonzero(self.opens[ids]), append=len(ids)), np.zeros(len(words), np.uint8)
+
+
+class _Spelled:
+    """The bytes that ids stand for."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def give(self, ids: list[np.ndarray], wanted: list[bytes]) -> np.ndarray:
+        """For each text whether its ids stand for just these bytes."""
+        good = np.array([int(self.size[x].sum()) == len(w) for x, w in zip(ids, wanted, strict=True)], bool)
+        at = np.flatnonzero(good).tolist()
+        if not at:
+            return good
+        flat = np.concatenate([ids[i] for i in at])
+        size = self.size[flat]
+        ends = np.cumsum(size)
+        own = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.begin[flat] - (ends - size).astype(np.int32), size)
+        same = self.bytes[own] == np.frombuffer(b"".join(wanted[i] for i in at), np.uint8)
+        good[at] = np.logical_and.reduceat(same, np.cumsum([0, *(len(wanted[i]) for i in at[:-1])]))
+        return good
+
+
 class Aligner:
     """Both encoders, and what the bytes and the written forms of their ids are."""
 
-    def __init__(self, a_path: str, b_path: str, cached: int = 200_000):
-        self.a, self.b = UnitEncoder(a_path, special_as_text=True, cached=cached), Codec(b_path, verify=False, cached=cached)
+    def __init__(self, a_path: str, b_path: str, cached: int = 500_000):
+        self.a, self.b = UnitEncoder(a_path, special_as_text=True, cached=cached), _Pieces(b_path, cached)
+        if not self.b.model.splits_at_words:
+            raise ValueError("pieces cross the fronts of words")
         byte_of = {chr(c): b for b, c in byte_letters().items()}
         vocab = self.a.tokenizer.get_vocab()
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
             self.a_bytes[i] = bytes(byte_of[c] for c in t if c in byte_of)
         self.b_bytes = self.b.bytes
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_spelled, self.b_spelled = _Spelled(self.a_bytes), _Spelled(self.b_bytes)
+        self.a_size, self.b_size = self.a_spelled.size, self.b_spelled.size
         n = max(len(self.a_bytes), len(self.b_bytes))
         width = len(str(n)) + 1
         self.written = np.zeros((3 * n, width), np.uint8)  # each id with a comma, a bar or a semicolon behind it
@@ -101,12 +147,9 @@ class Aligner:
         """Ids of A and of B for each text; none unless both stand for the bytes of a blank and the text."""
         a = [np.frombuffer(x, "<u4") for x in self.a.encode([" " + t for t in texts])]
         b = [np.frombuffer(x, "<u4") for x in self.b.encode(texts)[0]]
-        none = np.empty(0, np.uint32)
-        for i, t in enumerate(texts):
-            want = b" " + t.encode()
-            good = t and all(b"".join(map(of.__getitem__, x[i].tolist())) == want for x, of in ((b, self.b_bytes), (a, self.a_bytes)))
-            if not good:
-                a[i] = b[i] = none
+        wanted, none = [b" " + t.encode() for t in texts], np.empty(0, np.uint32)
+        for i in np.flatnonzero(~(self.a_spelled.give(a, wanted) & self.b_spelled.give(b, wanted))).tolist() + [i for i, t in enumerate(texts) if not t]:
+            a[i] = b[i] = none
         return a, b
 
     def groups(self, texts: list[str]) -> Groups:
