@@ -121,19 +121,23 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
 
     for b in batches:
-        for c, formatted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for c, formatted, start, length in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             if state is None or c != conv:
                 if state is not None:
                     close()
                 conv, state = c, new()
+            if start is not None:
+                at = start - state["all"]  # the mask counts from the front of the conversation
+                if not 0 <= at <= at + length <= len(formatted):
+                    raise ValueError("a loss mask lies outside its turn")
+                text = unescaped(formatted[at : at + length])
+                state["chars"] += len(text)
+                state["loss"].update(text.encode("utf-8", "surrogatepass"))
             state["all"] += len(formatted)
             turns, state["rest"] = read_back(state["rest"] + formatted)
             for role, text in turns:
                 state["n"] += 1
                 state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if role == "assistant":
-                    state["chars"] += len(text)
-                    state["loss"].update(text.encode("utf-8", "surrogatepass"))
         if len(rows) > 10_000:
             yield batch()
             rows = []
@@ -143,9 +147,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """One row per conversation of format_messages(): counts and hashes of what its formatted text reads back to."""
-    rows = formatted.select(F.col("conv_id").cast("long").alias("conv_id"), "formatted", "msg")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "msg").select("conv_id", "formatted").mapInArrow(_digest, DIGEST_SCHEMA)
+    """One row per conversation of format_messages(): counts and hashes of what its formatted text reads back to, and of what stands under its loss mask."""
+    rows = formatted.select(F.col("conv_id").cast("long").alias("conv_id"), "formatted", "loss_start", "loss_length", "msg")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "msg").select("conv_id", "formatted", "loss_start", "loss_length").mapInArrow(_digest, DIGEST_SCHEMA)
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:

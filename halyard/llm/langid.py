@@ -12,7 +12,8 @@ by state and symbol.
 
 Whole texts are parsed. So that numpy can follow thousands of places through the automata at once, texts
 are cut into blocks; each begins in the state that its predecessor ends in, and blocks are parsed again
-until that holds for all, so the phrases are those of one parse from front to end.
+until that holds for all, so the phrases are those of one parse from front to end. Blocks and languages are
+taken in slices: memory does not grow with the length of a text or the number of languages, but for the automata.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from halyard.llm.workers import tidy
 UNDETERMINED = "und"
 BLOCK = 512
 WARM = 32  # symbols that give a first guess of the state at a block's front
+PIECE = 1 << 20  # characters followed at once
+COLUMNS = 1 << 14  # blocks, times languages, followed at once
+TOGETHER = 1024  # texts followed at once
 DENSE = 62  # letters with a column of their own
 _LETTERS: list[np.ndarray] = []
 
@@ -51,6 +55,20 @@ def _points(text: str) -> np.ndarray:
     return x[(x != 0) | np.concatenate([[True], x[:-1] != 0])] if len(x) else x
 
 
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """_points of a long text in pieces of about PIECE characters, cut behind white space where there is any."""
+    at, gap = 0, False
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text):
+            end = max(text.rfind(" ", at, end), text.rfind("\n", at, end)) + 1 or end
+        x = _points(text[at:end])
+        x = x[1:] if gap and len(x) and x[0] == 0 else x
+        gap = bool(x[-1] == 0) if len(x) else gap
+        at = end
+        yield x
+
+
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """The minimal automaton of all substrings: for each state its transitions; state 0 is the root."""
     moves, link, length = [{}], [-1], [0]
@@ -164,34 +182,83 @@ class CrossParser:
             state = to ^ (to >> 31)
         return state, begun
 
-    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text's phrases by language (texts, languages), and its number of letters and separators."""
-        points = [_points(t) for t in texts]
-        sizes = np.array([len(p) for p in points])
-        blocks = -(-sizes // BLOCK)
-        n = int(blocks.sum())
-        if not self.langs or not n:
-            return np.zeros((len(texts), len(self.langs))), sizes
+    def _follow(self, points: list[np.ndarray], fronts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each text by language, and the state in which each language's automaton ends the last block.
+
+        fronts are the states in which the first text begins, the roots where not given. Languages are
+        taken in slices, so that no more than COLUMNS blocks are walked at once.
+        """
+        blocks = np.array([-(-len(p) // BLOCK) for p in points], np.int64)
+        n, langs = int(blocks.sum()), len(self.langs)
+        total, ends = np.zeros((len(points), langs)), np.zeros(langs, np.int32)
+        if not n:
+            return total, ends
         rows = np.full((n, BLOCK), self.width - 1, np.int32)
         at = 0
         for p, m in zip(points, blocks.tolist(), strict=True):
             rows[at : at + m].reshape(-1)[: len(p)] = self.symbols(p)
             at += m
         symbols = np.ascontiguousarray(rows.T)
-        owner = np.repeat(np.arange(len(texts)), blocks)
+        owner = np.repeat(np.arange(len(points)), blocks)
         follows = np.concatenate([[False], owner[1:] == owner[:-1]])  # blocks with one before them
-        block, root = np.tile(np.arange(n), len(self.langs)), np.repeat(self.roots, n)
-        later = np.flatnonzero(follows[block])
-        front = root.copy()
-        front[later] = self.walk(symbols[-WARM:, block[later] - 1], root[later], root[later])[0]
-        end, begun = self.walk(np.tile(symbols, len(self.langs)), front, root)
-        while True:
-            again = later[front[later] != end[later - 1]]
-            if not len(again):
-                break
-            front[again] = end[again - 1]
-            end[again], begun[again] = self.walk(symbols[:, block[again]], front[again], root[again])
-        total = np.stack([np.bincount(owner, weights=x, minlength=len(texts)) for x in begun.reshape(len(self.langs), n)], 1)
+        step = max(1, COLUMNS // n)
+        for a in range(0, langs, step):
+            own = self.roots[a : a + step]
+            k = len(own)
+            block, root = np.tile(np.arange(n), k), np.repeat(own, n)
+            later = np.flatnonzero(follows[block])
+            front = root.copy()
+            if fronts is not None and blocks[0]:
+                front[::n] = fronts[a : a + step]
+            front[later] = self.walk(symbols[-WARM:, block[later] - 1], root[later], root[later])[0]
+            end, begun = self.walk(np.tile(symbols, k), front, root)
+            while True:
+                again = later[front[later] != end[later - 1]]
+                if not len(again):
+                    break
+                front[again] = end[again - 1]
+                end[again], begun[again] = self.walk(symbols[:, block[again]], front[again], root[again])
+            total[:, a : a + k] = np.stack([np.bincount(owner, weights=x, minlength=len(points)) for x in begun.reshape(k, n)], 1)
+            ends[a : a + k] = end[n - 1 :: n]
+        return total, ends
+
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text's phrases by language (texts, languages), and its number of letters and separators.
+
+        Short texts are followed together. A text of more than PIECE characters is followed piece by
+        piece, each from the state in which its predecessor ends, so memory does not grow with it.
+        """
+        total, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        if not self.langs:
+            return total, sizes
+        group: list[int] = []
+
+        def flush() -> None:
+            points = [_points(texts[i]) for i in group]
+            if group:
+                total[group], sizes[group] = self._follow(points)[0], [len(p) for p in points]
+            group.clear()
+
+        held = 0
+        for i, t in enumerate(texts):
+            if len(t) > PIECE:
+                fronts, rest = None, np.empty(0, np.uint32)
+                for x in _pieces(t):
+                    sizes[i] += len(x)
+                    rest = np.concatenate([rest, x])
+                    whole = len(rest) // BLOCK * BLOCK
+                    if whole:
+                        begun, fronts = self._follow([rest[:whole]], fronts)
+                        total[i] += begun[0]
+                        rest = rest[whole:]
+                total[i] += self._follow([rest], fronts)[0][0]
+                continue
+            if held + len(t) > PIECE or len(group) >= TOGETHER:
+                flush()
+                held = 0
+            group.append(i)
+            held += len(t)
+        flush()
         return (1 + total) * self.bits, sizes
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -257,12 +324,7 @@ def predict(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_c
         own = shared.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            found, start, size = [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size > 1 << 21 or i == len(texts) - 1:
-                    found += own.predict(texts[start : i + 1])
-                    start, size = i + 1, 0
+            found = [x for i in range(0, len(texts), TOGETHER) for x in own.predict(texts[i : i + TOGETHER])]
             lang, score, bits = zip(*found, strict=True) if found else ((), (), ())
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
             kept = [batch.column(i) for i in range(3, batch.num_columns)]

@@ -52,6 +52,22 @@ def test_format_reads_back(spark):
     assert chat.conversation_digests(chat.format_messages(spark.createDataFrame([], "conv_id long, msg long, role string, text string"))).count() == 0
 
 
+def test_loss_is_what_stands_under_the_mask(spark):
+    import pytest
+
+    rows = [(1, 1, "user", "a question"), (1, 2, "assistant", "one </s> two"), (1, 3, "assistant", ""), (1, 4, "assistant", None), (2, 1, "assistant", "ünï😀")]
+    formatted = chat.format_messages(spark.createDataFrame(rows, "conv_id long, msg long, role string, text string"))
+    told = lambda f: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.conversation_digests(f).collect()}
+    good = told(formatted)
+    assert good == {1: (12, hashlib.sha256(b"one </s> two").hexdigest()), 2: (4, hashlib.sha256("ünï😀".encode()).hexdigest())}
+    for shifted in (formatted.withColumn("loss_start", F.col("loss_start") + 1), formatted.withColumn("loss_length", F.col("loss_length") + 1), formatted.withColumn("loss_start", F.lit(None).cast("long"))):
+        assert told(shifted)[1] != good[1] and told(shifted)[2] != good[2]
+    with pytest.raises(Exception, match="outside its turn"):
+        told(formatted.withColumn("loss_start", F.col("loss_start") - 40))
+    plan = chat.conversation_digests(formatted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "loss_start" in plan and "loss_length" in plan
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["\\", "<s>", "</s>", "[INST]", "[/INST]", "[ROLE=", "]", "[", "<", " ", "x", "\n"]), max_size=12))
 def test_escape_is_reversible(parts):

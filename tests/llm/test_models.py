@@ -159,6 +159,38 @@ def test_phrases_against_a_plain_parse(monkeypatch):
     assert [p[0] for p in parser.predict(["abra cadabra", "pocus hocus", None, "", "123 !?"])] == ["a", "b", "und", "und", "und"]
 
 
+def test_long_texts_and_many_languages_in_slices(monkeypatch):
+    """However texts and languages are sliced, the phrases are the same."""
+    import random
+
+    rng = random.Random(5)
+    words = ["the", "quick", "ΟΔΟΣ", "über", "日本", "brown", "fox", "été", "12", "--", "\n"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    own = langid.CrossParser.fit({f"g{i:02d}": [say(60)] for i in range(23)}, 400)
+    texts = [say(3000), "", say(5), "日" * 3000, " " * 2500, say(700), "x", "a-b" * 900]
+    whole, sizes = own.costs(texts)
+    for piece, columns, together in ((64, 1 << 14, 2), (700, 7, 3), (1500, 30, 1024), (1 << 20, 1, 1)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "COLUMNS", columns)
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        got, n = own.costs(texts)
+        assert (got == whole).all() and (n == sizes).all()
+
+
+def test_memory_does_not_grow_with_texts_or_languages():
+    import tracemalloc
+
+    text = "wort und wort in einem sehr langen text " * 1_250_000  # 50 million characters
+    two = langid.CrossParser.fit({"a": ["ein langer text in worten"], "b": ["some long text in words"]}, 100)
+    many = langid.CrossParser.fit({f"g{i}": [f"sample {i} of some words and more words"] for i in range(1000)}, 40)
+    for own, given in ((two, [text]), (many, [text[:2_000_000]] + [text[:1000]] * 2000)):
+        tracemalloc.start()
+        assert len(own.predict(given)) == len(given)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400e6, peak
+
+
 def test_held_out_accuracy(spark, duck):
     rows = {r.doc_id: r for r in QUERIES["op10_language_id"](spark, f"{DATA}/sf0.01").collect()}
     import zlib
