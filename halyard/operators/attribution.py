@@ -6,7 +6,7 @@ which is searched within a message's row: messages are neither shuffled nor mult
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,5 +65,8 @@ def unattributed(messages: DataFrame, shown: int = 2, chars: int = 70) -> DataFr
 
     rows = messages.select(sender_domain(F.col("sender")).alias("sender_domain"), "seq", F.left("subject", F.lit(chars)).alias("subject"))
     first = rows.groupBy("sender_domain", "subject").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
-    subjects = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "subject"))), 1, shown), lambda x: x["subject"])
-    return first.groupBy("sender_domain").agg(F.sum("n").alias("n"), subjects.alias("subjects"))
+    # ranks are limited before the shuffle, so no more than `shown` subjects a domain and task are held or moved
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("sender_domain").orderBy("seq", "subject"))).filter(F.col("rank") <= shown)
+    subjects = F.transform(F.array_sort(F.collect_list(F.struct("rank", "subject"))), lambda x: x["subject"])
+    top = ranked.groupBy("sender_domain").agg(subjects.alias("subjects"))
+    return first.groupBy("sender_domain").agg(F.sum("n").alias("n")).join(top, "sender_domain")

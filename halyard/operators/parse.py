@@ -5,6 +5,8 @@ Verdicts depend on the day and are never kept; they are worked out from parses a
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,30 +49,31 @@ def _classified(items: Column) -> Column:
     return F.transform(items, one)
 
 
-def parsed(documents: DataFrame, *keep: str) -> DataFrame:
-    """The columns of keep and of PARSE for each document (kind, url, dedupe, html), in one pass and without a shuffle.
-
-    hash changes with what a document says: for current-status pages near HINT and without clock times,
-    else with the visible text. n_items counts all items, items holds those about flags, in their order.
-    """
+@cache
+def _steps(application: str) -> tuple[dict[str, Column], ...]:
+    """The columns to add, step by step, and those of PARSE. Building them takes seconds, so an application does it once."""
     kind = F.col("kind")
     part = lambda *kinds: F.when(kind.isin(*kinds), F.col("html"))  # noqa: E731 - null, so next to nothing to do, for other kinds
     of = lambda value, *kinds: F.when(kind.isin(*kinds), value)
-    rows = documents.select(*keep, "kind", "url", "html", F.coalesce("dedupe", F.lit(False)).alias("dedupe"))
-    rows = with_urls(rows.withColumn("__blocks", F.when(kind == ARCHIVE, archive_blocks(part(ARCHIVE))).when(kind.isin(INDEX, PROCLAMATION), index_blocks(part(INDEX, PROCLAMATION)))), "__blocks", "url")
     feed = feed_items(part(FEED, PROCLAMATION), F.col("url"))
-    rows = rows.withColumn("__feed", F.when(F.col("dedupe"), dedupe_in_order(feed)).otherwise(feed))
+    first = {
+        "__blocks": F.when(kind == ARCHIVE, archive_blocks(part(ARCHIVE))).when(kind.isin(INDEX, PROCLAMATION), index_blocks(part(INDEX, PROCLAMATION))),
+        "__feed": F.when(F.col("dedupe"), dedupe_in_order(feed)).otherwise(feed),
+        "__toggle": of(toggle_status(part(TOGGLE)), TOGGLE),
+        "__page": of(current_status(part(DIFF)), DIFF),
+        "__by": of(classify_authority(part(DIFF)), DIFF),
+        "__window": of(advertised_window(part(DIFF)), DIFF),
+        "__fresh": of(signs_of_freshness(part(DIFF)), DIFF),
+        "__body": of(strip_html(part(ARTICLE)), ARTICLE),
+    }
     flags = F.transform(F.filter("__feed", lambda x: x["is_flag"]), lambda x: F.struct(*[x[c].alias(c) for c in ("ordinal", "title", "url", "date")]))
     listed = dedupe_in_order(F.col("__blocks"))
     items = F.when(kind == FEED, flags).when(kind == ARCHIVE, by_date(listed)).when(kind == INDEX, listed).when(kind == PROCLAMATION, F.when(F.size(listed) > 0, listed).otherwise(flags))
-    rows = rows.withColumn("items", _classified(items)).withColumn("n_items", F.when(kind == FEED, F.size("__feed")).otherwise(F.size("items")))
-    rows = rows.withColumns({"__toggle": of(toggle_status(part(TOGGLE)), TOGGLE), "__page": of(current_status(part(DIFF)), DIFF), "__by": of(classify_authority(part(DIFF)), DIFF)})
-    rows = rows.withColumns({"__window": of(advertised_window(part(DIFF)), DIFF), "__fresh": of(signs_of_freshness(part(DIFF)), DIFF)})
-    rows = rows.withColumn("__body", of(strip_html(part(ARTICLE)), ARTICLE)).withColumn("__opening", first_sentences(F.col("__body")))
-    rows = rows.withColumns({"__read": of(classify_status(F.col("__opening")), ARTICLE), "__read_by": of(classify_authority(F.col("__opening")), ARTICLE), "__late": of(date_range(F.left("__body", F.lit(ARTICLE_CHARS))), ARTICLE)})
+    second = {"items": _classified(items), "__opening": first_sentences(F.col("__body"))}
+    third = {"__read": of(classify_status(F.col("__opening")), ARTICLE), "__read_by": of(classify_authority(F.col("__opening")), ARTICLE), "__late": of(date_range(F.left("__body", F.lit(ARTICLE_CHARS))), ARTICLE)}
     found = {
         "hash": F.when(kind == DIFF, status_fingerprint(part(DIFF), HINT)).otherwise(content_hash(F.col("html"))),
-        "n_items": F.col("n_items"),
+        "n_items": F.when(kind == FEED, F.size("__feed")).otherwise(F.size("items")),
         "items": F.col("items"),
         "status": F.coalesce("__toggle.value", "__page.value", "__read.value"),
         "evidence": F.coalesce("__toggle.evidence", "__page.evidence", "__read.evidence"),
@@ -81,7 +84,18 @@ def parsed(documents: DataFrame, *keep: str) -> DataFrame:
         "yearless": F.col("__fresh.yearless"),
         "counties": of(county_exceptions(part(DIFF)), DIFF),
     }
-    return rows.select(*keep, *[found[c].cast(t).alias(c) for c, t in PARSE.items()])
+    return first, second, third, {c: found[c].cast(t).alias(c) for c, t in PARSE.items()}
+
+
+def parsed(documents: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep and of PARSE for each document (kind, url, dedupe, html), in one pass and without a shuffle.
+
+    hash changes with what a document says: for current-status pages near HINT and without clock times,
+    else with the visible text. n_items counts all items, items holds those about flags, in their order.
+    """
+    first, second, third, found = _steps(documents.sparkSession.sparkContext.applicationId)
+    rows = documents.select(*keep, "kind", *[c for c in ("url", "html") if c not in keep], F.coalesce("dedupe", F.lit(False)).alias("dedupe"))
+    return with_urls(rows.withColumns(first), "__blocks", "url").withColumns(second).withColumns(third).select(*keep, *found.values())
 
 
 def known_and_new(documents: DataFrame, cache: DataFrame | None, version: int = VERSION) -> tuple[DataFrame | None, DataFrame]:

@@ -641,6 +641,82 @@ def choose_body(spark, sf_dir):
     return c.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", messages.choose_body(F.col("parts")).alias("body"))
 
 
+# --- the mail run ---------------------------------------------------------------------------------
+
+
+def _mailbox(spark, sf_dir):
+    """A mailbox by day, written from all customers' messages of twenty days; its folder."""
+    import uuid
+
+    from halyard.sources.scratch import shared_dir
+
+    folder = f"{shared_dir(spark)}/mailbox-{uuid.uuid4().hex}"
+    m = _mail(spark, sf_dir).withColumn("day", F.date_add(F.lit("2026-08-01").cast("date"), (F.col("msg_id") % 20).cast("int")))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\n"))
+    sent = F.concat(F.date_format("day", "d MMM yyyy"), F.lit(" 10:00:00 -0400"))
+    text = F.concat(F.lit("From x\n"), line("From", F.col("sender")), line("Subject", F.col("subject")), line("Date", sent), line("List-Id", F.col("headers")), F.lit("\nby order of the governor\n"))
+    m.select(text.alias("value"), "day").repartition("day").write.partitionBy("day").text(folder)
+    return folder
+
+
+def _mail_registry(spark, sf_dir):
+    """Nations: every other is told by mail, two of three have a channel with an account, all have a domain."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    channel = F.struct(F.lit("email").alias("type"), F.concat(F.lit("https://mail.example/accounts/ACCT"), k.cast("string"), F.lit("/subscriber/new")).alias("detail"), F.lit(None).cast("string").alias("account"))
+    return n.select(
+        k.cast("string").alias("state_code"), F.initcap("n_name").alias("state"), F.when(k % 2 == 0, "email").otherwise("feed").alias("ingest_mode"), F.when(k % 3 != 0, channel).alias("notification_channel"),
+        F.concat(F.lit(" "), F.upper(F.translate("n_name", " ", "-")), F.lit(".GOV ")).alias("expected_sender_domain"),
+    )
+
+
+@query(
+    """WITH m AS (SELECT c_custkey AS k, n_nationkey AS n, n_name, DATE '2026-08-01' + CAST(c_custkey % 20 AS INTEGER) AS d FROM customer JOIN nation ON c_nationkey = n_nationkey), ok AS (SELECT * FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 <> 0),
+dom AS (SELECT k, min(CAST(h.n_nationkey AS VARCHAR)) AS code FROM m JOIN ok h ON k % 8 = 4 AND contains('office <news@' || lower(replace(m.n_name, ' ', '-')) || '.gov>', lower(replace(h.n_name, ' ', '-')) || '.gov') GROUP BY k),
+sub AS (SELECT k, min(CAST(h.n_nationkey AS VARCHAR)) AS code FROM m JOIN ok h ON k % 4 = 2 AND contains(lower('flags lowered in ' || m.n_name), lower(h.n_name)) GROUP BY k HAVING count(*) = 1),
+a AS (SELECT m.k, d, coalesce(dom.code, CASE WHEN m.k % 4 = 1 AND n % 3 <> 0 THEN CAST(n AS VARCHAR) END, sub.code) AS code FROM m LEFT JOIN dom ON m.k = dom.k LEFT JOIN sub ON m.k = sub.k),
+s AS (SELECT code, max(d) AS seen, max(d) FILTER (d >= DATE '2026-08-18') AS sent FROM a WHERE code IS NOT NULL AND d >= DATE '2026-08-10' GROUP BY code)
+SELECT code AS state_code, strftime(sent, '%Y-%m-%d') AS sent_date, strftime(seen, '%Y-%m-%d') AS seen_on, (SELECT count(*) FROM m WHERE d >= DATE '2026-08-18') AS n_read FROM s"""
+)
+def mail_run(spark, sf_dir):
+    """State after three mail runs: one over the mailbox from the 10th on, one without access to mail, one from the 18th on; and how many messages the last one read."""
+    import uuid
+    from datetime import date
+
+    from halyard.plans.mail_run import advance
+    from halyard.sources.mail import read_mailbox
+    from halyard.sources.scratch import shared_dir
+    from halyard.sources.versions import Store
+
+    folder, registry = _mailbox(spark, sf_dir), _mail_registry(spark, sf_dir)
+    store = Store(spark, f"{shared_dir(spark)}/mail-{uuid.uuid4().hex}")
+    advance(store, read_mailbox(spark, folder, date(2026, 8, 10)), registry, "1")
+    advance(store, None, registry, "2")
+    late = read_mailbox(spark, folder, date(2026, 8, 18))
+    last = advance(store, late, registry, "3")
+    orders = last.table("orders").select("state_code", F.col("sent_date").cast("string").alias("sent_date"))
+    return last.table("seen").join(orders, "state_code", "left").select("state_code", "sent_date", F.col("seen_on").cast("string").alias("seen_on"), F.lit(late.count()).alias("n_read"))
+
+
+@query(
+    """WITH m AS (SELECT c_custkey AS k, n_nationkey AS n, lower(replace(n_name, ' ', '-')) || '.gov' AS own, n_nationkey % 2 = 0 OR n_nationkey % 3 <> 0 AS ok, (SELECT count(*) FROM nation h WHERE (h.n_nationkey % 2 = 0 OR h.n_nationkey % 3 <> 0) AND contains(lower('flags lowered in ' || nation.n_name), lower(h.n_name))) AS named
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 >= 9)
+SELECT CASE WHEN k % 4 = 0 THEN own ELSE 'delivery.example' END AS sender_domain, count(*) AS n FROM m WHERE k % 8 = 4 AND NOT ok OR k % 4 = 1 AND n % 3 = 0 OR k % 4 = 2 AND named = 0 GROUP BY 1"""
+)
+def unknown_senders_of_mail(spark, sf_dir):
+    """Whose mail about flags a mail run could not attribute to any key."""
+    import uuid
+    from datetime import date
+
+    from halyard.plans.mail_run import advance
+    from halyard.sources.mail import read_mailbox
+    from halyard.sources.scratch import shared_dir
+    from halyard.sources.versions import Store
+
+    store = Store(spark, f"{shared_dir(spark)}/mail-{uuid.uuid4().hex}")
+    last = advance(store, read_mailbox(spark, _mailbox(spark, sf_dir), date(2026, 8, 10)), _mail_registry(spark, sf_dir), "1")
+    return last.table("unattributed").select("sender_domain", "n")
+
+
 # --- the whole: observations to one status per key -------------------------------------------------
 
 

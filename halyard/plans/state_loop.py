@@ -87,10 +87,9 @@ def advance(store: Store, sources: Sources, batch: str, as_of: date, at: datetim
     records = draft.keep(run.finish(states, fed, prior, now), "records")
     turn = one.filter("changed").select(now.alias("at"), F.coalesce("status", F.lit("full")).alias("status"), "reason")
     of_run = run.Run.of(records, fed, turn)
-    resolve.publishable(records, least_covered).select(F.count("*")).collect()  # raises if too few are covered
     new = records.filter("coverage <> 'not_covered' OR hash IS NOT NULL").select("state_code", "status", "order", "hash", "last_changed_at", F.col("checked_at").alias("last_checked"))
     draft.keep(state.upsert(prior, new, "state_code", new.columns[1:]), "state")
-    draft.keep(of_run.document(as_of.isoformat(), at.isoformat()), "document")
+    draft.keep(of_run.document(as_of.isoformat(), at.isoformat(), least_covered), "document")  # raises if too few are covered
     draft.log(of_run.changes)
     return draft.commit(*TABLES, *(n for n in draft.tables if n.startswith("fresh_")))
 

@@ -191,9 +191,9 @@ class Run:
             changes = changes.unionByName(turned.select(F.lit("US").alias("key"), "at", F.col("status").alias("value"), "reason"))
         return cls(records, federal, resolve.coverage_counts(records), resolve.half_and_changed(records, KEY), changes, notices(changes))
 
-    def document(self, date: str, generated_at: str | None = None) -> DataFrame:
+    def document(self, date: str, generated_at: str | None = None, least_covered: int = 20) -> DataFrame:
         """The published document, refused when it is read if too few keys are covered."""
-        return status_document(resolve.publishable(self.records), self.counts, date, self.federal, generated_at)
+        return status_document(resolve.publishable(self.records, least_covered), self.counts, date, self.federal, generated_at)
 
 
 def finish(states: DataFrame, federal: DataFrame, prior: DataFrame, at: Column) -> DataFrame:
