@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions import dates, items, rules, text
-from halyard.operators import attribution, coverage, messages, parse, patch, resolve, state
+from halyard.operators import attribution, coverage, history, messages, parse, patch, resolve, state
 from halyard.plans.generated import case_sql, choose, long_date, orders
 from halyard.sources.tables import documents as landed_documents
 from halyard.sources.tables import notices
@@ -366,6 +366,57 @@ def documents_to_parse(spark, sf_dir):
     return state.to_parse(e, known, 8).select("event_id")
 
 
+# --- history --------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS p, row_number() OVER w = 1 AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+m AS (SELECT * FROM l WHERE first OR p <> event_type) SELECT user_id, event_type, event_id AS valid_from, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS valid_to FROM m"""
+)
+def validity_history(spark, sf_dir):
+    """The intervals of events in which a user's type stayed the same."""
+    return history.validity(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])
+
+
+_DAILY_SQL = "e AS (SELECT user_id, CAST(ts AS DATE) AS d, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1, 2), days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events)"
+
+
+@query(f"WITH {_DAILY_SQL}, k AS (SELECT DISTINCT user_id FROM events) SELECT k.user_id, strftime(days.d, '%Y-%m-%d') AS day, e.status FROM k CROSS JOIN days ASOF JOIN e ON k.user_id = e.user_id AND days.d >= e.d")
+def status_on_days(spark, sf_dir):
+    """The status of every user on every day that the table has, from intervals of validity; none before a user's first day."""
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("d"), F.col("event_type").alias("status"), "ts", "event_id")
+    held = history.validity(e, "user_id", "d", ["status"], ["ts", "event_id"])
+    return history.on_days(held, e.select("d").distinct(), "d", day("2100-01-01")).select("user_id", F.col("d").cast("string").alias("day"), "status")
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, event_type = 'error' AS bad, CASE WHEN event_type IN ('click', 'purchase') THEN 'half' ELSE 'full' END AS st, CAST(ts AS DATE) AS d, CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) + 4 END AS e FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-25'),
+g AS (SELECT user_id, max(ts) FILTER (NOT bad) AS good_at, arg_max({'st': st, 'd': d, 'e': e}, {'ts': ts, 'st': st, 'd': d, 'e': coalesce(e, DATE '1970-01-01')}) FILTER (NOT bad) AS f FROM o GROUP BY user_id),
+h AS (SELECT g.user_id, any_value(good_at) AS good_at, any_value(f) AS f, min(o.ts) AS failed FROM g LEFT JOIN o ON o.user_id = g.user_id AND bad AND (good_at IS NULL OR o.ts > good_at) GROUP BY g.user_id),
+n AS (SELECT *, coalesce(CAST(failed AS DATE), DATE '2024-01-25') AS day FROM h)
+SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN good_at IS NULL THEN 'unknown' WHEN f.st = 'half' AND NOT (f.d <= day AND CASE WHEN f.e IS NULL THEN day - f.d <= 2 ELSE day <= f.e END AND day - f.d <= 21) THEN 'full' ELSE f.st END AS status,
+  CASE WHEN good_at IS NULL THEN 'not_covered' WHEN failed IS NOT NULL THEN 'stale' ELSE 'covered' END AS coverage FROM n"""
+)
+def verdicts_on_a_day(spark, sf_dir):
+    """What a stream of all events up to a day would show on it: late, failing and concluded sources too."""
+    from halyard.streaming.resolution import verdicts_on
+
+    d, null = F.to_date("ts"), F.lit(None)
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "HTTP 500").alias("error"), null.cast("string").alias("hash"), F.when(F.col("event_type").isin("click", "purchase"), "half").otherwise("full").alias("status"),
+        d.alias("start_date"), F.when(F.col("event_id") % 3 == 0, F.date_add(d, 4)).alias("end_date"), d.alias("item_date"), null.cast("date").alias("modified"),
+    )
+    return verdicts_on(e, day("2024-01-25"))
+
+
+@query("WITH l AS (SELECT user_id, ts, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY user_id, ts) SELECT event_id, l.event_type AS known FROM events e ASOF LEFT JOIN l ON e.user_id = l.user_id AND e.ts >= l.ts")
+def value_at_a_time(spark, sf_dir):
+    """For each event what the events with even numbers told of its user by then."""
+    e = table(spark, sf_dir, "events")
+    log = e.filter("event_id % 2 = 0").select("user_id", "ts", F.col("event_type").alias("known"), "event_id")
+    return history.value_at(e.select("user_id", "ts", "event_id"), log, "user_id", "ts", ["known"], ["event_id"]).select("event_id", "known")
+
+
 # --- resolution -----------------------------------------------------------------------------------
 
 
