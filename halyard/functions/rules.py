@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from halyard.functions.text import bind, strip_html, visible
 
@@ -142,22 +138,23 @@ def classify_authority(text: Column) -> Column:
     return bind(bind(visible(text), lambda t: F.struct(*[first_match(t, p).alias(n) for n, p in signals])), of)
 
 
-_GUARDED = [re.compile(p, re.IGNORECASE) for p in DECLARATIONS[GUARDED_FROM:]]
-_PROSE = re.compile(PROSE_BEFORE, re.IGNORECASE)
+def outside(text: Column, pattern: str, context: str, chars: int) -> Column:
+    """The first match of a pattern before which, within so many characters, the context does not match; null without one.
 
+    The text is cut at its matches; what stands before each is carried along, no longer than needed.
+    """
+    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    pairs = F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), lambda x: x["match"].isNotNull())
+    last = lambda t: F.right(t, F.lit(chars))
 
-@pandas_udf(StringType())
-def _guarded_phrase(texts: pd.Series) -> pd.Series:
-    """The first guarded declaration that prose does not precede; its left context cannot be told by one pattern."""
+    def step(state: Column, x: Column) -> Column:
+        def of(before: Column) -> Column:
+            found = F.coalesce(state["found"], F.when(~before.rlike(context), x["match"]))
+            return F.struct(last(F.concat(before, x["match"])).alias("before"), found.alias("found"))
 
-    def one(t) -> str | None:
-        for p in _GUARDED if t else ():
-            for m in p.finditer(t):
-                if not _PROSE.search(t[max(0, m.start() - PROSE_CHARS) : m.start()]):
-                    return m[0]
-        return None
+        return bind(last(F.concat(state["before"], x["gap"])), of)
 
-    return pd.Series([one(t) for t in texts], dtype=object)
+    return F.aggregate(pairs, F.struct(F.lit("").alias("before"), F.lit(None).cast("string").alias("found")), step, lambda s: s["found"])
 
 
 def current_status(html: Column) -> Column:
@@ -165,7 +162,8 @@ def current_status(html: Column) -> Column:
     t = F.regexp_replace(visible(html), COUNTY_LINE, " ")
     may_be = "(?iU)" + "|".join(DECLARATIONS[GUARDED_FROM:])
     seen = bind(t, lambda x: F.struct(x.alias("text"), first_match(x, DECLARATIONS[:GUARDED_FROM]).alias("plain")))
-    asked = bind(seen, lambda v: F.when(v["plain"].isNull() & v["text"].rlike(may_be), v["text"]))
+    guarded = lambda t: F.coalesce(*[outside(t, "(?iU)" + p, "(?iU)" + PROSE_BEFORE, PROSE_CHARS) for p in DECLARATIONS[GUARDED_FROM:]])
+    phrase = bind(seen, lambda v: F.coalesce(v["plain"], F.when(v["text"].rlike(may_be), guarded(v["text"]))))
 
     def of(v: Column) -> Column:
         phrase = v["phrase"]
@@ -173,7 +171,7 @@ def current_status(html: Column) -> Column:
         missing = F.when(v["any"], "no explicit status declaration in page text")
         return _verdict(F.when(phrase.isNotNull(), word).otherwise(UNKNOWN), F.when(phrase.isNotNull(), F.concat(F.lit("declaration: "), quoted(phrase))).otherwise(missing))
 
-    return bind(F.struct(F.trim(F.coalesce(seen["plain"], _guarded_phrase(asked))).alias("phrase"), (t != "").alias("any")), of)
+    return bind(F.struct(F.trim(phrase).alias("phrase"), (t != "").alias("any")), of)
 
 
 def county_exceptions(html: Column) -> Column:
