@@ -1,7 +1,8 @@
 """Which key does a message belong to? By sender domain, then account slug, then a name in its subject.
 
 The dimensions (hints, accounts, names) have a row or a few per key. Each becomes one array on one row,
-which is searched within a message's row: messages are neither shuffled nor multiplied.
+which is searched within a message's row: messages are neither shuffled nor multiplied. That is for
+dimensions of up to MOST_SCANNED rows, which is checked; attributed_by_index is for larger ones.
 """
 
 from __future__ import annotations
@@ -9,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halyard.operators.resolve import at_most
+
+
+MOST_SCANNED = 10_000  # rows of a dimension in one array; for more there is attributed_by_index
+
 
 def _with_list(messages: DataFrame, rows: DataFrame, order: list, name: str) -> DataFrame:
     """messages with one more column, the rows of a dimension as an array in this order; no row gives an empty array."""
-    one = rows.agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+    one = at_most(rows, MOST_SCANNED).agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
     return messages.join(F.broadcast(one), how="left")  # a table of one row
 
 

@@ -179,6 +179,13 @@ def statutory_observance(calendar: DataFrame, day: Column) -> DataFrame:
     return hit.agg(F.min_by(F.struct(*cols), "ordinal").alias("o")).filter("o IS NOT NULL").select("o.*")
 
 
+def observances_of_days(calendar: DataFrame, days: DataFrame, day: str) -> DataFrame:
+    """days with the columns of the first active observance of each (by ordinal); days without one are left out."""
+    cols = [c for c in calendar.columns if c not in ("ordinal", "date", "active")]
+    first = calendar.filter("active AND date IS NOT NULL").groupBy("date").agg(F.min_by(F.struct(*cols), "ordinal").alias("o"))
+    return days.join(first.withColumnRenamed("date", day), day).select(*days.columns, "o.*")
+
+
 def overlay(states: DataFrame, federal: DataFrame) -> DataFrame:
     """states (status, order_title, until_noon, ...) under a federal observance (reason, scope) of no row or one."""
     fed = federal.select(F.coalesce("scope", F.lit("full-day")).alias("__scope"), F.col("reason").alias("__reason"), F.lit(True).alias("__fed"))

@@ -446,6 +446,27 @@ def apply_patches(spark, sf_dir):
     return patch.apply_patches(base, one.union(two).union(extra), "s_suppkey", ["s_name", "note"])
 
 
+@query(ORACLES["apply_patches"])
+def rewritten_registry(spark, sf_dir):
+    """A registry that is patched from the version that it replaces: the second version, as the store has it."""
+    import uuid
+
+    from halyard.sources.scratch import shared_dir
+    from halyard.sources.versions import Store
+
+    store = Store(spark, f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}")
+    draft = store.begin("1")
+    draft.keep(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("note")), "registry")
+    base = draft.commit().table("registry")
+    none = F.array().cast("array<string>")
+    one = base.filter("s_suppkey % 7 = 0").select("s_suppkey", F.lit(1).alias("seq"), F.lit("patched").alias("s_name"), F.lit(None).cast("string").alias("note"), none.alias("removed"))
+    two = base.filter("s_suppkey % 5 = 0").select("s_suppkey", F.lit(2).alias("seq"), F.lit("diff").alias("s_name"), F.lit(None).cast("string").alias("note"), F.array(F.lit("note")).alias("removed"))
+    draft = store.begin("2")
+    draft.keep(patch.apply_patches(base, one.union(two), "s_suppkey", ["s_name", "note"]), "registry")
+    draft.commit()
+    return store.latest().table("registry")
+
+
 _CALENDAR = "VALUES (0, 'peace-officers-memorial-day', DATE '2026-05-15', true, 'full-day', 'Honoring officers'), (1, 'memorial-day', DATE '2026-05-25', true, 'until-noon', 'Honoring the fallen'), (2, 'second-on-the-day', DATE '2026-05-25', true, 'full-day', 'Another'), (3, 'lapsed', DATE '2026-07-27', false, 'full-day', 'Lapsed')"
 
 
@@ -453,9 +474,14 @@ def _calendar(spark) -> DataFrame:
     return spark.sql(f"SELECT * FROM {_CALENDAR} AS c(ordinal, id, date, active, scope, reason)")
 
 
-@query("SELECT id, '2026-05-25' AS date, scope, reason FROM (" + _CALENDAR + ") c(ordinal, id, date, active, scope, reason) WHERE date = DATE '2026-05-25' AND active AND ordinal = 1")
+@query(
+    "WITH o AS (SELECT DATE '2026-01-01' + CAST(dayofyear(o_orderdate) - 1 AS INTEGER) AS d, count(*) AS n FROM orders GROUP BY 1), c(ordinal, id, date, active, scope, reason) AS (" + _CALENDAR + ") "
+    "SELECT id, strftime(d, '%Y-%m-%d') AS date, scope, reason, n FROM o JOIN c ON d = date WHERE active AND ordinal < 2"
+)
 def calendar_lookup(spark, sf_dir):
-    return resolve.statutory_observance(_calendar(spark), day("2026-05-25")).select("id", F.col("date").cast("string").alias("date"), "scope", "reason")
+    """The observances of the days of the year on which there are orders, and how many these are."""
+    o = orders(spark, sf_dir).select(F.date_add(F.lit("2026-01-01").cast("date"), F.dayofyear("day") - 1).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
+    return resolve.observances_of_days(_calendar(spark), o, "d").select("id", F.col("d").cast("string").alias("date"), "scope", "reason", "n")
 
 
 @query(
