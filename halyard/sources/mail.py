@@ -76,7 +76,7 @@ def numbered(rows: DataFrame, day: str) -> DataFrame:
 def messages_of_mbox(content: bytes) -> list[bytes]:
     """The messages of an mbox, each behind a line that begins with `From `."""
     cuts = [(m.start(), m.end()) for m in _FROM.finditer(content)]
-    ends = [start for start, _ in cuts[1:]] + [len(content)]
+    ends = [*(start for start, _ in cuts[1:]), len(content)][: len(cuts)]
     return [content[begin:end] for (_, begin), end in zip(cuts, ends, strict=True)]
 
 

@@ -198,7 +198,7 @@ def test_days_outside_the_filter_are_not_opened(spark, tmp_path):
     assert read_mailbox(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_partitions_are_of_one_day_and_bounded(tmp_path, monkeypatch):
+def test_partitions_are_of_one_day_and_bounded(spark, tmp_path, monkeypatch):
     from pyspark.sql.datasource import GreaterThan, LessThanOrEqual, StringContains
     from pyspark.sql.types import StructType
 
