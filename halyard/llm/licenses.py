@@ -3,8 +3,9 @@
 Every rolling k-gram of words of every text is joined, by hash, to the positions of license templates
 that hold the same k-gram. A match votes for its diagonal (text position less template position); the
 votes of neighbouring diagonals, which an inserted or deleted word sets apart, are merged, and a span
-is accepted if the words found cover enough of the template. A short template (a phrase) asks for
-each of its words in place, which makes its spans exact.
+is accepted if the words found cover enough of the template. How far apart neighbours may be grows with
+the template, so a whole license is found with holders and clauses put in or left out. A short template
+(a phrase) asks for each of its words in place, which makes its spans exact.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halyard.llm.license_texts import WHOLE
+
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # what parts words
 SHORT, K_SHORT, K_LONG = 8, 2, 4  # K_LONG is twice K_SHORT, which is a power of two
+WORDS_A_SLACK = 16  # of a template, for each diagonal that its neighbours may be apart
 MARK = -1  # stands in for a hash; it only ever meets the row of k = 0
 
 
@@ -29,10 +33,14 @@ class Template:
 
     @property
     def words(self) -> list[str]:
-        return re.findall(WORD, self.text)
+        return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), self.text))
+
+    def reach(self, slack: int) -> int:
+        """How far apart neighbouring diagonals may be; far less than two copies of the template are."""
+        return max(slack, len(self.words) // WORDS_A_SLACK)
 
 
-# The phrases of the contract, and sentences of well-known license texts.
+# The phrases of the contract, sentences of well-known license texts, and whole texts.
 TEMPLATES = (
     Template("gpl", "gnu general public license", base=True),
     Template("apache", "apache license", base=True),
@@ -51,11 +59,12 @@ TEMPLATES = (
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    *(Template(label, text) for label, text in WHOLE),
 )
 
 
-def _template_grams(spark, templates: tuple[Template, ...]) -> DataFrame:
-    """(h, gram, t, label, base, at, grams, k): one row per k-gram of a template; its size is fixed by the parameter."""
+def _template_grams(spark, templates: tuple[Template, ...], slack: int) -> DataFrame:
+    """(h, gram, t, label, base, at, grams, k, reach): one row per k-gram of a template; its size is fixed by the parameter."""
     rows = []
     for t, x in enumerate(templates):
         words = x.words
@@ -64,9 +73,9 @@ def _template_grams(spark, templates: tuple[Template, ...]) -> DataFrame:
             raise ValueError(f"a template needs {K_SHORT} words: {x.text!r}")
         for at in range(len(words) - k + 1):
             gram = ", ".join(f"'{w}'" for w in words[at : at + k])
-            rows.append(f"({_gram_hash(words[at : at + k])}, array({gram}), {t}, '{x.label}', {str(x.base).lower()}, {at}, {len(words) - k + 1}, {k})")
-    rows.append(f"({MARK}L, array(''), -1, '', false, 0, 1, 0)")  # the row that each text meets once
-    return spark.sql(f"SELECT h, gram, t, label, base, at, grams, k FROM VALUES {', '.join(rows)} AS v(h, gram, t, label, base, at, grams, k)")
+            rows.append(f"({_gram_hash(words[at : at + k])}, array({gram}), {t}, '{x.label}', {str(x.base).lower()}, {at}, {len(words) - k + 1}, {k}, {x.reach(slack)})")
+    rows.append(f"({MARK}L, array(''), -1, '', false, 0, 1, 0, 0)")  # the row that each text meets once
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v(h, gram, t, label, base, at, grams, k, reach)")
 
 
 def _gram_hash(words: tuple[str, ...]) -> str:
@@ -102,10 +111,10 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Each text also has one span with t = -1 that only carries n_words and the number of its rows.
     first and last are starts of the first and last place (word positions from 0). Diagonals at most
-    `slack` apart are one place; templates of up to SHORT words need every word, longer ones `cover`
+    `slack` apart, or a 16th of a longer template's words, are one place; templates of up to SHORT words need every word, longer ones `cover`
     of their k-grams. Null text counts as empty.
     """
-    grams = _template_grams(docs.sparkSession, templates)
+    grams = _template_grams(docs.sparkSession, templates, slack)
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.array_remove(F.split(_lowered(F.col(text_col)), BETWEEN), "").alias("words"))
     n = F.size("words")
     shorts = F.greatest(n - (K_SHORT - 1), F.lit(0))  # their number
@@ -116,14 +125,14 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .join(F.broadcast(grams), "h")
         # equal hashes are not yet equal words
         .filter(in_part & ((F.col("k") == 0) | (F.slice("words", i + 1, F.greatest("k", F.lit(1))) == F.col("gram"))))
-        .select("doc_id", "text_hash", n.cast("long").alias("n_words"), "t", "label", "base", "grams", "k", "at", (i - F.col("at")).alias("diagonal"))
+        .select("doc_id", "text_hash", n.cast("long").alias("n_words"), "t", "label", "base", "grams", "k", "reach", "at", (i - F.col("at")).alias("diagonal"))
     )
     diagonals = votes.groupBy("doc_id", "text_hash", "t", "diagonal").agg(
-        F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"), F.first("k").alias("k"), F.collect_set("at").alias("ats"), F.count("*").alias("rows")
+        F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("grams").alias("grams"), F.first("k").alias("k"), F.first("reach").alias("reach"), F.collect_set("at").alias("ats"), F.count("*").alias("rows")
     )
     along = Window.partitionBy("doc_id", "text_hash", "t").orderBy("diagonal")
     exact = F.col("k") == K_SHORT
-    new = F.col("diagonal") - F.lag("diagonal").over(along) <= F.when(exact, -1).otherwise(slack)
+    new = F.col("diagonal") - F.lag("diagonal").over(along) <= F.when(exact, -1).otherwise(F.col("reach"))
     places = (
         diagonals.withColumn("new", F.when(new, 0).otherwise(1))
         .withColumn("place", F.sum("new").over(along))
@@ -174,6 +183,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Licenses of every document: null and empty texts have none, repeated rows come out repeated."""
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -183,9 +193,9 @@ def oracle(templates: tuple[Template, ...] = TEMPLATES, slack: int = 2, cover: f
     for t, x in enumerate(templates):
         words = x.words
         k = K_SHORT if len(words) <= SHORT else K_LONG
-        values += [f"({t}, '{x.label}', {str(x.base).lower()}, {at}, {len(words) - k + 1}, {k}, '{' '.join(words[at : at + k])}')" for at in range(len(words) - k + 1)]
+        values += [f"({t}, '{x.label}', {str(x.base).lower()}, {at}, {len(words) - k + 1}, {k}, {x.reach(slack)}, '{' '.join(words[at : at + k])}')" for at in range(len(words) - k + 1)]
     return f"""
-WITH g(t, label, base, pos, grams, k, gram) AS (VALUES {', '.join(values)}),
+WITH g(t, label, base, pos, grams, k, reach, gram) AS (VALUES {', '.join(values)}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
 w AS (SELECT doc_id, u.word AS word, u.i - 1 AS i FROM d, unnest(words) WITH ORDINALITY AS u(word, i)),
 r AS (SELECT doc_id, i, word AS w0, lead(word, 1) OVER v AS w1, lead(word, 2) OVER v AS w2, lead(word, 3) OVER v AS w3 FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
@@ -194,7 +204,7 @@ votes AS (
   UNION ALL SELECT doc_id, i - pos AS diagonal, g.* FROM r JOIN g ON k = {K_LONG} AND w0 || ' ' || w1 || ' ' || w2 || ' ' || w3 = gram
 ),
 m AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER v <= CASE WHEN k = {K_SHORT} THEN 0 ELSE {slack} END THEN 0 ELSE 1 END AS fresh
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER v <= CASE WHEN k = {K_SHORT} THEN 0 ELSE reach END THEN 0 ELSE 1 END AS fresh
   FROM votes WINDOW v AS (PARTITION BY doc_id, t ORDER BY diagonal, pos)
 ),
 p AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY diagonal, pos) AS place FROM m),

@@ -7,7 +7,7 @@ import pytest
 from helpers import awkward, empty
 
 from places import DATA
-from halyard.llm import ann, langid, licenses
+from halyard.llm import ann, langid, license_texts, licenses
 from halyard.llm.queries import QUERIES
 
 
@@ -31,6 +31,31 @@ def test_license_edge_cases(spark):
     assert licenses.license_scan(empty(spark)).count() == 0
 
 
+def test_altered_copies_of_whole_licenses(spark):
+    rng = random.Random(5)
+    whole = [x for x in licenses.TEMPLATES if len(x.words) > 35]
+    assert {x.label for x in whole} >= {"mit", "bsd", "isc", "zlib", "unlicense", "bsl-1.0", "apache-2.0", "gpl"}
+    texts = []
+    for x in whole:
+        words = x.words
+        body = words[len(words) // 6 :]  # its best known sentence is cut
+        for _ in range(max(1, len(body) // 30)):
+            body[rng.randrange(len(body))] = "other"
+        cut, at = len(body) // 2, len(body) // 3
+        body = body[:at] + ["held", "by"] + body[at:cut] + body[cut + 1 :]
+        texts.append("Some words before. " + ", ".join(w.upper() for w in body) + ". And after")
+        texts.append(" ".join(rng.sample(words, len(words))))  # its words in no order
+        texts.append(" ".join(words[: len(words) // 3]))  # too little of it
+    found = licenses.license_spans(awkward(spark, texts), templates=tuple(whole)).filter("t >= 0").collect()
+    got = {(r.doc_id, r.t): r for r in found}
+    for i, _ in enumerate(whole):
+        assert got[3 * i, i].places == 1 and 0.6 <= got[3 * i, i].coverage < 1, whole[i].label
+        assert (3 * i + 1, i) not in got and (3 * i + 2, i) not in got
+    twice = " filler ".join([license_texts.BSD, license_texts.BSD])
+    (r,) = licenses.license_spans(spark.createDataFrame([(1, twice)], "doc_id long, text string"), templates=tuple(x for x in whole if x.label == "bsd")).filter("t >= 0").collect()
+    assert (r.places, r.coverage, r.last - r.first) == (2, 1.0, len(whole[[x.label for x in whole].index("bsd")].words) + 1)
+
+
 def test_base_places_against_a_plain_scan(spark, duck):
     rows = duck.sql("SELECT doc_id, text FROM documents").fetchall()
     got = {r.doc_id: r for r in QUERIES["op8_license_scan"](spark, f"{DATA}/sf0.001").collect()}
