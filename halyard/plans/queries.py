@@ -10,6 +10,7 @@ from halyard.operators import attribution, coverage, history, messages, parse, p
 from halyard.plans.generated import case_sql, choose, long_date, orders
 from halyard.sources.tables import documents as landed_documents
 from halyard.sources.tables import notices
+from halyard.streaming import changes, landing, resolution
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -389,7 +390,7 @@ def status_on_days(spark, sf_dir):
     return history.on_days(held, e.select("d").distinct(), "d", day("2100-01-01")).select("user_id", F.col("d").cast("string").alias("day"), "status")
 
 
-@query(
+_VERDICTS_SQL = (
     """WITH o AS (SELECT user_id, ts, event_type = 'error' AS bad, CASE WHEN event_type IN ('click', 'purchase') THEN 'half' ELSE 'full' END AS st, CAST(ts AS DATE) AS d, CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) + 4 END AS e FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-25'),
 g AS (SELECT user_id, max(ts) FILTER (NOT bad) AS good_at, arg_max({'st': st, 'd': d, 'e': e}, {'ts': ts, 'st': st, 'd': d, 'e': coalesce(e, DATE '1970-01-01')}) FILTER (NOT bad) AS f FROM o GROUP BY user_id),
 h AS (SELECT g.user_id, any_value(good_at) AS good_at, any_value(f) AS f, min(o.ts) AS failed FROM g LEFT JOIN o ON o.user_id = g.user_id AND bad AND (good_at IS NULL OR o.ts > good_at) GROUP BY g.user_id),
@@ -397,16 +398,38 @@ n AS (SELECT *, coalesce(CAST(failed AS DATE), DATE '2024-01-25') AS day FROM h)
 SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN good_at IS NULL THEN 'unknown' WHEN f.st = 'half' AND NOT (f.d <= day AND CASE WHEN f.e IS NULL THEN day - f.d <= 2 ELSE day <= f.e END AND day - f.d <= 21) THEN 'full' ELSE f.st END AS status,
   CASE WHEN good_at IS NULL THEN 'not_covered' WHEN failed IS NOT NULL THEN 'stale' ELSE 'covered' END AS coverage FROM n"""
 )
-def verdicts_on_a_day(spark, sf_dir):
-    """What a stream of all events up to a day would show on it: late, failing and concluded sources too."""
-    from halyard.streaming.resolution import verdicts_on
 
+
+def _observations(events: DataFrame) -> DataFrame:
+    """Events as what is observed of their users."""
     d, null = F.to_date("ts"), F.lit(None)
-    e = table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "HTTP 500").alias("error"), null.cast("string").alias("hash"), F.when(F.col("event_type").isin("click", "purchase"), "half").otherwise("full").alias("status"),
         d.alias("start_date"), F.when(F.col("event_id") % 3 == 0, F.date_add(d, 4)).alias("end_date"), d.alias("item_date"), null.cast("date").alias("modified"),
     )
-    return verdicts_on(e, day("2024-01-25"))
+
+
+@query(_VERDICTS_SQL)
+def verdicts_on_a_day(spark, sf_dir):
+    """What a stream of all events up to a day would show on it: late, failing and concluded sources too."""
+    return resolution.verdicts_on(_observations(table(spark, sf_dir, "events")), day("2024-01-25"))
+
+
+@query(_VERDICTS_SQL)
+def verdicts_of_a_stream(spark, sf_dir):
+    """What the stream of all events did show at the end of that day, by its turns, of which some come of timers."""
+    events = landing.stream_of(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    turns = landing.landed(resolution.resolution_stream(_observations(events).withColumn("at", F.col("at").cast("timestamp"))), "turns", "update")
+    last = turns.filter(F.to_date("at") <= day("2024-01-25")).groupBy("key").agg(F.max_by(F.struct("status", "coverage"), F.struct("at", "batch")).alias("v"))
+    return last.select("key", "v.*")
+
+
+@query("SELECT user_id AS key, event_id AS seq, event_type AS content, coalesce(lag(event_type) OVER w <> event_type, false) AS changed, lag(event_type) OVER w IS NULL AS first_seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def changes_of_a_stream(spark, sf_dir):
+    """Changes of type by user, over the stream of all events."""
+    events = landing.stream_of(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    observed = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"))
+    return landing.landed(changes.changes_stream(observed), "changes").select(F.col("key").cast("long").alias("key"), "seq", "content", "changed", "first_seen")
 
 
 @query("WITH l AS (SELECT user_id, ts, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY user_id, ts) SELECT event_id, l.event_type AS known FROM events e ASOF LEFT JOIN l ON e.user_id = l.user_id AND e.ts >= l.ts")

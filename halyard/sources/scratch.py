@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for what is written in between, which goes as such tables do."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it once as Parquet and return a scan of what was written.
 
@@ -27,9 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     interpreter ends, or on drop_scratch().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

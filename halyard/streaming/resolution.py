@@ -93,10 +93,16 @@ class Keeper(StatefulProcessor):
         if due:
             self.handle.registerTimer(int((datetime(due.year, due.month, due.day) - datetime(1970, 1, 1)).total_seconds() * 1000))
 
+    @staticmethod
+    def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """By time; at one time failures first, then the greater facts last, as verdicts_on() has it."""
+        out = pd.concat(list(rows))
+        return out.assign(good=out["error"].isna()).sort_values(["at", "good", *FACTS[1:], "hash"], na_position="first")
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         facts, stamps, shown = self._load()
         out = []
-        for r in pd.concat(list(rows)).sort_values("at", kind="stable").itertuples():
+        for r in self._in_order(rows).itertuples():
             at = r.at.to_pydatetime()
             if stamps["seen_at"] and at < stamps["seen_at"]:
                 continue  # the key is known to a later time
@@ -114,6 +120,9 @@ class Keeper(StatefulProcessor):
             turned = now != (shown["status"], shown["coverage"]) or error != stamps["error"]
             stamps["seen_at"], stamps["error"] = at, error
             shown.update(status=now[0], coverage=now[1], day=at.date())
+            if out and out[-1][1] == at:  # one row a time: what is shown at its end
+                changed |= out.pop()[5]
+                turned = True
             if turned or changed:
                 out.append((key[0], at, *now, error, changed, stamps["last_changed_at"]))
         self._save(facts, stamps, shown)
@@ -139,7 +148,9 @@ def resolution_stream(observations: DataFrame, delay: str = "0 seconds") -> Data
     """Rows (OUTPUT) for each turn of a key's status, coverage, error or content, from a stream of observations.
 
     Turns by the day come out when event time has passed them by `delay`. Observations that come later than
-    that, or after a later one of their key, are ignored. Turns on the session's RocksDB state store, which timers need.
+    that, or after a later one of their key, are ignored. There is one row for a key and a time, unless later
+    batches tell of the same time again. A batch's observations of one key are held at once, which the source's
+    maxFilesPerTrigger or maxBytesPerTrigger bounds. Turns on the session's RocksDB state store, which timers need.
     """
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = observations.select(*[f.split()[0] for f in OBSERVATION.split(", ")]).withWatermark("at", delay)
