@@ -1,8 +1,9 @@
 """WARC not-modified revisits: an as-of join to the latest earlier full response of the same URL.
 
-Records are ordered by date within (canonical URL, day); a day's last response is carried on to the
-days after it over one row per URL and day. So a URL that holds a third of all records is spread over
-its days and no task sees it whole. Only identifiers, validators and headers are shuffled, not bodies.
+Records are ordered by date within (canonical URL, minute); a minute's last response is carried on
+within its day over one row per URL and minute, and a day's last one over one row per URL and day. So a
+URL that holds a third of all records is spread over its minutes, however many days there are, and no
+task sees it whole. Only identifiers, validators and headers are shuffled, not bodies.
 """
 
 from __future__ import annotations
@@ -39,21 +40,29 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
     rows = records.filter(F.col("kind").isin("response", "revisit")).select(
-        "record_id", canonical_url(F.col("url")).alias("url_key"), "date", "kind", F.to_date("date").alias("day"), "etag", "last_modified", lower.alias("headers")
+        "record_id", canonical_url(F.col("url")).alias("url_key"), "date", "kind", F.to_date("date").alias("day"), F.date_trunc("minute", "date").alias("minute"), "etag", "last_modified", lower.alias("headers")
     )
     usable = F.col("url_key").isNotNull() & F.col("date").isNotNull()
     never = rows.filter(~usable & (F.col("kind") == "revisit"))
     full = F.when(F.col("kind") == "response", F.struct("date", "record_id", "etag", "last_modified", "headers"))
     rows = rows.filter(usable).withColumn("full", full)
+    before = (Window.unboundedPreceding, -1)
     # at one date the revisits come first: a response must be earlier
-    within = Window.partitionBy("url_key", "day").orderBy("date", F.col("kind") == "response", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    order = F.struct("date", "record_id")
-    last_of_day = rows.filter("full IS NOT NULL").groupBy("url_key", "day").agg(F.max_by("full", order).alias("last"))
-    days = rows.select("url_key", "day").distinct().join(last_of_day, ["url_key", "day"], "left")
-    carried = days.select("url_key", "day", F.last("last", ignorenulls=True).over(Window.partitionBy("url_key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    found = rows.withColumn("today", F.last("full", ignorenulls=True).over(within)).filter("kind = 'revisit'")
-    found = found.join(carried, ["url_key", "day"], "left").withColumn("r", F.coalesce("today", "carried")).drop("day", "full", "today", "carried")
-    found = found.unionByName(never.drop("day"), allowMissingColumns=True)
+    within = Window.partitionBy("url_key", "minute").orderBy("date", F.col("kind") == "response", "record_id").rowsBetween(*before)
+    order = F.when(F.col("full").isNotNull(), F.struct("date", "record_id"))
+    minutes = rows.groupBy("url_key", "day", "minute").agg(F.max_by("full", order).alias("last"), F.bool_or(F.col("kind") == "revisit").alias("asked"))
+    days = minutes.groupBy("url_key", "day").agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("minute"))).alias("last"), F.bool_or("asked").alias("asked"))
+
+    def carried(slices: DataFrame, key: list[str], at: str) -> DataFrame:
+        """The slices that hold revisits, each with the last response of the slices before it."""
+        earlier = F.last("last", ignorenulls=True).over(Window.partitionBy(*key).orderBy(at).rowsBetween(*before))
+        return slices.withColumn(f"by_{at}", earlier).filter("asked").select(*key, at, f"by_{at}")
+
+    earlier = carried(minutes, ["url_key", "day"], "minute").join(carried(days, ["url_key"], "day"), ["url_key", "day"])
+    earlier = earlier.select("url_key", "minute", F.coalesce("by_minute", "by_day").alias("carried"))
+    found = rows.withColumn("now", F.last("full", ignorenulls=True).over(within)).filter("kind = 'revisit'")
+    found = found.join(earlier, ["url_key", "minute"]).withColumn("r", F.coalesce("now", "carried")).drop("day", "minute", "full", "now", "carried")
+    found = found.unionByName(never.drop("day", "minute"), allowMissingColumns=True)
     weak = lambda tag: F.regexp_replace(tag, "^W/", "")
     agrees = (
         F.when(F.col("etag").isNotNull(), F.coalesce(weak(F.col("etag")) == weak(F.col("r.etag")), F.lit(False)))
@@ -99,6 +108,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def op5_warc_revisits(spark, sf_dir: str) -> DataFrame:
+    """The revisits of a crawl of all pages, resolved; a page without URL never resolves."""
     found = resolve_revisits(records_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return found.select(F.expr("(record_id - 1) div 2").alias("page_id"), "url_key", F.expr("refers_to div 2").alias("refers_to_page"), "outcome", shown.alias("headers"))

@@ -2,6 +2,7 @@ import datetime
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -79,9 +80,10 @@ def test_escape_is_reversible(parts):
     assert not re.search(r"(?<!\\)(?:" + chat.CONTROL + ")", e)
 
 
-def test_revisits_against_plain_loop(spark):
-    rng = random.Random(1)
-    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+@pytest.mark.parametrize("seconds", [3600, 25, 1])  # of days, of minutes within one day, of one minute
+def test_revisits_against_plain_loop(spark, seconds):
+    rng = random.Random(seconds)
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=h * seconds)
     rows = []
     for i in range(300):
         url = rng.choice(["http://www.A.org/x/", "https://a.org:443/x#f", "a.org/x?utm_source=q", "http://b.org/?b=2&a=1", "http://b.org?a=1&b=2", None])
@@ -108,7 +110,7 @@ def test_revisits_against_plain_loop(spark):
     body = records.withColumn("body", F.col("record_id").cast("string"))
     assert warc.with_payload(got.filter("outcome = 'resolved'"), body, "body").filter("body <> refers_to").count() == 0
     assert warc.resolve_revisits(records.limit(0)).count() == 0
-    more = records.select("*", F.lit(1).alias("url_key"), F.lit("x").alias("outcome"), F.lit(2).alias("day"))
+    more = records.select("*", F.lit(1).alias("url_key"), F.lit("x").alias("outcome"), F.lit(2).alias("day"), F.lit(3).alias("minute"))
     assert sorted(map(repr, warc.resolve_revisits(more).collect())) == sorted(map(repr, got.collect()))
 
 
