@@ -32,6 +32,7 @@ SHARD_ROWS = 8192
 LEAF = 64
 QUERY_BLOCK = 4096
 EXACT_BLOCK = 1024
+BOXES = 100_000  # that may be broadcast; 1024 a width at most
 TIE = 1e-9
 
 
@@ -172,7 +173,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_co
 
     Vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows
     without an identifier; vectors of different widths never meet. Fewer than k candidates are all
-    returned. Ties go to the smaller identifier; repeated (identifier, vector) rows count once.
+    returned. Ties go to the smaller identifier; repeated (identifier, vector) rows count once; further
+    columns are ignored.
     """
     quantile = CHI_SQUARE_99[dimensions]
     rows = _usable(vectors, id_col, vector_col).withColumn("width", F.size("vec")).dropDuplicates(["id", "vec"])
@@ -200,6 +202,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_co
     hunts = written(asked.mapInPandas(place, placed), "queries")
     ends = [f(F.get("low", i)).alias(f"{n}{i}") for i in range(dimensions) for n, f in (("a", F.min), ("b", F.max))]
     boxes = points.groupBy("width", "cell").agg(F.count("*").alias("n"), *ends).withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int"))
+    boxes = written(boxes, "boxes")
     gap = [F.greatest(F.col(f"a{i}") - F.get("low", i), F.get("low", i) - F.col(f"b{i}"), F.lit(0.0)) for i in range(dimensions)]
     bound = sum((g * g for g in gap[1:]), gap[0] * gap[0])
 
@@ -220,7 +223,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_co
     known = first.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list("score"), False), k, 1).alias("kth")).select(F.col("qid").alias("id"), F.get("kth", 0).alias("worst"))
     rest = hunts.withColumnRenamed("cell", "home").join(known, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
     # a query against the boxes of all cells, of which there are 1024 at most, as a stated query set
-    rest = rest.join(F.broadcast(boxes), "width").filter(bound <= quantile * (2 - 2 * F.col("worst")) + TIE)
+    few = boxes.count() <= BOXES
+    rest = rest.join(F.broadcast(boxes) if few else boxes.hint("merge"), "width").filter(bound <= quantile * (2 - 2 * F.col("worst")) + TIE)
     rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     home = (F.col("home") == F.col("cell")) & (F.col("shard") == F.pmod(F.xxhash64("id"), F.col("shards")))
     found = first.union(by_shard(rest.filter(~home))).distinct()
@@ -253,6 +257,7 @@ def _searcher(k: int, quantile: float):
 
 
 def op9_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The five nearest neighbours of every fiftieth vector among all others; empty and unusable vectors take no part."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"))
 

@@ -105,6 +105,16 @@ def test_jittered_copies_are_told_apart_by_exact_score(spark):
         assert s.min() > 1 - 1e-9 and mine == [(i + 1, ids[j], s[j]) for i, j in enumerate(want)]
 
 
+def test_more_boxes_than_are_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(3 + i % 7).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = df.filter("vec_id % 30 < 7")
+    want = sorted(map(tuple, ann.nearest_neighbours(df, ask, shard_rows=50).collect()))
+    monkeypatch.setattr(ann, "BOXES", 6)
+    assert sorted(map(tuple, ann.nearest_neighbours(df, ask, shard_rows=50).collect())) == want
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (8, []), (9, [-1.0, 0.0]), (9, [-1.0, 0.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
