@@ -18,7 +18,7 @@ from halyard.operators import parse, resolve
 from halyard.operators.coverage import covers
 from halyard.operators.state import changed_feed
 from halyard.sources.scratch import written
-from halyard.sources.tables import notices, status_document
+from halyard.sources.tables import document_parts, notices
 
 KEY = "state_code"
 ORDER = "struct<title:string,url:string,status:string,authority:string,evidence:string,start_date:date,end_date:date,until_noon:boolean,why:string,via:string>"
@@ -192,8 +192,8 @@ class Run:
         return cls(records, federal, resolve.coverage_counts(records), resolve.half_and_changed(records, KEY), changes, notices(changes))
 
     def document(self, date: str, generated_at: str | None = None, least_covered: int = 20) -> DataFrame:
-        """The published document, refused when it is read if too few keys are covered."""
-        return status_document(resolve.publishable(self.records, least_covered), self.counts, date, self.federal, generated_at)
+        """The published document, in parts where there are many keys; refused when it is read if too few keys are covered."""
+        return document_parts(resolve.publishable(self.records, least_covered), self.records.count(), self.counts, date, self.federal, generated_at)
 
 
 def finish(states: DataFrame, federal: DataFrame, prior: DataFrame, at: Column) -> DataFrame:

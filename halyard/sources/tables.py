@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StructType
@@ -88,21 +88,48 @@ def documents(landed: DataFrame, policy: DataFrame | None = None) -> DataFrame:
 
 
 MOST_IN_DOCUMENT = 100_000
+IN_PART = 20_000
+
+
+def _by_code(states: DataFrame) -> Column:
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct("state_code", F.struct(*[c for c in states.columns if c != "state_code"])))))
+
+
+def _as_json(out: DataFrame, part: Column, counts: DataFrame, date: str, federal: DataFrame | None, generated_at: str | None) -> DataFrame:
+    """Beside each row's states the document of them, with its part of all codes (null: it is the whole), the federal layer and the counts."""
+    out = out.join(F.broadcast(counts.select(F.struct(*counts.columns).alias("meta"))), how="left")
+    fed = F.lit(None)
+    if federal is not None:
+        out, fed = out.join(F.broadcast(federal.select(F.struct(*federal.columns).alias("federal"))), F.lit(True), "left"), F.col("federal")
+    return out.withColumn("document", F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), F.lit(date).alias("date"), part.alias("part"), fed.alias("federal"), "states", "meta")))
 
 
 def status_document(states: DataFrame, counts: DataFrame, date: str, federal: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
     """One JSON document: generated_at, date, federal (if any), all states by code, and the counts.
 
-    For no more than MOST_IN_DOCUMENT states, which is checked before they are collected.
+    For no more than MOST_IN_DOCUMENT states, which is checked before they are collected; document_parts() takes any number.
     """
     from halyard.operators.resolve import at_most
 
-    rows = F.map_from_entries(F.array_sort(F.collect_list(F.struct("state_code", F.struct(*[c for c in states.columns if c != "state_code"])))))
-    out = at_most(states, MOST_IN_DOCUMENT).agg(rows.alias("states")).join(counts.select(F.struct(*counts.columns).alias("meta")), how="left")
-    fed = F.lit(None)
-    if federal is not None:
-        out, fed = out.join(federal.select(F.struct(*federal.columns).alias("federal")), F.lit(True), "left"), F.col("federal")
-    return out.select(F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), F.lit(date).alias("date"), fed.alias("federal"), "states", "meta")).alias("document"))
+    return _as_json(at_most(states, MOST_IN_DOCUMENT).agg(_by_code(states).alias("states")), F.lit(None), counts, date, federal, generated_at).select("document")
+
+
+def document_parts(states: DataFrame, n: int, counts: DataFrame, date: str, federal: DataFrame | None = None, generated_at: str | None = None) -> DataFrame:
+    """first_code, last_code, n_states, document: the document of n states, by ranges of their codes, of no more than IN_PART states each.
+
+    Each part is a document like that of status_document(), which tells its first and last code in `part`; the counts
+    are of all parts. Up to IN_PART states are one document, the whole.
+    """
+    ends = F.min("state_code").alias("first_code"), F.max("state_code").alias("last_code"), F.count("*").alias("n_states"), _by_code(states).alias("states")
+    if n <= IN_PART:
+        out, part = states.agg(*ends), F.lit(None)
+    else:
+        ranges = 2 * -(-n // IN_PART)  # half full, as their bounds come of a sample; one that is too long is cut by rank
+        dealt = states.repartitionByRange(ranges, "state_code").withColumn("__range", F.spark_partition_id()).repartition(ranges, "__range")
+        rank = F.row_number().over(Window.partitionBy("__range").orderBy("state_code"))
+        out = dealt.withColumn("__cut", F.floor((rank - 1) / IN_PART)).groupBy("__range", "__cut").agg(*ends)
+        part = F.struct(F.col("first_code").alias("first"), F.col("last_code").alias("last"))
+    return _as_json(out, part, counts, date, federal, generated_at).select("first_code", "last_code", "n_states", "document")
 
 
 def notices(changed: DataFrame) -> DataFrame:

@@ -117,3 +117,31 @@ def test_federal(spark):
     feed = parse.parsed(spark.createDataFrame([(parse.PROCLAMATION, "http://wh/", False, f"<item><title>{titles[1]}</title></item>")], "kind string, url string, dedupe boolean, html string"))
     assert federal(cal, feed, day).first().reason == titles[1]
     assert federal(cal, None, day).count() == 0
+
+
+def test_document_of_many_states_is_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(tables, "IN_PART", 10)
+    codes = [f"{i:03d}" for i in range(95)]
+    states = spark.createDataFrame([(c, "half" if int(c) % 3 == 0 else "full") for c in codes], "state_code string, status string").repartition(5)
+    counts = states.agg(F.count("*").alias("total"))
+    federal = spark.createDataFrame([("half", "a day")], "status string, reason string")
+    rows = sorted(tables.document_parts(states, 95, counts, "2026-08-22", federal).collect())
+    docs = [json.loads(r.document) for r in rows]
+    assert [c for d in docs for c in d["states"]] == codes and all(0 < r.n_states == len(d["states"]) <= 10 for r, d in zip(rows, docs, strict=True))
+    assert all(d["states"][c]["status"] == ("half" if int(c) % 3 == 0 else "full") for d in docs for c in d["states"])
+    assert all(d["meta"] == {"total": 95} and d["federal"]["reason"] == "a day" and d["part"] == {"first": r.first_code, "last": r.last_code} == {"first": min(d["states"]), "last": max(d["states"])} for r, d in zip(rows, docs, strict=True))
+    one = tables.document_parts(states.filter("state_code < '005'"), 5, counts, "2026-08-22").collect()
+    assert len(one) == 1 and list(json.loads(one[0].document)["states"]) == codes[:5] and "part" not in json.loads(one[0].document)
+    none = tables.document_parts(states.limit(0), 0, counts, "2026-08-22").first()
+    assert none.n_states == 0 and json.loads(none.document)["states"] == {}
+
+
+def test_a_run_publishes_more_states_than_one_document_holds(spark, monkeypatch):
+    from halyard.plans.queries import QUERIES
+    from places import DATA
+
+    monkeypatch.setattr(tables, "MOST_IN_DOCUMENT", 100)
+    monkeypatch.setattr(tables, "IN_PART", 40, raising=False)
+    got = QUERIES["status_document"](spark, f"{DATA}/sf0.001").first()
+    n = spark.read.parquet(f"{DATA}/sf0.001/customer.parquet").count()
+    assert n > 100 and got.n_states == n and got.first_code == "0" and got.date == "2026-08-22"
