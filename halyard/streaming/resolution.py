@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +21,8 @@ from halyard.operators.coverage import FROZEN_DAYS, GRACE_DAYS, LOOKBACK_DAYS, c
 OBSERVATION = "key string, at timestamp, error string, hash string, status string, start_date date, end_date date, item_date date, modified date"
 FACTS = ("hash", "status", "start_date", "end_date", "item_date", "modified")
 OUTPUT = "key string, at timestamp, status string, coverage string, error string, changed boolean, last_changed_at timestamp"
+LOCAL = OUTPUT.replace("timestamp", "timestamp_ntz")  # as the processor gives it: times of the session's zone
+TURN = Row(*[f.split()[0] for f in OUTPUT.split(", ")])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,12 +50,12 @@ def next_turn(facts: dict, day: date) -> date | None:
     return min((t for t in turns if t and t > day), default=None)
 
 
-def _date(x) -> date | None:
-    return None if x is None or pd.isna(x) else x.date() if isinstance(x, datetime) else x
-
-
-def _text(x) -> str | None:
-    return x if isinstance(x, str) else None
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    """By time; at one time failures first, then the greater facts last, as verdicts_on() has it."""
+    out = sorted(rows, key=lambda r: r.local_at)
+    if any(a.local_at == b.local_at for a, b in zip(out, out[1:], strict=False)):
+        out.sort(key=lambda r: (r.local_at, r.error is None, *((r[f] is not None, r[f]) if r[f] is not None else (False,) for f in (*FACTS[1:], "hash"))))
+    return out
 
 
 class Keeper(StatefulProcessor):
@@ -67,9 +68,10 @@ class Keeper(StatefulProcessor):
         self.shown = handle.getValueState("shown", "status string, coverage string, day date")
 
     def _load(self) -> tuple[dict | None, dict, dict]:
-        facts = dict(zip(FACTS, self.facts.get(), strict=True)) if self.facts.exists() else None
-        stamps = dict(zip(("seen_at", "last_changed_at", "error"), self.stamps.get(), strict=True)) if self.stamps.exists() else {"seen_at": None, "last_changed_at": None, "error": None}
-        shown = dict(zip(("status", "coverage", "day"), self.shown.get(), strict=True)) if self.shown.exists() else {"status": None, "coverage": None, "day": None}
+        facts, stamps, shown = self.facts.get(), self.stamps.get(), self.shown.get()  # None where there is none
+        facts = facts and dict(zip(FACTS, facts, strict=True))
+        stamps = dict(zip(("seen_at", "last_changed_at", "error"), stamps or (None, None, None), strict=True))
+        shown = dict(zip(("status", "coverage", "day"), shown or (None, None, None), strict=True))
         return facts, stamps, shown
 
     def _turns(self, key: str, facts: dict | None, stamps: dict, shown: dict, until: datetime) -> list[tuple]:
@@ -89,27 +91,25 @@ class Keeper(StatefulProcessor):
             self.facts.update(tuple(facts[f] for f in FACTS))
         self.stamps.update(tuple(stamps.values()))
         self.shown.update(tuple(shown.values()))
+        self._wait(facts, stamps, shown)
+
+    def _wait(self, facts: dict | None, stamps: dict, shown: dict) -> None:
+        """Set the timer for the next day on which the verdict may turn, if there is one."""
         due = facts and not stamps["error"] and next_turn(facts, shown["day"])
         if due:
             self.handle.registerTimer(int((datetime(due.year, due.month, due.day) - datetime(1970, 1, 1)).total_seconds() * 1000))
 
-    @staticmethod
-    def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        """By time; at one time failures first, then the greater facts last, as verdicts_on() has it."""
-        out = pd.concat(list(rows))
-        return out.assign(good=out["error"].isna()).sort_values(["at", "good", *FACTS[1:], "hash"], na_position="first")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         facts, stamps, shown = self._load()
         out = []
-        for r in self._in_order(rows).itertuples():
-            at = r.at.to_pydatetime()
+        for r in _in_order(rows):
+            at = r.local_at
             if stamps["seen_at"] and at < stamps["seen_at"]:
                 continue  # the key is known to a later time
             out += self._turns(key[0], facts, stamps, shown, at)
-            error, changed = _text(r.error), False
+            error, changed = r.error, False
             if error is None:
-                told = {f: _text(getattr(r, f)) if f in ("hash", "status") else _date(getattr(r, f)) for f in FACTS}
+                told = {f: r[f] for f in FACTS}
                 changed = facts is not None and facts["hash"] != told["hash"]
                 if facts is None or changed:
                     stamps["last_changed_at"] = at
@@ -126,19 +126,17 @@ class Keeper(StatefulProcessor):
             if turned or changed:
                 out.append((key[0], at, *now, error, changed, stamps["last_changed_at"]))
         self._save(facts, stamps, shown)
-        yield self._frame(out)
+        yield from (TURN(*row) for row in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         facts, stamps, shown = self._load()
+        day = shown["day"]
         # all turns that event time has passed, since a timer that is set for such a day now may wait for the next batch
         out = self._turns(key[0], facts, stamps, shown, datetime(1970, 1, 1) + timedelta(milliseconds=timerValues.getCurrentWatermarkInMs()))
-        self._save(facts, stamps, shown)
-        yield self._frame(out)
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[f.split()[0] for f in OUTPUT.split(", ")])
-        return out.assign(at=pd.to_datetime(out["at"]), last_changed_at=pd.to_datetime(out["last_changed_at"]), changed=out["changed"].astype(bool))
+        if shown["day"] != day:
+            self.shown.update(tuple(shown.values()))  # a timer tells no facts and no stamps
+        self._wait(facts, stamps, shown)
+        yield from (TURN(*row) for row in out)
 
     def close(self) -> None:
         pass
@@ -153,8 +151,10 @@ def resolution_stream(observations: DataFrame, delay: str = "0 seconds") -> Data
     maxFilesPerTrigger or maxBytesPerTrigger bounds. Turns on the session's RocksDB state store, which timers need.
     """
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = observations.select(*[f.split()[0] for f in OBSERVATION.split(", ")]).withWatermark("at", delay)
-    return rows.groupBy("key").transformWithStateInPandas(Keeper(), OUTPUT, "Update", "EventTime")
+    rows = observations.select(*[f.split()[0] for f in OBSERVATION.split(", ")]).withWatermark("at", delay).withColumn("local_at", F.col("at").cast("timestamp_ntz"))
+    # rows, not frames: most keys have a few rows in a batch, and frames cost milliseconds a key
+    turns = rows.groupBy("key").transformWithState(Keeper(), LOCAL, "Update", "EventTime")
+    return turns.select(*[F.col(name).cast(kind).alias(name) for name, kind in (f.split() for f in OUTPUT.split(", "))])
 
 
 def verdicts_on(observations: DataFrame, day: Column) -> DataFrame:
