@@ -257,3 +257,20 @@ def test_unattributed_senders_keep_the_first_subjects_of_very_many(spark):
     out = unattributed(rows)
     assert [tuple(r) for r in out.collect()] == [("x0.example", 200_000, ["s0", "s1"])]
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def two_runs(spark, tmp_path, monkeypatch):
+    """A store after two runs over more keys than one document holds; in the second a page says something else."""
+    from halyard.sources import tables
+
+    monkeypatch.setattr(tables, "MOST_IN_DOCUMENT", 1)
+    monkeypatch.setattr(tables, "IN_PART", 1, raising=False)
+    store = Store(spark, str(tmp_path))
+    go(store, sources(spark, PAGES), "1")
+    go(store, sources(spark, PAGES | {"http://A/": "<p>Flag status: full-staff. Updated on August 20, 2026</p>"}), "2")
+    return store
+
+
+def test_the_log_of_runs_over_many_keys(two_runs):
+    assert [tuple(r)[:3] for r in two_runs.log(state_loop.LOG).select("key", "value", "version").collect()] == [("A", "full", 2)]
