@@ -272,5 +272,14 @@ def two_runs(spark, tmp_path, monkeypatch):
     return store
 
 
+def test_runs_over_many_keys_are_committed_with_all_parts_of_the_document(two_runs):
+    import json
+
+    last = two_runs.latest()
+    docs = [json.loads(r.document) for r in last.table("document").orderBy("first_code").collect()]
+    assert last.number == 2 and [list(d["states"]) for d in docs] == [["A"], ["B"], ["C"]] and all(d["meta"]["covered"] == 3 for d in docs)
+    assert {c: r.status for c, r in records(last).items()} == {"A": "full", "B": "half", "C": "half"} == {c: x["status"] for d in docs for c, x in d["states"].items()}
+
+
 def test_the_log_of_runs_over_many_keys(two_runs):
     assert [tuple(r)[:3] for r in two_runs.log(state_loop.LOG).select("key", "value", "version").collect()] == [("A", "full", 2)]
