@@ -101,10 +101,10 @@ def parsed(documents: DataFrame, *keep: str) -> DataFrame:
 def known_and_new(documents: DataFrame, cache: DataFrame | None, version: int = VERSION) -> tuple[DataFrame | None, DataFrame]:
     """For documents (key, kind, url, dedupe, html): the rows of the cache (key, version, columns of PARSE) that they need, and the documents that it lacks, one a key.
 
-    Only keys of the cache are shuffled for it, not what it holds, and only documents that it lacks are parsed.
+    Only documents that the cache lacks are parsed. It may hold a row for each document, so nothing of it is broadcast.
     """
     if cache is None:
         return None, documents.dropDuplicates(["key"])
     valid = cache.filter(F.col("version") == version)
-    lacking = documents.join(valid.select("key"), "key", "left_anti").dropDuplicates(["key"])
-    return valid.join(documents.select("key"), "key", "left_semi"), lacking
+    lacking = documents.join(valid.select("key").hint("merge"), "key", "left_anti").dropDuplicates(["key"])
+    return valid.join(documents.select("key").hint("merge"), "key", "left_semi"), lacking

@@ -50,23 +50,29 @@ def pick_url(row: Column) -> Column:
     )
 
 
+def known_or_own(value: Column, key: Column) -> Column:
+    """value to join by; where it is null a value of the row's own that meets nothing, so that such rows are not all dealt to one task."""
+    return F.coalesce(value, F.concat(F.lit("\0"), key.cast("string")))
+
+
 def with_alternates(registry: DataFrame, documents: DataFrame, key: str = "state_code") -> DataFrame:
     """Each registry row (key, url, url_candidates) with the first of its URLs that was fetched well.
 
     documents: url, html, error, one row a URL. The primary comes first, then the candidates but the
     primary; html and used_url are null, and error is the primary's, where none succeeds. The URL is
-    chosen without any html; only the chosen ones are joined to theirs.
+    chosen without any html; only the chosen ones are joined to theirs. Both sides have a row for each key, so none is broadcast.
     """
     urls = F.concat(F.array("url"), F.filter(F.coalesce("url_candidates", F.array().cast("array<string>")), lambda u: u != F.coalesce(F.col("url"), F.lit(""))))
     tries = registry.select(key, F.posexplode(urls).alias("pos", "try")).filter("try IS NOT NULL")
     outcome = documents.select(F.col("url").alias("try"), (F.col("error").isNull() & F.col("html").isNotNull()).alias("good"), "error")
-    got = tries.join(outcome, "try", "left")
+    got = tries.join(outcome.hint("merge"), "try", "left")
     good = F.coalesce("good", F.lit(False))
     best = got.groupBy(key).agg(
         F.min_by(F.when(good, F.col("try")), F.when(good, F.col("pos"))).alias("used_url"),
         F.min_by(F.coalesce("error", F.lit("not fetched")), F.when(F.col("pos") == 0, 0)).alias("primary_error"),
     )
-    out = registry.join(best, key, "left").join(documents.select(F.col("url").alias("used_url"), "html"), "used_url", "left")
+    out = registry.join(best.hint("merge"), key, "left").withColumn("__at", known_or_own(F.col("used_url"), F.col(key)))
+    out = out.join(documents.select(F.col("url").alias("__at"), "html").hint("merge"), "__at", "left").drop("__at")
     error = F.when(F.col("used_url").isNull(), F.when(F.col("url").isNull(), "no url").otherwise(F.col("primary_error")))
     return out.withColumn("error", error).drop("primary_error")
 
@@ -236,5 +242,5 @@ def publishable(rows: DataFrame, least: int = 20) -> DataFrame:
 
 def enrich(items: DataFrame, bodies: DataFrame, wanted: Column, on: str, cols: Sequence[str]) -> DataFrame:
     """items with columns of bodies where `wanted` holds; the condition stands in the join, so no other body is read into a row."""
-    right = bodies.select(F.col(on).alias("__on"), *cols)
+    right = bodies.select(F.col(on).alias("__on"), *cols).hint("merge")
     return items.join(right, wanted & (F.col(on) == F.col("__on")), "left").drop("__on")

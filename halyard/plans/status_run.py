@@ -49,13 +49,13 @@ def pages_of(registry: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def to_parse(pages: DataFrame) -> DataFrame:
-    """Documents (key, kind, url, dedupe, html) of the pages that were read."""
-    return pages.filter("key IS NOT NULL").select("key", "kind", F.col("used_url").alias("url"), "dedupe", "html")
+    """Documents (key, kind, url, dedupe, html) of the pages that were read; without html where pages have none."""
+    return pages.filter("key IS NOT NULL").select("key", "kind", F.col("used_url").alias("url"), "dedupe", *[c for c in pages.columns if c == "html"])
 
 
 def listed_items(pages: DataFrame, parses: DataFrame) -> DataFrame:
     """One row per item about flags of the list pages, beside its page; a page without any, but with other items, is one row without an item."""
-    lists = pages.filter(F.col("key").isNotNull() & ~F.col("kind").isin(parse.TOGGLE, parse.DIFF)).join(parses.select("key", "items", "n_items"), "key")
+    lists = pages.filter(F.col("key").isNotNull() & ~F.col("kind").isin(parse.TOGGLE, parse.DIFF)).join(parses.select("key", "items", "n_items").hint("merge"), "key")
     rows = lists.filter("n_items > 0").select(KEY, F.col("used_url").alias("page_url"), F.coalesce("signature_check_required", F.lit(False)).alias("signed"), F.explode_outer("items").alias("x"))
     return rows.select(KEY, "page_url", "signed", "x.*")
 
@@ -66,7 +66,7 @@ def wanted_articles(items: DataFrame, articles: DataFrame) -> DataFrame:
     An article is looked up only where the headline tells no status or gives no end.
     """
     urls = items.filter(_wanted()).select("url").distinct()
-    found = articles.filter("html IS NOT NULL").join(urls, "url", "left_semi").select(F.lit(parse.ARTICLE).alias("kind"), "url", F.lit(False).alias("dedupe"), "html")
+    found = articles.filter("html IS NOT NULL").join(urls.hint("merge"), "url", "left_semi").select(F.lit(parse.ARTICLE).alias("kind"), "url", F.lit(False).alias("dedupe"), "html")
     return found.withColumn("key", parse.parse_key(F.col("kind"), F.lit(None), F.col("dedupe"), F.col("html")))
 
 
@@ -100,6 +100,7 @@ def evaluate(registry: DataFrame, pages: DataFrame, parses: DataFrame, items: Da
 
     items are candidates(). prior: state_code, status, order. A source that cannot be read keeps its last
     status and order, and is stale. hash changes with what a source says; null where it says nothing.
+    All tables may have a row for each key, so none is broadcast.
     """
     shown = ("url", "until_noon", "evidence")
     folded = resolve.fold_candidates(items, KEY, as_of, F.col("signed"), shown).select(
@@ -107,11 +108,12 @@ def evaluate(registry: DataFrame, pages: DataFrame, parses: DataFrame, items: Da
         F.when(F.col("last_expired_order").isNotNull(), order_of(**_known("last_expired_order", FIELDS[:2] + FIELDS[3:9]), status=F.lit(HALF))).alias("expired"), "limited_orders",
     )
     of_parse = ["hash", "status", "evidence", "authority", "authority_evidence", "span", "modified", "yearless", "counties"]
-    facts = parses.select("key", F.struct(*of_parse).alias("p"))
+    facts = parses.select(F.col("key").alias("__parse"), F.struct(*of_parse).alias("p")).hint("merge")
     mail = orders.select(KEY, F.struct(*[c for c in ("title", "authority", "start_date", "end_date", "until_noon") if c in orders.columns]).alias("mail"))
     rows = (
-        registry.join(pages.select(KEY, "url", "used_url", F.col("error").alias("fetch_error"), "key"), KEY, "left").join(facts, "key", "left").join(folded, KEY, "left").join(mail, KEY, "left")
-        .join(seen.select(KEY, "seen_on"), KEY, "left").join(prior.select(KEY, F.col("status").alias("before"), F.col("order").alias("order_before")), KEY, "left")
+        registry.join(pages.select(KEY, "url", "used_url", F.col("error").alias("fetch_error"), "key").hint("merge"), KEY, "left").withColumn("__parse", resolve.known_or_own(F.col("key"), F.col(KEY))).join(facts, "__parse", "left")
+        .join(folded.hint("merge"), KEY, "left").join(mail.hint("merge"), KEY, "left").join(seen.select(KEY, "seen_on").hint("merge"), KEY, "left")
+        .join(prior.select(KEY, F.col("status").alias("before"), F.col("order").alias("order_before")).hint("merge"), KEY, "left")
     )
     mode = F.coalesce("ingest_mode", F.lit(""))
     by_mail, unbuilt, failed = mode == "email", ~F.coalesce("buildable", F.lit(False)), F.col("fetch_error").isNotNull()
@@ -204,7 +206,7 @@ def finish(states: DataFrame, federal: DataFrame, prior: DataFrame, at: Column)
     """
     states = states.withColumns({"order_title": F.col("order.title"), "until_noon": F.coalesce("order.until_noon", F.lit(False))})
     states = resolve.overlay(states, federal).drop("order_title", "until_noon")
-    states = states.join(prior.select(KEY, F.col("hash").alias("__hash"), F.col("last_changed_at").alias("__changed_at")), KEY, "left")
+    states = states.join(prior.select(KEY, F.col("hash").alias("__hash"), F.col("last_changed_at").alias("__changed_at")).hint("merge"), KEY, "left")
     changed = F.coalesce(F.col("hash") != F.col("__hash"), F.lit(False))
     moved = F.col("hash").isNotNull() & (changed | F.col("__hash").isNull())
     return states.withColumns({"changed": changed, "last_changed_at": F.when(moved, at).otherwise(F.col("__changed_at")), "hash": F.coalesce("hash", "__hash"), "checked_at": at}).drop("__hash", "__changed_at")

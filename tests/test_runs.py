@@ -283,3 +283,21 @@ def test_runs_over_many_keys_are_committed_with_all_parts_of_the_document(two_ru
 
 def test_the_log_of_runs_over_many_keys(two_runs):
     assert [tuple(r)[:3] for r in two_runs.log(state_loop.LOG).select("key", "value", "version").collect()] == [("A", "full", 2)]
+
+
+def test_tables_of_all_keys_are_not_broadcast(spark):
+    src = sources(spark, PAGES)
+    pages = run.pages_of(src.registry, src.documents)
+    known, lacking = parse.known_and_new(run.to_parse(pages), parse.parsed(run.to_parse(pages), "key").withColumn("version", F.lit(parse.VERSION)))
+    items = run.listed_items(pages, known)
+    wanted = run.wanted_articles(items, src.articles.union(spark.createDataFrame([("http://B/1", "x")], "url string, html string")))
+    prior = spark.createDataFrame([("A", "half", None, "h", None, None)], state_loop.STATE)
+    states = run.evaluate(src.registry, pages, known, run.candidates(items, parse.parsed(wanted, "url")), src.orders, src.seen, prior, F.lit(DAY))
+    for df in (pages, known, lacking, items, wanted, states):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    # rows without a parse are joined by values of their own, not all by null
+    from halyard.operators.resolve import known_or_own
+
+    rows = spark.range(100).select(known_or_own(F.when(F.col("id") < 10, "x"), F.col("id")).alias("by"))
+    assert rows.distinct().count() == 91 and rows.filter("by IS NULL").count() == 0
