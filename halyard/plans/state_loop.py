@@ -34,9 +34,15 @@ class Sources:
     federal_url: str | None = None
 
 
-def parses_of(documents: DataFrame, cache: DataFrame | None, keep, name: str) -> DataFrame:
-    """Parses (key, version, columns of PARSE) of documents (key, kind, url, dedupe, html): those of the cache, and what it lacks, parsed now and kept."""
+def parses_of(documents: DataFrame, cache: DataFrame | None, keep, name: str, bodies: DataFrame | None = None) -> DataFrame:
+    """Parses (key, version, columns of PARSE) of documents (key, kind, url, dedupe, html): those of the cache, and what it lacks, parsed now and kept.
+
+    Documents without html come with bodies (url, html), in which it is looked up for what the cache lacks only.
+    """
     known, lacking = parse.known_and_new(documents, cache)
+    if bodies is not None:
+        found = lacking.join(bodies.select("url", "html").hint("merge"), "url")
+        lacking = found.filter(F.col("key") == parse.parse_key(F.col("kind"), F.col("url"), F.col("dedupe"), F.col("html")))
     fresh = keep(parse.parsed(lacking, "key").withColumn("version", F.lit(parse.VERSION)), name)
     return fresh if known is None else known.select(fresh.columns).unionByName(fresh)
 
@@ -58,13 +64,12 @@ def advance(store: Store, sources: Sources, batch: str, as_of: date, at: datetim
     cache = last.table("parses") if last else None
     day, now = F.lit(as_of), F.lit(at)
 
-    pages = run.pages_of(sources.registry, sources.documents)
-    page_parses = parses_of(run.to_parse(pages), cache, draft.keep, "fresh_pages")
-    pages = draft.keep(pages.drop("html"), "pages")
+    pages = draft.keep(run.pages_of(sources.registry, sources.documents).drop("html"), "pages")
+    page_parses = parses_of(run.to_parse(pages), cache, draft.keep, "fresh_pages", sources.documents)
     items = draft.keep(run.listed_items(pages, page_parses), "items")
     wanted = run.wanted_articles(items, sources.articles)
     article_parses = parses_of(wanted, cache, draft.keep, "fresh_articles")
-    read = draft.keep(wanted.select("url", "key").join(article_parses, "key"), "read")
+    read = draft.keep(wanted.select("url", "key").join(article_parses.hint("merge"), "key"), "read")
     proclaimed = run.federal_page(sources.documents, sources.federal_url)
     known = [page_parses, article_parses]
     if proclaimed is not None:

@@ -301,3 +301,13 @@ def test_tables_of_all_keys_are_not_broadcast(spark):
 
     rows = spark.range(100).select(known_or_own(F.when(F.col("id") < 10, "x"), F.col("id")).alias("by"))
     assert rows.distinct().count() == 91 and rows.filter("by IS NULL").count() == 0
+
+
+def test_the_second_run_reads_no_html_for_pages_that_are_parsed_already(spark, tmp_path, monkeypatch):
+    plans, listed = [], run.listed_items
+    monkeypatch.setattr(run, "listed_items", lambda pages, parses: plans.append(parses._jdf.queryExecution().optimizedPlan().toString()) or listed(pages, parses))
+    store = Store(spark, str(tmp_path))
+    go(store, sources(spark, PAGES), "1")
+    second = go(store, sources(spark, PAGES | {"http://A/": "<p>Flag status: full-staff. Updated on August 20, 2026</p>"}), "2")
+    assert len(plans) == 2 and not any("html" in p for p in plans)
+    assert state_loop.parsed_count(second) == 1 and {c: r.status for c, r in records(second).items()} == {"A": "full", "B": "half", "C": "half"}
